@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shuffle_partitions
 from .components import connected_components
 
 SEED = 42
@@ -77,30 +77,43 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks() -> tuple[list[int], list[int]]:
-    """Bit masks that fingerprints of even and of odd parity send out, as signed longs."""
+def _masks() -> list[tuple[int, list[int], list[int]]]:
+    """(parity, masks that change the upper half or nothing, masks that change the lower half or nothing), as signed longs."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    one = [0] + [1 << i for i in range(64)]
-    two = [(1 << i) | (1 << j) for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)]
-    return [signed(x) for x in one + two], [signed(x) for x in one]
 
+    def half(start: int, pairs: bool) -> list[int]:
+        bits = range(start, start + 32)
+        one = [1 << i for i in bits]
+        two = [(1 << i) | (1 << j) for i in bits for j in bits if i < j] if pairs else []
+        return [signed(x) for x in [0, *one, *two]]
 
-def _array(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    return [(0, half(32, True), half(0, True)), (1, half(32, False), half(0, False))]
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): distinct fingerprints within three bits, enough of them to connect all that are.
 
-    ``distinct`` has a column fp without repetition.
+    ``distinct`` has a column fp without repetition.  A variant changes one of
+    the halves at most, so variants are dealt by their upper half: those that
+    change the lower half need no row of their own in the shuffle but are made
+    behind it, from the one row that carries the unchanged fingerprint.
     """
-    even, odd = _masks()
-    masks = distinct.sparkSession.createDataFrame([(0, even), (1, odd)], "parity int, masks array<long>")
-    rows = distinct.select("fp", (F.bit_count("fp") % 2).cast("int").alias("parity")).join(F.broadcast(masks), "parity")
-    sent = rows.select("fp", F.explode("masks").alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    spark = distinct.sparkSession
+    masks = spark.createDataFrame(_masks(), "parity int, upper array<long>, lower array<long>")
+    # few bytes become many rows, so the fingerprints are dealt over all tasks
+    rows = distinct.repartition(shuffle_partitions(spark)).select("fp", (F.bit_count("fp") % 2).cast("int").alias("parity"))
+    sent = rows.join(F.broadcast(masks), "parity").select("fp", F.explode("upper").alias("mask"))
+    sent = sent.select("fp", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("mask")), 32).alias("upper"), F.col("fp").bitwiseXOR(F.col("mask")).alias("sent"))
+    dealt = sent.repartition("upper")
+    parity = (F.bit_count("fp") % 2).cast("int").alias("parity")
+    whole = F.col("fp") == F.col("sent")
+    lower = dealt.select("fp", "upper", "sent", parity).join(F.broadcast(masks.select("parity", "lower")), "parity")
+    zero = F.array(F.lit(0).cast("long"))
+    met = lower.select("fp", "upper", "sent", F.explode(F.when(whole, F.col("lower")).otherwise(zero)).alias("mask"))
+    met = met.select("fp", "upper", F.col("sent").bitwiseXOR(F.col("mask")).alias("variant"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("variant"))) <= 1
-    star = F.min(F.when(near, F.col("fp"))).over(Window.partitionBy("variant"))
-    met = sent.select("fp", star.alias("center")).where(F.col("center").isNotNull() & (F.col("fp") != F.col("center")))
+    star = F.min(F.when(near, F.col("fp"))).over(Window.partitionBy("upper", "variant"))
+    met = met.select("fp", star.alias("center")).where(F.col("center").isNotNull() & (F.col("fp") != F.col("center")))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("center"))) <= RADIUS
     return met.where(close).select(F.col("fp").alias("a"), F.col("center").alias("b")).distinct()
 
