@@ -39,3 +39,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+SALTS = 32
+
+
+def salted_left_join(rows: DataFrame, small: DataFrame, key: str, *spread: str) -> DataFrame:
+    """``rows`` left-joined with ``small``, which has one row for each key, however many rows share a key.
+
+    The rows of a key are dealt to SALTS partitions by the columns ``spread``
+    and each row of ``small`` is sent to all of them, so a key with a third of
+    all rows is split whatever join the optimizer picks.
+    """
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")

@@ -16,7 +16,7 @@ id.  Character references are decoded, white space inside a block becomes one
 space, and blocks are joined by a line feed.
 
 A host may hold a third of all pages: votes are combined first, and the join
-on host is a plain equi-join that adaptive execution splits.
+on host is salted.
 
 Rows: a null html gives an empty text; a null or odd url is a host of its own
 kind (empty); repeated rows each give a row; a page without any container is
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import salted_left_join
+
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -260,7 +262,7 @@ def winners(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of ``pages``."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    rows = rows.join(winners(pages), "host", "left").select("page_id", "url", "html", "path")
+    rows = salted_left_join(rows, winners(pages), "host", "page_id", "url").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

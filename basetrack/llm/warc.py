@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, salted_left_join, shuffle_partitions
 
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 2_000
@@ -69,10 +69,10 @@ def records(pages: DataFrame) -> DataFrame:
     """(value): the WARC record of every row of ``pages``, without its last line feed."""
     rows = captures(pages)
     long = F.col("payload_bytes") >= REVISIT_BYTES
-    # copies of a payload meet by digest; only those that have any go through the join
+    # copies of a payload meet by digest
     groups = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = groups.where("copies > 1").select("digest", "first")
-    rows = rows.join(groups, "digest", "left")
+    rows = salted_left_join(rows, groups, "digest", "page_id", "url")
     revisit = long & F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
     uri = F.regexp_replace("url", r"[\x00-\x20]", "")
     head = lambda kind: F.concat(
