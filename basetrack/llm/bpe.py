@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, shuffle_partitions, text_or_empty
 
-LEAF = 32_768
+LEAF = 65_536
 WINDOW = 64
 MARGIN = 4
 BATCH = 256
@@ -62,6 +62,23 @@ def byte_lengths(path: str) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id.  Byte-level vocabularies write each byte as one letter, printable ones as themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    t = tokenizer(path)
+    out = [b""] * t.get_vocab_size(with_added_tokens=True)
+    for token, i in t.get_vocab(with_added_tokens=True).items():
+        out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+    return out
+
+
+def decode(ids: list[int], path: str) -> str:
+    """What the library's byte-level decoder gives with skip_special_tokens=False."""
+    return b"".join(map(token_bytes(path).__getitem__, ids)).decode("utf-8", "replace")
+
+
 def encode(text: str, path: str) -> list[int]:
     return tokenizer(path).encode(text, add_special_tokens=False).ids
 
@@ -150,7 +167,7 @@ def encode_by_tree(text: str, path: str, leaf: int = LEAF) -> list[int]:
 
 
 def _digests(ids: list[int], path: str) -> tuple[int, str, str]:
-    decoded = tokenizer(path).decode(ids, skip_special_tokens=False)
+    decoded = decode(ids, path)
     return len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
