@@ -1,7 +1,7 @@
 """Toxicity scores from subword-bag embeddings under a linear softmax.
 
-A word is the bag of itself and its character n-grams (3 to 6, with marks at
-its ends), each hashed to a row of an embedding table.  The mean of these rows
+A word is the bag of itself and its character n-grams (of 3 and 5, with marks at
+its ends), in training each hashed to a row of an embedding table.  The mean of these rows
 is the word's vector, the mean over a window of words is the window's, and a
 linear softmax of two classes reads it.  Table and softmax are trained jointly
 in numpy with Adagrad.  As a few words make a long text toxic, a text is read
@@ -13,8 +13,8 @@ The model is fitted on the driver on at most ``MAX_ROWS`` labelled rows of each
 class, those whose hashed doc_id is smallest, of texts up to ``MAX_BYTES``
 bytes; these bounds are parameters.  Only rows whose crc32(doc_id as text) mod
 3 is not 1 are used; the text is the only input of a score.  What goes to the
-executors is one number per table row (the softmax applied to it), so scoring
-is map-only.
+executors is one number for each n-gram that LEAST_DOCS training documents have
+(the softmax applied to its row), so scoring is map-only.
 
 Rows: null texts count as empty; a text without words has the score of the
 bias; repeated rows each give a row; documents whose labels contradict each
@@ -24,6 +24,7 @@ other are not used; with no usable label of either class every score is 0.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 3000
+MAX_ROWS = 2000
 MAX_BYTES = 20_000
 THRESHOLD = 0.7
 BUCKETS = 1 << 20
@@ -44,21 +45,28 @@ RATE = 0.5
 DECAY = 1e-6
 # an n-gram counts if so many training documents have it
 LEAST_DOCS = 10
-LENGTHS = (3, 4, 5, 6)
-CACHE = 300_000
+LENGTHS = (3, 5)
+CACHE = 400_000
 
 
-def grams_of(word: str) -> list[int]:
-    """Rows of the table for the word itself and its n-grams of 3 to 6 characters."""
-    marked = f"<{word}>".encode("utf-8", "replace").decode("utf-8")
-    bits = {marked}
+find_words = re.compile(r"\w+").findall
+
+
+def grams_of(word: str) -> set[str]:
+    """The word itself and its n-grams, with marks at its ends."""
+    marked = f"<{word}>"
+    out = {marked}
     for n in LENGTHS:
-        bits.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(b.encode()) % BUCKETS for b in sorted(bits)]
+        out.update([marked[i : i + n] for i in range(len(marked) - n + 1)])
+    return out
+
+
+def row_of(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "replace")) % BUCKETS
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    return find_words((text or "").lower())
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -78,13 +86,14 @@ def window_means(scores: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """weights: per table row, what it adds to the logit of the toxic class; bias."""
+    """weights: of each n-gram that training kept, what it adds to the logit of the toxic class; bias."""
 
-    weights: np.ndarray
+    weights: dict[str, float]
     bias: float
 
     def word(self, word: str) -> float:
-        return float(self.weights[grams_of(word)].mean())
+        get, grams = self.weights.get, grams_of(word)
+        return sum([get(g, 0.0) for g in grams]) / len(grams)
 
     def score(self, text: str | None, cache: dict[str, float]) -> float:
         scores = []
@@ -103,14 +112,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Table and softmax trained jointly on whole texts; classes weigh the same."""
     y = np.array(labels)
     if not (y == 1).any() or not (y == 0).any():
-        return Model(np.zeros(BUCKETS, dtype=np.float32), -1000.0)
+        return Model({}, -1000.0)
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    bags = [grams_of(w) for w in vocabulary]
-    size = np.array([len(b) for b in bags] or [1])
-    gram = np.fromiter((g for b in bags for g in b), dtype=np.int64)
-    word_of_gram = np.repeat(np.arange(len(bags)), size[: len(bags)])
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int32) for t in texts]
+    size = np.fromiter((len(grams_of(w)) for w in vocabulary), dtype=np.int32, count=len(vocabulary))
+    gram = np.fromiter((row_of(g) for w in vocabulary for g in sorted(grams_of(w))), dtype=np.int32, count=int(size.sum()))
+    word_of_gram = np.repeat(np.arange(len(size), dtype=np.int32), size)
     # rows of the table that too few documents have stay zero, as do those that none has
     starts = np.concatenate(([0], np.cumsum(size)))
     seen = np.zeros(BUCKETS, dtype=np.int32)
@@ -119,7 +127,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             seen[np.unique(np.concatenate([gram[starts[w] : starts[w + 1]] for w in np.unique(d)]))] += 1
     common = seen[gram] >= LEAST_DOCS
     rows, gram = np.unique(gram[common], return_inverse=True)
-    kept = np.bincount(word_of_gram[common], minlength=len(bags))
+    kept = np.bincount(word_of_gram[common], minlength=len(size))
     starts = np.concatenate(([0], np.cumsum(kept)))
     table = rng.normal(0, 0.01, (len(rows), DIM))
     softmax = rng.normal(0, 0.5, (DIM, 2))
@@ -129,7 +137,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     word_of_gram = word_of_gram[common]
     for epoch in range(EPOCHS):
         read = table @ (softmax[:, 1] - softmax[:, 0])
-        scores = np.bincount(word_of_gram, weights=read[gram], minlength=len(bags)) / size
+        scores = np.bincount(word_of_gram, weights=read[gram], minlength=len(size)) / size
         windows, owner = [], []
         for i in used:
             d = docs[i]
@@ -161,8 +169,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         for value, square, gradient in zip([table, softmax, bias], squares, [d_table + DECAY * table, vectors.T @ d_z, d_z.sum(axis=0)]):
             square += gradient * gradient
             value -= RATE * gradient / np.sqrt(square)
-    weights = np.zeros(BUCKETS, dtype=np.float32)
-    weights[rows] = table @ (softmax[:, 1] - softmax[:, 0])
+    logits = dict(zip(rows.tolist(), (table @ (softmax[:, 1] - softmax[:, 0])).tolist()))
+    weights = {g: x for w in vocabulary for g in grams_of(w) if (x := logits.get(row_of(g))) is not None}
     return Model(weights, float(bias[1] - bias[0]))
 
 
