@@ -1,9 +1,333 @@
 """Queries over the derived track, by name, with the SQL they are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .operators import histogram as H
+from .operators import masks as M
+from .operators import pca as P
+from .operators import track as T
+from .plans.selection import Coordinates
+from .sources.derived import GROUPING, SAMPLES, depth, genome
+
+TWO = ("1-URGENT", "3-MEDIUM")
+ADHOC = ("s1", "s4", "s5", "s6")
+SETS = GROUPING.members()
+LIMITS = {n: {"lower_coverage": 20, "upper_coverage": 300, "missing_cutoff": 3, "max_missing_samples": m} for n, m in (("ALL", 3), ("pop1", 1), ("pop2", 1), ("pop3", 1))}
+WINDOW = 100
+
+
+def _resolved(s, d, contigs=None, samples=None, sets=None):
+    return Coordinates(contigs, samples, sets).resolve(genome(s, d), GROUPING)
+
+
+def _sums(s, d, contigs=None):
+    return H.sum_hists(_on(s, d, contigs), GROUPING)
+
+
+def _on(s, d, contigs=None):
+    rows = depth(s, d)
+    where = T.at(_resolved(s, d, contigs))
+    return rows if where is None else rows.where(where)
+
+
+def track_sum(s, d):
+    return T.summaries(depth(s, d), GROUPING)
+
+
+def track_missingness(s, d):
+    return T.summaries(depth(s, d), GROUPING, [3]).select("pos", *[f"missing_3_{n}" for n in SETS])
+
+
+def preprocess_multi_cutoff(s, d):
+    return T.summaries(depth(s, d), GROUPING, [12, 3, 12])
+
+
+def sel_track(s, d):
+    return T.select(depth(s, d), _resolved(s, d, TWO, ("s1", "s4", "s5")))
+
+
+def sel_columns(s, d):
+    r = _resolved(s, d, None, ("s2", "s4", "s6"), ("pop1", "pop2"))
+    one = depth(s, d).agg(*[F.sum(c).alias(c) for c in r.columns])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("sample"), F.col(c).alias("total")) for c in r.columns])))
+
+
+def sel_merge_adjacent(s, d):
+    return s.createDataFrame(list(_resolved(s, d, ("1-URGENT", "2-HIGH", "4-NOT SPECIFIED")).intervals), "start long, end long")
+
+
+def sel_stride(s, d):
+    r = _resolved(s, d, TWO)
+    return T.strided(depth(s, d), r, 1000).select("pos", T.total(SAMPLES).alias("sum_ALL"))
+
+
+def hist_coverage(s, d):
+    return H.count_values(depth(s, d).select(F.least(F.col("s1").cast("long"), F.lit(40)).alias("value")))
+
+
+def hist_sum_sets(s, d):
+    return _sums(s, d)
+
+
+def hist_missing_sets(s, d):
+    return H.missing_hists(depth(s, d), GROUPING, 3)
+
+
+def hist_coverage_contigs(s, d):
+    return _sums(s, d, TWO)
+
+
+def hist_missing_adhoc(s, d):
+    return H.count_values(_on(s, d, TWO).select(T.missing(ADHOC, 12).alias("value")))
+
+
+def hist_bundle(s, d):
+    """Several selections and metrics behind one scan."""
+    values = {"ALL": SAMPLES, "adhoc": ADHOC, "pop2": SETS["pop2"]}
+    cells = []
+    for n, c in values.items():
+        metrics = {"sum": T.total(c)} | {f"missing_{k}": T.missing(c, k) for k in (3, 12)}
+        cells += [F.struct(F.lit(n).alias("selection"), F.lit(m).alias("metric"), v.alias("value")) for m, v in metrics.items()]
+    return H.count_values(depth(s, d).select(F.inline(F.array(*cells))), "selection", "metric")
+
+
+def hist_scaled(s, d):
+    r = _resolved(s, d)
+    k = r.stride(4000)
+    kept = T.strided(depth(s, d), r, 4000)
+    counted = -(-r.n_positions // k)
+    return H.scaled(H.count_values(kept.select(T.total(SAMPLES).alias("value"))), r.n_positions, counted)
+
+
+def hist_fold(s, d):
+    return H.fold(_sums(s, d), 100, "sample_set")
+
+
+def hist_stats(s, d):
+    out = H.stats(_sums(s, d), "sample_set")
+    return out.withColumn("mean", F.round("mean", 8)).withColumn("std", F.round("std", 8))
+
+
+def hist_boxplot(s, d):
+    return H.boxplot(_sums(s, d), "sample_set")
+
+
+def hist_quantile(s, d):
+    return H.quantiles(_sums(s, d), (0.05, 0.5, 0.995), "sample_set")
+
+
+def thresholds(s, d):
+    return H.thresholds(_sums(s, d))
+
+
+def threshold_table(s, d):
+    hist = _sums(s, d)
+    return H.threshold_table(hist, H.thresholds(hist), GROUPING, genome(s, d).size)
+
+
+def coverage_table(s, d):
+    """Of a selection of contigs, with limits that are given."""
+    given = s.createDataFrame([(n, p["lower_coverage"], p["upper_coverage"]) for n, p in LIMITS.items()], "sample_set string, lower long, upper long")
+    return H.accessible(_sums(s, d, TWO), given, _resolved(s, d, TWO).n_positions)
+
+
+def missingness_table(s, d):
+    given = s.createDataFrame([(n, p["max_missing_samples"], len(SETS[n])) for n, p in LIMITS.items()], "sample_set string, max_missing long, n_samples long")
+    size = float(genome(s, d).size)
+    rows = H.missing_hists(depth(s, d), GROUPING, 3).join(given, "sample_set").groupBy("sample_set", "max_missing", "n_samples")
+    rows = rows.agg(F.sum(F.when(F.col("value") <= F.col("max_missing"), F.col("count")).otherwise(0)).alias("accessible_bp"))
+    return rows.select("sample_set", "accessible_bp", F.round(F.col("accessible_bp") / size, 8).alias("frac_genome"), F.round(F.col("max_missing") / F.col("n_samples"), 8).alias("max_missing_by_sample"))
+
+
+def contig_means(s, d):
+    return T.contig_means(depth(s, d), GROUPING).select("contig", "sample_set", F.round("mean", 8).alias("mean"))
+
+
+def contig_scatter(s, d):
+    """The mean of the full set over the selected samples of each set (s1, s4, s5, s6); null for none."""
+    n = s.createDataFrame([(a, b) for a, b, _ in GROUPING.counts(ADHOC)], "sample_set string, n_selected long")
+    rows = T.contig_means(depth(s, d), GROUPING).join(n, "sample_set")
+    return rows.select("sample_set", "contig", F.col("len").alias("length"), F.round(F.col("mean") / F.when(F.col("n_selected") > 0, F.col("n_selected")), 8).alias("mean"), F.round("mean", 8).alias("total_mean"))
+
+
+def group_counts(s, d):
+    return s.createDataFrame(GROUPING.counts(SETS["pop1"]), "sample_set string, selected long, total long")
+
+
+def group_membership(s, d):
+    return s.createDataFrame([(c, ",".join(GROUPING.of_column(c))) for c in SAMPLES], "sample string, sample_sets string")
+
+
+def selection_overview(s, d):
+    g = genome(s, d)
+    r = _resolved(s, d, TWO, None, ("pop1",))
+    rows = [("Contigs", "all", len(TWO), len(g.contigs)), ("Samples", "all", len(r.columns), len(SAMPLES)), ("Positions", "all", r.n_positions, g.size)]
+    return s.createDataFrame(rows + [("Sample set", n, a, b) for n, a, b in GROUPING.counts(r.columns)], "type string, label string, active long, total long")
+
+
+def window_starts(s, d):
+    return P.window_starts(depth(s, d), WINDOW)
+
+
+def window_means(s, d):
+    means = P.window_means(depth(s, d), SAMPLES, WINDOW)
+    return means.select("contig_idx", "window", *[F.round(c, 8).alias(c) for c in SAMPLES])
+
+
+def window_cov(s, d):
+    row = P.covariance(P.window_means(depth(s, d), SAMPLES, WINDOW), SAMPLES)
+    pairs = [(a, b) for i, a in enumerate(SAMPLES) for b in SAMPLES[i:]]
+    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"{a}_{b}", 8).alias("covariance")) for a, b in pairs])))
+
+
+def pca_variance(s, d):
+    r = P.analyse(depth(s, d), SAMPLES, WINDOW)
+    return s.createDataFrame([(f"PC{i + 1}", float(v), float(q)) for i, (v, q) in enumerate(zip(r.eigenvalues, r.ratios))], "component string, eigenvalue double, explained_variance_ratio double")
+
+
+def pca_scores(s, d):
+    r = P.analyse(depth(s, d), SAMPLES, WINDOW)
+    k = 3
+    return s.createDataFrame([(c, *map(float, r.scores[i, :k])) for i, c in enumerate(SAMPLES)], "sample string, " + ", ".join(f"PC{i + 1} double" for i in range(k)))
+
+
+def mask_layers(s, d):
+    return M.layers(depth(s, d), GROUPING, LIMITS).select("pos", "sample_set", "excluded_coverage", "excluded_missing", "accessible")
+
+
+def mask_multi_cutoff(s, d):
+    rows = M.layers(depth(s, d), GROUPING, LIMITS, [12, 3])
+    return rows.groupBy("sample_set", "missing_cutoff").agg(F.count_if("accessible").alias("accessible_bp"), F.count_if("excluded_missing").alias("missing_bp"))
+
+
+def mask_bed(s, d):
+    return M.runs(M.layers(depth(s, d), GROUPING, {"ALL": LIMITS["ALL"]}), span=500).select("contig", "start", "end")
+
+
+def mask_bp(s, d):
+    rows = M.layers(depth(s, d), GROUPING, LIMITS)
+    return rows.groupBy("contig", "sample_set").agg(F.count_if("accessible").alias("accessible_bp"))
+
+
+_ALL = [track_sum, track_missingness, preprocess_multi_cutoff, sel_track, sel_columns, sel_merge_adjacent, sel_stride, hist_coverage, hist_sum_sets, hist_missing_sets, hist_coverage_contigs, hist_missing_adhoc, hist_bundle, hist_scaled, hist_fold, hist_stats, hist_boxplot, hist_quantile, thresholds, threshold_table, contig_means, group_counts, group_membership, selection_overview, coverage_table, missingness_table, contig_scatter, window_starts, window_means, window_cov, pca_variance, pca_scores, mask_layers, mask_multi_cutoff, mask_bed, mask_bp]
+
 
 def queries():
-    return {}
+    return {f.__name__: f for f in _ALL}
+
+
+# SQL: the derived track as a common table expression, then each query on it.
+_CELLS = ", ".join(f"CAST(sum(CASE WHEN l_linenumber = {k} THEN l_quantity ELSE 0 END) AS INT) AS s{k}" for k in range(1, 8))
+_TRACK = f"""
+ax AS (SELECT o_orderkey, o_orderpriority AS contig, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS lpos FROM orders),
+ct AS (SELECT contig, count(*) AS len FROM ax GROUP BY contig),
+gn AS (SELECT contig, len, row_number() OVER (ORDER BY contig) - 1 AS contig_idx, coalesce(sum(len) OVER (ORDER BY contig ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ct),
+ln AS (SELECT l_orderkey, {_CELLS} FROM lineitem GROUP BY l_orderkey),
+d AS (SELECT contig, CAST(contig_idx AS INT) AS contig_idx, CAST(len AS BIGINT) AS len, CAST(lpos AS BIGINT) AS lpos, CAST(start + lpos AS BIGINT) AS pos,
+  {", ".join(f"coalesce(s{k}, 0) AS s{k}" for k in range(1, 8))} FROM ax JOIN gn USING (contig) LEFT JOIN ln ON l_orderkey = o_orderkey)"""
+_SUM = {n: "CAST(" + " + ".join(c) + " AS BIGINT)" for n, c in SETS.items()}
+_IN_TWO = "contig IN ('1-URGENT', '3-MEDIUM')"
+
+
+def _gaps(columns, cutoff):
+    return "CAST(" + " + ".join(f"CAST({c} <= {cutoff} AS INT)" for c in columns) + " AS BIGINT)"
+
+
+def _union(parts):
+    return " UNION ALL ".join(parts)
+
+
+def _hist(where="true"):
+    return "h AS (SELECT sample_set, value, count(*) AS count FROM (" + _union(f"SELECT '{n}' AS sample_set, least({x}, {H.cap_of(len(SETS[n]))}) AS value FROM d WHERE {where}" for n, x in _SUM.items()) + ") GROUP BY ALL)"
+
+
+def _stats(source, name):
+    return f"""{name} AS (SELECT sample_set, min(value) AS min, sum(value * count) / sum(count) AS mean, max(value) AS max,
+  sqrt(sum(count * (value - m) * (value - m)) / sum(count)) AS std, min(CASE WHEN cum >= 0.5::DOUBLE * n THEN value END) AS median,
+  min(CASE WHEN cum >= 0.25::DOUBLE * n THEN value END) AS q1, min(CASE WHEN cum >= 0.75::DOUBLE * n THEN value END) AS q3
+  FROM (SELECT *, sum(count) OVER (PARTITION BY sample_set ORDER BY value) AS cum, sum(count) OVER (PARTITION BY sample_set) AS n,
+  sum(value * count) OVER (PARTITION BY sample_set) / sum(count) OVER (PARTITION BY sample_set) AS m FROM {source}) GROUP BY sample_set)"""
+
+
+_LIMIT_SQL = """w AS (SELECT sample_set, floor(0.6::DOUBLE * (sum(value * count) / sum(count))) AS lower, floor(min(CASE WHEN cum >= 0.995::DOUBLE * n THEN value END) * 1.2::DOUBLE) AS max_bin
+  FROM (SELECT *, sum(count) OVER (PARTITION BY sample_set ORDER BY value) AS cum, sum(count) OVER (PARTITION BY sample_set) AS n FROM h) GROUP BY sample_set),
+f AS (SELECT sample_set, least(value, greatest(max_bin, 1) - 1) AS value, sum(count) AS count FROM h JOIN w USING (sample_set) GROUP BY ALL), """ + _stats("f", "fs") + """,
+t AS (SELECT sample_set, CAST(lower AS BIGINT) AS lower, CAST(floor(median + 2 * std) AS BIGINT) AS upper, CAST(max_bin AS BIGINT) AS max_bin FROM w JOIN fs USING (sample_set))"""
+_LIMITS_SQL = "(VALUES " + ", ".join(f"('{n}', {p['lower_coverage']}, {p['upper_coverage']}, {p['max_missing_samples']}, {len(SETS[n])})" for n, p in LIMITS.items()) + ") AS l(sample_set, lo, up, mm, ns)"
+
+
+def _accessible(hist, lower, upper, size, source):
+    return f"""SELECT sample_set, CAST(round(sum(CASE WHEN value BETWEEN {lower} AND {upper} THEN count ELSE 0 END) * CAST({size} AS DOUBLE) / sum(count)) AS BIGINT) AS accessible_bp,
+  round(round(sum(CASE WHEN value BETWEEN {lower} AND {upper} THEN count ELSE 0 END) * CAST({size} AS DOUBLE) / sum(count)) / CAST({size} AS DOUBLE), 8) AS frac_full_genome FROM {hist} JOIN {source} USING (sample_set) GROUP BY sample_set"""
+
+
+def _layers(cutoffs):
+    parts = []
+    for n, p in LIMITS.items():
+        for k in cutoffs:
+            cov = f"({_SUM[n]} < {p['lower_coverage']} OR {_SUM[n]} > {p['upper_coverage']})"
+            gap = f"({_gaps(SETS[n], k)} > {p['max_missing_samples']})"
+            parts.append(f"SELECT contig, lpos, pos, '{n}' AS sample_set, {k} AS missing_cutoff, {cov} AS excluded_coverage, {gap} AS excluded_missing, NOT ({cov} OR {gap}) AS accessible FROM d")
+    return "m AS (" + _union(parts) + ")"
+
+
+_WINDOWS = f"wm AS (SELECT contig_idx, CAST(floor(lpos / {WINDOW}) AS BIGINT) AS win, " + ", ".join(f"sum({c}) / {WINDOW}::DOUBLE AS {c}" for c in SAMPLES) + f" FROM d WHERE floor(lpos / {WINDOW}) < floor(len / {WINDOW}) GROUP BY 1, 2)"
 
 
 def oracle_sql():
-    return {}
+    q, big = {}, "CAST({} AS BIGINT)"
+    q["track_sum"] = "SELECT pos, " + ", ".join(f"{x} AS sum_{n}" for n, x in _SUM.items()) + " FROM d"
+    gaps = lambda k: ", ".join(f"{_gaps(c, k)} AS missing_{k}_{n}" for n, c in SETS.items())
+    q["track_missingness"] = f"SELECT pos, {gaps(3)} FROM d"
+    q["preprocess_multi_cutoff"] = "SELECT pos, " + ", ".join(f"{x} AS sum_{n}" for n, x in _SUM.items()) + f", {gaps(3)}, {gaps(12)} FROM d"
+    q["sel_track"] = f"SELECT pos, s1, s4, s5 FROM d WHERE {_IN_TWO}"
+    q["sel_columns"] = "SELECT 's2' AS sample, CAST(sum(s2) AS BIGINT) AS total FROM d UNION ALL SELECT 's4', CAST(sum(s4) AS BIGINT) FROM d"
+    q["sel_merge_adjacent"] = "SELECT CAST(min(start) AS BIGINT) AS start, CAST(max(start + len) AS BIGINT) AS \"end\" FROM (SELECT start, len, contig_idx - row_number() OVER (ORDER BY contig_idx) AS g FROM gn WHERE contig IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED')) GROUP BY g"
+    strided = "SELECT *, row_number() OVER (ORDER BY pos) - 1 AS r, count(*) OVER () AS n FROM d"
+    q["sel_stride"] = f"SELECT pos, {_SUM['ALL']} AS \"sum_ALL\" FROM ({strided} WHERE {_IN_TWO}) WHERE r % CASE WHEN n > 1000 THEN CAST(ceil(n / 1000.0) AS BIGINT) ELSE 1 END = 0"
+    q["hist_coverage"] = "SELECT CAST(least(s1, 40) AS BIGINT) AS value, count(*) AS count FROM d GROUP BY 1"
+    q["hist_sum_sets"] = (_hist(), "SELECT * FROM h")
+    q["hist_coverage_contigs"] = (_hist(_IN_TWO), "SELECT * FROM h")
+    q["hist_missing_sets"] = "SELECT sample_set, value, count(*) AS count FROM (" + _union(f"SELECT '{n}' AS sample_set, {_gaps(c, 3)} AS value FROM d" for n, c in SETS.items()) + ") GROUP BY ALL"
+    q["hist_missing_adhoc"] = f"SELECT {_gaps(ADHOC, 12)} AS value, count(*) AS count FROM d WHERE {_IN_TWO} GROUP BY 1"
+    parts = []
+    for n, c in {"ALL": SAMPLES, "adhoc": ADHOC, "pop2": SETS["pop2"]}.items():
+        for m, x in {"sum": big.format(" + ".join(c)), "missing_3": _gaps(c, 3), "missing_12": _gaps(c, 12)}.items():
+            parts.append(f"SELECT '{n}' AS selection, '{m}' AS metric, {x} AS value FROM d")
+    q["hist_bundle"] = f"SELECT selection, metric, value, count(*) AS count FROM ({_union(parts)}) GROUP BY ALL"
+    k = "CASE WHEN n > 4000 THEN CAST(ceil(n / 4000.0) AS BIGINT) ELSE 1 END"
+    q["hist_scaled"] = f"SELECT {_SUM['ALL']} AS value, CAST(round_even(count(*) * (max(n)::DOUBLE / max(c)), 0) AS BIGINT) AS count FROM (SELECT *, count(*) OVER () AS c FROM ({strided}) WHERE r % {k} = 0) GROUP BY 1"
+    q["hist_fold"] = (_hist(), "SELECT sample_set, least(value, 99) AS value, CAST(sum(count) AS BIGINT) AS count FROM h GROUP BY ALL")
+    q["hist_stats"] = (_hist(), _stats("h", "st"), "SELECT sample_set, min, round(mean, 8) AS mean, median, max, round(std, 8) AS std FROM st")
+    q["hist_boxplot"] = (_hist(), _stats("h", "st"), "SELECT sample_set, min, q1, median, q3, max FROM st")
+    q["hist_quantile"] = (_hist(), "SELECT sample_set, q, min(value) AS value FROM (SELECT *, sum(count) OVER (PARTITION BY sample_set ORDER BY value) AS cum, sum(count) OVER (PARTITION BY sample_set) AS n FROM h), (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.995::DOUBLE)) AS x(q) WHERE cum >= q * n GROUP BY ALL")
+    q["thresholds"] = (_hist(), _LIMIT_SQL, "SELECT * FROM t")
+    fold1 = "f1 AS (SELECT sample_set, least(value, greatest(max_bin + 1, 1) - 1) AS value, sum(count) AS count FROM h JOIN t USING (sample_set) GROUP BY ALL)"
+    sizes = "(VALUES " + ", ".join(f"('{n}', {len(c)})" for n, c in SETS.items()) + ") AS z(sample_set, ns)"
+    means = ", ".join(f"round(mean * ({p} / 100::DOUBLE), 8) AS mean_{p}" for p in (60, 70, 80, 90))
+    q["threshold_table"] = (
+        _hist(), _LIMIT_SQL, fold1, _stats("f1", "s1"), f"a AS ({_accessible('f1', 'lower', 'upper', '(SELECT sum(len) FROM gn)', 't')})",
+        f"SELECT sample_set, CAST(ns AS BIGINT) AS n_samples, lower, upper, max_bin, round(lower / ns, 8) AS lower_by_sample, round(upper / ns, 8) AS upper_by_sample, accessible_bp, frac_full_genome, frac_full_genome AS frac_active_genome, CAST(median AS BIGINT) AS median, round(mean, 8) AS mean, {means}, round(median + std, 8) AS median_plus_std, round(median + 2 * std, 8) AS median_plus_2std, round(std, 8) AS std FROM t JOIN a USING (sample_set) JOIN s1 USING (sample_set) JOIN {sizes} USING (sample_set)",
+    )
+    q["coverage_table"] = (_hist(_IN_TWO), _accessible("h", "lo", "up", f"(SELECT sum(len) FROM gn WHERE {_IN_TWO})", _LIMITS_SQL))
+    q["missingness_table"] = "SELECT sample_set, CAST(count(*) FILTER (value <= mm) AS BIGINT) AS accessible_bp, round(count(*) FILTER (value <= mm) / CAST((SELECT sum(len) FROM gn) AS DOUBLE), 8) AS frac_genome, round(max(mm) / max(ns), 8) AS max_missing_by_sample FROM (" + _union(f"SELECT '{n}' AS sample_set, {_gaps(c, 3)} AS value FROM d" for n, c in SETS.items()) + f") JOIN {_LIMITS_SQL} USING (sample_set) GROUP BY sample_set"
+    q["contig_means"] = _union(f"SELECT contig, '{n}' AS sample_set, round(sum({x}) / max(len), 8) AS mean FROM d GROUP BY contig" for n, x in _SUM.items())
+    q["contig_scatter"] = _union(f"SELECT '{n}' AS sample_set, contig, max(len) AS length, round(sum({_SUM[n]}) / max(len) / nullif({a}, 0), 8) AS mean, round(sum({_SUM[n]}) / max(len), 8) AS total_mean FROM d GROUP BY contig" for n, a, _ in GROUPING.counts(ADHOC))
+    pairs = "(VALUES " + ", ".join(f"('{c}', '{n}')" for n, m in SETS.items() for c in m) + ") AS p(sample, sample_set)"
+    q["group_counts"] = f"SELECT sample_set, count(*) FILTER (sample IN ('s1', 's2', 's3')) AS selected, count(*) AS total FROM {pairs} GROUP BY sample_set"
+    q["group_membership"] = f"SELECT sample, coalesce(string_agg(sample_set, ',' ORDER BY sample_set) FILTER (sample_set <> 'ALL'), 'ALL') AS sample_sets FROM {pairs} GROUP BY sample"
+    q["selection_overview"] = f"SELECT 'Contigs' AS type, 'all' AS label, count(*) FILTER ({_IN_TWO}) AS active, count(*) AS total FROM gn UNION ALL SELECT 'Samples', 'all', 3, 7 UNION ALL SELECT 'Positions', 'all', CAST(sum(len) FILTER ({_IN_TWO}) AS BIGINT), CAST(sum(len) AS BIGINT) FROM gn UNION ALL SELECT 'Sample set', sample_set, count(*) FILTER (sample IN ('s1', 's2', 's3')), count(*) FROM {pairs} GROUP BY sample_set"
+    q["window_starts"] = f"SELECT contig_idx, CAST(floor(lpos / {WINDOW}) AS BIGINT) AS \"window\", min(pos) AS start FROM d WHERE floor(lpos / {WINDOW}) < floor(len / {WINDOW}) GROUP BY 1, 2"
+    q["window_means"] = (_WINDOWS, "SELECT contig_idx, win AS \"window\", " + ", ".join(f"round({c}, 8) AS {c}" for c in SAMPLES) + " FROM wm")
+    q["window_cov"] = (_WINDOWS, _union(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 8) AS covariance FROM wm" for i, a in enumerate(SAMPLES) for b in SAMPLES[i:]))
+    q["mask_layers"] = (_layers([3]), "SELECT pos, sample_set, excluded_coverage, excluded_missing, accessible FROM m")
+    q["mask_multi_cutoff"] = (_layers([3, 12]), "SELECT sample_set, missing_cutoff, count(*) FILTER (accessible) AS accessible_bp, count(*) FILTER (excluded_missing) AS missing_bp FROM m GROUP BY ALL")
+    q["mask_bed"] = (_layers([3]), "SELECT contig, min(lpos) AS start, max(lpos) + 1 AS \"end\" FROM (SELECT contig, lpos, lpos - row_number() OVER (PARTITION BY contig ORDER BY lpos) AS g FROM m WHERE sample_set = 'ALL' AND accessible) GROUP BY contig, g")
+    q["mask_bp"] = (_layers([3]), "SELECT contig, sample_set, count(*) FILTER (accessible) AS accessible_bp FROM m GROUP BY ALL")
+    out = {}
+    for name, x in q.items():
+        *more, last = x if isinstance(x, tuple) else (x,)
+        out[name] = "WITH " + ",\n".join([_TRACK, *more]) + "\n" + last
+    return out
