@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 MIN_WORDS = 20
 MOST_WORDS = 16
 cut = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+").findall
@@ -112,6 +114,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     table = span_table(docs, min_words)
     place = F.struct("row_id", "row_text", "start")
     first = table.groupBy("h", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "h2", "first")
+    # written first, so that the join is between plain shuffles, which adaptive execution can split
+    first = checkpointed(first)
     later = table.join(first, ["h", "h2"]).where(place != F.col("first"))
     return later.groupBy("row_id", "row_text").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
 
