@@ -36,5 +36,62 @@ def queries() -> dict:
     }
 
 
+def license_sql() -> str:
+    """Every block against every template, without index or filters."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = lambda x: f"regexp_extract_all(translate({x}, '{upper}', '{lower}'), '{word}')"
+    places, found = [], []
+    for phrase, label in licenses.PHRASES:
+        at = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
+        places.append(f"list_filter(range(len(ws)), lambda i: {at}) AS at_{label}")
+        found.append(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END")
+    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in licenses.template_words(text))}])" for label, text in licenses.TEMPLATES)
+    everywhere = " || ".join(f"at_{label}" for _, label in licenses.PHRASES)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, {words("text")} AS ws FROM t),
+p AS (SELECT doc_id, len(ws) AS n_words, {", ".join(places)} FROM w),
+b AS (SELECT doc_id, list_distinct({words("line")}) AS own FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
+h AS (SELECT doc_id, label, len(list_intersect(own, words)) / len(words) AS c FROM b, (VALUES {templates}) AS v(label, words)
+  WHERE len(list_intersect(own, words)) >= ceil(len(words) * {licenses.THRESHOLD} - 1e-9)),
+g AS (SELECT doc_id, list(DISTINCT label) AS more, max(c) AS c FROM h GROUP BY doc_id),
+r AS (SELECT doc_id, n_words, {everywhere} AS places, list_filter([{", ".join(found)}], lambda x: x IS NOT NULL) AS base FROM p)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ','), '') AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score FROM r LEFT JOIN g USING (doc_id)"""
+
+
+def quality_sql() -> str:
+    """Counts by unnesting all windows, bounds by summing the binomial distribution."""
+    word = r"[^\x20\x09-\x0D]+"
+    share, rules = quality.RISK / len(quality.RULES), quality.RULES
+    feature = {
+        "symbols": "n_symbols / greatest(word_chars, 1)",
+        "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
+        "repeats": "n_repeat_words / greatest(n_words, 1)",
+        "long_words": "word_chars / greatest(n_words, 1)",
+        "short_words": "-word_chars / greatest(n_words, 1)",
+    }
+    grid = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in rules.items() for c in cs)
+    values = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, CAST({x} AS DOUBLE) AS v FROM c" for r, x in feature.items())
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}::DOUBLE) + (n - i) * ln(1 - {share}::DOUBLE))))"
+    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, stratum, text, regexp_extract_all(text, '{word}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM t),
+win AS (SELECT doc_id, i, ws[i + 1 : i + 5] AS g FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, 0))) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
+d AS (SELECT doc_id, stratum, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN cov USING (doc_id)),
+c AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM d),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
+f AS ({values}),
+s AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (v > cut) AS k FROM f JOIN good USING (doc_id) JOIN (VALUES {grid}) AS x(rule, cut) USING (rule) WHERE NOT base_failed GROUP BY ALL),
+passed AS (SELECT stratum, rule, min(cut) AS cut FROM s WHERE k < n * {share} AND {tail} <= {quality.DELTA} / ((SELECT count(DISTINCT stratum) FROM s) * {sum(map(len, rules.values()))}) GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM f JOIN passed USING (stratum, rule) WHERE v > cut)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM c LEFT JOIN bad USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": license_sql(), "op6_quality_rules": quality_sql()}
