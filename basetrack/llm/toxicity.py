@@ -18,7 +18,7 @@ executors is one number for each n-gram that LEAST_DOCS training documents have
 
 Rows: null texts count as empty; a text without words has the score of the
 bias; repeated rows each give a row; documents whose labels contradict each
-other are not used; with no usable label of either class every score is 0.
+other are not used; unless both classes have a usable label every score is 0.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     starts = np.concatenate(([0], np.cumsum(kept)))
     table = rng.normal(0, 0.01, (len(rows), DIM))
     softmax = rng.normal(0, 0.5, (DIM, 2))
-    bias = np.zeros(2)
+    bias = np.array([2.0, -2.0])  # else plain words would have to say that they are clean
     squares = [np.full_like(table, 1e-8), np.full_like(softmax, 1e-8), np.full_like(bias, 1e-8)]
     used = [i for i, d in enumerate(docs) if len(d)]
     word_of_gram = word_of_gram[common]
