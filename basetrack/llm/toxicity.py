@@ -96,6 +96,8 @@ class Model:
         return sum([get(g, 0.0) for g in grams]) / len(grams)
 
     def score(self, text: str | None, cache: dict[str, float]) -> float:
+        if self.bias == -math.inf:
+            return 0.0
         scores = []
         for w in words_of(text):
             s = cache.get(w)
@@ -112,7 +114,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Table and softmax trained jointly on whole texts; classes weigh the same."""
     y = np.array(labels)
     if not (y == 1).any() or not (y == 0).any():
-        return Model({}, -1000.0)
+        return Model({}, -math.inf)
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int32) for t in texts]
