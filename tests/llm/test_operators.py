@@ -103,6 +103,52 @@ def test_components(spark):
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
+def brute_wide(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    grams = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+    counts, m64 = [0] * 512, (1 << 64) - 1
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), 42)
+        for word in range(8):
+            x = (h + (word + 1) * 0x9E3779B97F4A7C15) & m64
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m64
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m64
+            x ^= x >> 31
+            for k, byte in enumerate(x.to_bytes(8, "little")):
+                for j in range(8):
+                    counts[64 * word + 8 * k + j] += byte >> (7 - j) & 1
+    bits = [2 * c > len(grams) for c in counts]
+    return [sum(1 << b for b in range(32) if bits[32 * i + b]) for i in range(16)]
+
+
+def test_wide_simhash(texts):
+    for text in [*list(texts.values())[:25], None, "", "One two", "a b c d e " * 2000]:
+        assert simhash.wide_simhash(text) == brute_wide(text)
+    assert simhash.most_differing(0.8, 512) == 85
+
+
+def test_near_dedup_finds_edited_copies_and_keeps_the_rest(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    rows, copies = [], set()
+    for i in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        rows.append((i, " ".join(text)))
+        for c in range(3):  # one edit in 100 words leaves about 90 % of the shingles
+            edited = list(text)
+            for k in rng.sample(range(len(text)), len(text) // 100):
+                edited[k] = "edited"
+            rows.append((1000 + 3 * i + c, " ".join(edited)))
+            copies.add(1000 + 3 * i + c)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.near_dedup(table).collect()}
+    assert kept == set(range(60))
+    prints = {i: brute_wide(t) for i, t in rows}
+    near = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j])) <= 85
+    for r in simhash.near_classes(table).collect():
+        assert r["doc_id"] == r["component_id"] or any(near(r["doc_id"], j) for j in prints if j != r["doc_id"])
+
+
 # 2
 
 def test_tiling_brute():
