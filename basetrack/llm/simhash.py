@@ -197,18 +197,22 @@ def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     them, so the balls are made of distinct values only and a bucket holds at
     most 1 + ``bits`` values, however many texts share one.
     """
-    exploded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    values = checkpointed(exploded.groupBy("band", "value").agg(F.min("node").alias("center")))
-    equal = exploded.join(values, ["band", "value"]).select("node", "center")
+    key = F.shiftleft(F.col("band").cast("long"), bits).bitwiseOR(F.col("value")).alias("key")
+    exploded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", key)
+    values = checkpointed(exploded.groupBy("key").agg(F.min("node").alias("center")))
+    equal = exploded.join(values, "key").select("node", "center")
+    # as in links, but rows in the shuffle are three longs: band and upper half, lower half and mark, center
     half = bits // 2
     flips = lambda start, stop: F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(start, stop))]])
-    sent = values.select("band", "center", "value", F.explode(flips(half, bits)).alias("mask"))
-    sent = sent.select("band", "center", F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), (F.col("mask") == 0).alias("whole"))
-    dealt = sent.withColumn("upper", F.shiftright("variant", half)).repartition("band", "upper")
+    sent = values.select("key", "center", F.explode(flips(half, bits)).alias("mask"))
+    lower = F.shiftleft(F.col("key").bitwiseAND(F.lit((1 << half) - 1)), 1).bitwiseOR((F.col("mask") == 0).cast("long"))
+    upper = F.shiftright(F.col("key").bitwiseXOR(F.col("mask")), half)
+    dealt = sent.select(upper.alias("upper"), lower.alias("lower"), "center").repartition("upper")
     zero = F.array(F.lit(0).cast("long"))
-    met = dealt.select("band", "upper", "center", "variant", F.explode(F.when(F.col("whole"), flips(0, half)).otherwise(zero)).alias("mask"))
-    met = met.select("band", "upper", "center", F.col("variant").bitwiseXOR(F.col("mask")).alias("variant"))
-    star = F.min("center").over(Window.partitionBy("band", "upper", "variant"))
+    whole = F.col("lower").bitwiseAND(F.lit(1).cast("long")) == 1
+    met = dealt.select("upper", "lower", "center", F.explode(F.when(whole, flips(0, half)).otherwise(zero)).alias("mask"))
+    met = met.select("upper", "center", F.shiftright("lower", 1).bitwiseXOR(F.col("mask")).alias("lower"))
+    star = F.min("center").over(Window.partitionBy("upper", "lower"))
     near = met.select(F.col("center").alias("node"), star.alias("center"))
     both = equal.unionByName(near).where("node != center")
     return both.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()

@@ -127,6 +127,24 @@ def test_wide_simhash(texts):
     assert simhash.most_differing(0.8, 512) == 85
 
 
+def test_candidates_connect_all_within_two_bits_of_a_band(spark):
+    rng, rows = random.Random(3), []
+    for i in range(150):
+        old = rows[rng.randrange(len(rows))][1] if i % 3 else [rng.getrandbits(32) for _ in range(3)]
+        rows.append((i, [v ^ sum(1 << b for b in rng.sample(range(32), rng.randint(0, 3))) for v in old]))
+    got = {tuple(r) for r in simhash.candidates(spark.createDataFrame(rows, "node long, bands array<long>")).collect()}
+    true = {(i, j) for (i, x), (j, y) in itertools.combinations(rows, 2) if any((p ^ q).bit_count() <= 2 for p, q in zip(x, y))}
+
+    def classes(links):
+        label = list(range(len(rows)))
+        for _ in rows:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert got <= true and classes(got) == classes(true)
+
+
 def test_near_dedup_finds_edited_copies_and_keeps_the_rest(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
