@@ -23,7 +23,9 @@ Every link is verified by counting bits, and links are deduplicated.
 fingerprints differ in about 15 % of their bits: no ball around 64 bits holds
 them.  It makes a wide fingerprint of 16 bands of 32 bits and hashes the balls
 of each band, at radius 2, by the same meeting in the middle; what a band
-brings together is verified on all 512 bits.  A band meets with probability
+brings together is verified by the exact Jaccard similarity of the whole sets
+of shingle hashes, long ones in pieces, before it is a link; all 512 bits only
+sort out what is far away.  A band meets with probability
 0.12, 0.20, 0.34 and 0.59 at similarities of 0.8, 0.85, 0.9 and 0.95, one of 16
 with 0.87, 0.97, 0.999 and 1.  Bands of 32 bits fill up beyond some 10^8
 distinct texts, where strangers would become the centers of buckets; bits=40
@@ -42,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, shuffle_partitions
@@ -57,6 +59,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 16
 BITS = 32
+# standard deviations beyond the expected distance that the prefilter of the exact comparison lets pass
+DEVIATIONS = 4
+# hashes of a set in a row, about
+PIECE = 1 << 16
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -150,14 +156,18 @@ def components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_simhash(text: str | None, shingle: int = SHINGLE, bands: int = BANDS, bits: int = BITS) -> list[int]:
-    """``bands`` fingerprints of ``bits`` bits over the distinct shingles of a whole text; without words all are zero."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a whole text's shingles, in order; none without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return [0] * bands
+        return np.zeros(0, dtype=np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     grams = map(join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [join(words)]
-    hashes = np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64))
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64))
+
+
+def wide_bits(hashes: np.ndarray, bands: int = BANDS, bits: int = BITS) -> list[int]:
+    """``bands`` fingerprints of ``bits`` bits over a set of hashes; all are zero if it is empty."""
     seeds = np.arange(1, -(-bands * bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(64 * len(seeds), dtype=np.int64)
     for start in range(0, len(hashes), 4080):
@@ -172,22 +182,48 @@ def wide_simhash(text: str | None, shingle: int = SHINGLE, bands: int = BANDS, b
     return (set_bits @ (1 << np.arange(bits, dtype=np.int64))).tolist()
 
 
+def wide_simhash(text: str | None, shingle: int = SHINGLE, bands: int = BANDS, bits: int = BITS) -> list[int]:
+    """``bands`` fingerprints of ``bits`` bits over the distinct shingles of a whole text; without words all are zero."""
+    return wide_bits(shingle_hashes(text, shingle), bands, bits)
+
+
+def level_of(n: float) -> int:
+    """A set of n hashes is compared in 2 ** level pieces, by the upper bits of the hashes."""
+    return max(0, math.ceil(math.log2(n / PIECE))) if n else 0
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_text, text) of every row that has a doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_text"), F.col("text").cast("string"))
+    return rows.where(F.col("doc_id").isNotNull())
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, bits: int = BITS) -> DataFrame:
-    """(doc_id, bands) of every row of ``docs`` that has a doc_id."""
+    """(doc_id, row_text, node, n, level, bands) of every row of ``docs`` that has a doc_id; node names the set of n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_simhash(t.as_py(), shingle, bands, bits) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "bands"])
+            sets = [shingle_hashes(t.as_py(), shingle) for t in batch.column(2)]
+            names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            columns = [
+                pa.array(names, pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([level_of(len(s)) for s in sets], pa.int32()),
+                pa.array([wide_bits(s, bands, bits) for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_text", "node", "n", "level", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(run, "doc_id long, bands array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, row_text long, node long, n long, level int, bands array<long>")
 
 
-def most_differing(similarity: float, n_bits: int) -> int:
-    """The bits in which wide fingerprints of texts of that Jaccard similarity differ: what is expected and one standard deviation."""
+def most_differing(similarity: float, n_bits: int, deviations: float = 1) -> int:
+    """The bits in which wide fingerprints of texts of that Jaccard similarity differ: what is expected and so many standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(n_bits * share + math.sqrt(n_bits * share * (1 - share)))
+    return math.floor(n_bits * share + deviations * math.sqrt(n_bits * share * (1 - share)))
+
+
+def bits_apart(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
@@ -217,20 +253,57 @@ def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     both = equal.unionByName(near).where("node != center")
     return both.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
+def shingle_sets(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, level, piece, hashes) of ``texts`` (node, text): at every level that a text of that similarity may ask for."""
 
-def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, bits: int = BITS) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id: the smallest doc_id that links of wide fingerprints reach.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                for level in range(level_of(len(hashes)), level_of(len(hashes) / similarity) + 1):
+                    cuts = np.searchsorted(hashes, np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)) if level else []
+                    for piece, part in enumerate(np.split(hashes, cuts)):
+                        values = [pa.array([x], t) for x, t in ((node, pa.int64()), (level, pa.int32()), (piece, pa.int32()))]
+                        yield pa.record_batch([*values, pa.array([part.view(np.int64)], pa.list_(pa.int64()))], names=["node", "level", "piece", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, level int, piece int, hashes array<long>")
 
-    Every colliding pair is verified on all bands * bits bits.
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, n_bits: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have that Jaccard similarity, written.
+
+    The wide fingerprints only spare comparisons; what decides is the exact
+    similarity of the whole sets.
     """
+    ends = [nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "level", "bands")]) for x in "ab"]
+    near = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+    near = near.where(bits_apart("a_bands", "b_bands") <= most_differing(similarity, n_bits, DEVIATIONS))
+    near = checkpointed(near.select("a", "b", "a_n", "b_n", F.greatest("a_level", "b_level").alias("level")))
+    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    asked = nodes.select("node", "row.*").join(asked, "node", "left_semi")
+    texts = _rows(docs).join(asked, ["doc_id", "row_text"]).groupBy("node").agg(F.min("text").alias("text"))
+    sets = checkpointed(shingle_sets(texts, shingle, similarity))
+    left = near.join(sets.select(F.col("node").alias("a"), "level", "piece", F.col("hashes").alias("a_hashes")), ["a", "level"])
+    both = left.join(sets.select(F.col("node").alias("b"), "level", "piece", F.col("hashes").alias("b_hashes")), ["b", "level", "piece"])
+    shared = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_hashes", "b_hashes")).alias("shared"))
+    shared = shared.groupBy("a", "b", "a_n", "b_n").agg(F.sum("shared").alias("shared"))
+    return checkpointed(shared.where(F.col("shared") >= similarity * (F.col("a_n") + F.col("b_n") - F.col("shared")) - 1e-9).select("a", "b"))
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, bits: int) -> DataFrame:
+    """(doc_id, row_text, component_id) of every row with a doc_id."""
     prints = checkpointed(wide_fingerprints(docs, shingle, bands, bits))
-    nodes = checkpointed(prints.groupBy("bands").agg(F.min("doc_id").alias("node")))
-    ends = [nodes.select(F.col("node").alias(end), F.col("bands").alias(f"{end}_bands")) for end in "ab"]
-    pairs = candidates(nodes, bits).join(ends[0], "a").join(ends[1], "b")
-    apart = F.aggregate(F.zip_with("a_bands", "b_bands", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    found = connected_components(checkpointed(pairs.where(apart <= most_differing(similarity, bands * bits)).select("a", "b")))
-    named = nodes.join(found, "node", "left").select("bands", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "bands").select("doc_id", "component_id")
+    kept = [F.first(c).alias(c) for c in prints.columns[3:]]
+    nodes = checkpointed(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row_text")).alias("row"), *kept))
+    found = connected_components(similar(candidates(nodes, bits), nodes, docs, shingle, similarity, bands * bits))
+    named = nodes.join(found, "node", "left").select("node", F.col("row.doc_id").alias("first"), F.coalesce("component", "node").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return prints.select("doc_id", "row_text", "node").join(named.join(smallest, "component").select("node", "component_id"), "node").drop("node")
+
+
+def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: the smallest doc_id that links of that Jaccard similarity reach."""
+    return _classes(docs, shingle, similarity, bands, bits).select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, bits: int = BITS) -> DataFrame:
@@ -239,9 +312,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     All columns stay.  Repeated rows of the kept doc_id stay as they are; rows
     without a doc_id stay, as nothing names them.
     """
-    classes = near_classes(docs, shingle, similarity, bands, bits)
-    lost = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost_doc_id")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["_lost_doc_id"], "left_anti")
+    classes = _classes(docs, shingle, similarity, bands, bits).where(F.col("doc_id") != F.col("component_id"))
+    lost = classes.select(F.col("doc_id").alias("_lost_doc_id"), F.col("row_text").alias("_lost_text")).distinct()
+    same = (docs["doc_id"] == lost["_lost_doc_id"]) & (F.xxhash64(docs["text"]) == lost["_lost_text"])
+    return docs.join(lost, same, "left_anti")
 
 
 def query(docs: DataFrame) -> DataFrame:

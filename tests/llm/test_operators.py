@@ -167,6 +167,24 @@ def test_near_dedup_finds_edited_copies_and_keeps_the_rest(spark):
         assert r["doc_id"] == r["component_id"] or any(near(r["doc_id"], j) for j in prints if j != r["doc_id"])
 
 
+def brute_jaccard(x, y):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.split(), y.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_keeps_a_family_below_the_threshold(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage = " ".join(word() for _ in range(170))
+    rows = [(i, f"{passage} {' '.join(word() for _ in range(30))}") for i in range(60)]
+    assert max(brute_jaccard(x, y) for (_, x), (_, y) in itertools.combinations(rows, 2)) < 0.8
+    rows += [(100, rows[7][1] + " tail"), (7, "another text of the same id")]
+    long = [word() for _ in range(150_000)]  # compared in pieces
+    rows += [(200, " ".join(long)), (201, " ".join(long[10_000:])), (202, " ".join(long[:100_000] + [word() for _ in range(50_000)]))]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(60), 7, 200, 202])
+
+
 # 2
 
 def test_tiling_brute():
