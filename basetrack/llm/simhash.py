@@ -25,7 +25,8 @@ them.  It makes a wide fingerprint of 16 bands of 32 bits and hashes the balls
 of each band, at radius 2, by the same meeting in the middle; what a band
 brings together is verified by the exact Jaccard similarity of the whole sets
 of shingle hashes, long ones in pieces, before it is a link; all 512 bits only
-sort out what is far away.  A band meets with probability
+sort out what is far away.  Each bucket is first compared with its smallest
+text, then, where that leaves several components in it, across these.  A band meets with probability
 0.12, 0.20, 0.34 and 0.59 at similarities of 0.8, 0.85, 0.9 and 0.95, one of 16
 with 0.87, 0.97, 0.999 and 1.  Bands of 32 bits fill up beyond some 10^8
 distinct texts, where strangers would become the centers of buckets; bits=40
@@ -226,17 +227,18 @@ def bits_apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b), a < b: nodes that a band brings together; ``nodes`` has columns node and bands.
+def meetings(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(key, node, center) of the nodes that share a value of a band, (upper, lower, center, star) of the values that meet in a ball.
 
-    Nodes with equal values of a band are each paired with the smallest of
-    them, so the balls are made of distinct values only and a bucket holds at
-    most 1 + ``bits`` values, however many texts share one.
+    ``nodes`` has columns node and bands; center is the smallest node with a
+    value, star the smallest center in a ball.  The balls are made of distinct
+    values only, so a bucket holds at most 1 + ``bits`` values, however many
+    texts share one.  What is alone in a bucket is left out.
     """
     key = F.shiftleft(F.col("band").cast("long"), bits).bitwiseOR(F.col("value")).alias("key")
     exploded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", key)
-    values = checkpointed(exploded.groupBy("key").agg(F.min("node").alias("center")))
-    equal = exploded.join(values, "key").select("node", "center")
+    values = checkpointed(exploded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")))
+    equal = checkpointed(exploded.join(values.where("center != last").select("key", "center"), "key"))
     # as in links, but rows in the shuffle are three longs: band and upper half, lower half and mark, center
     half = bits // 2
     flips = lambda start, stop: F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(start, stop))]])
@@ -248,11 +250,43 @@ def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     whole = F.col("lower").bitwiseAND(F.lit(1).cast("long")) == 1
     met = dealt.select("upper", "lower", "center", F.explode(F.when(whole, flips(0, half)).otherwise(zero)).alias("mask"))
     met = met.select("upper", "center", F.shiftright("lower", 1).bitwiseXOR(F.col("mask")).alias("lower"))
-    star = F.min("center").over(Window.partitionBy("upper", "lower"))
-    near = met.select(F.col("center").alias("node"), star.alias("center"))
-    both = equal.unionByName(near).where("node != center")
+    ball = Window.partitionBy("upper", "lower")
+    met = met.select("upper", "lower", "center", F.min("center").over(ball).alias("star"), F.max("center").over(ball).alias("last"))
+    return equal, checkpointed(met.where("star != last").drop("last"))
+
+
+def stars(equal: DataFrame, met: DataFrame) -> DataFrame:
+    """(a, b), a < b: each node of a bucket with the smallest one there."""
+    both = equal.select("node", "center").unionByName(met.select(F.col("center").alias("node"), F.col("star").alias("center"))).where("node != center")
     return both.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
+
+def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b), a < b: nodes that a band brings together, enough of them to connect all that are within two bits of a band."""
+    return stars(*meetings(nodes, bits))
+
+
+def strangers(nodes: DataFrame, equal: DataFrame, met: DataFrame, found: DataFrame, similarity: float, bits: int, n_bits: int) -> DataFrame:
+    """(a, b), a < b: all pairs that a bucket brings together and that ``found`` (node, component) has not joined.
+
+    A star joins a bucket only as far as its center is similar to the rest.
+    Where that leaves several components in a bucket, each pair of nodes from
+    different ones is compared; in all other buckets nothing is left to find.
+    """
+    band = (F.shiftright("upper", bits - bits // 2)).alias("band")
+    same = equal.where("key >= 0").select(F.shiftright("key", bits).alias("band"), "center", "node")
+    balls = met.select("upper", "lower", "center", band).join(same, ["band", "center"], "left").select("upper", "lower", F.coalesce("node", "center").alias("node"))
+    rows = balls.unionByName(equal.select(F.col("key").alias("upper"), F.lit(-1).cast("long").alias("lower"), "node"))
+    rows = checkpointed(rows.join(found, "node", "left").select("upper", "lower", "node", F.coalesce("component", "node").alias("component")))
+    mixed = rows.groupBy("upper", "lower").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    rows = checkpointed(rows.join(mixed.select("upper", "lower"), ["upper", "lower"]).join(nodes.select("node", "n", "bands"), "node"))
+    ends = [rows.select("upper", "lower", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n", "bands")]) for x in "ab"]
+    apart = F.expr("a_component < b_component") & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+    near = bits_apart("a_bands", "b_bands") <= most_differing(similarity, n_bits, DEVIATIONS)
+    pairs = ends[0].join(ends[1], ["upper", "lower"]).where(apart & near)
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def shingle_sets(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, level, piece, hashes) of ``texts`` (node, text): at every level that a text of that similarity may ask for."""
 
@@ -295,7 +329,12 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, bits:
     prints = checkpointed(wide_fingerprints(docs, shingle, bands, bits))
     kept = [F.first(c).alias(c) for c in prints.columns[3:]]
     nodes = checkpointed(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row_text")).alias("row"), *kept))
-    found = connected_components(similar(candidates(nodes, bits), nodes, docs, shingle, similarity, bands * bits))
+    equal, met = meetings(nodes, bits)
+    linked = similar(stars(equal, met), nodes, docs, shingle, similarity, bands * bits)
+    found = connected_components(linked)
+    rest = similar(strangers(nodes, equal, met, found, similarity, bits, bands * bits), nodes, docs, shingle, similarity, bands * bits)
+    if not rest.isEmpty():
+        found = connected_components(linked.unionByName(rest))
     named = nodes.join(found, "node", "left").select("node", F.col("row.doc_id").alias("first"), F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "row_text", "node").join(named.join(smallest, "component").select("node", "component_id"), "node").drop("node")

@@ -185,6 +185,21 @@ def test_near_dedup_keeps_a_family_below_the_threshold(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(60), 7, 200, 202])
 
 
+def test_near_dedup_finds_copies_within_a_family(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage = " ".join(word() for _ in range(160))
+    rows = [(i, f"{passage} {' '.join(word() for _ in range(40))}") for i in range(200)]
+    rows += [(1000 + i, f"{rows[i][1]} {word()} {word()}") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    # one band, so that a pair has one chance to meet
+    value, text, label = {i: simhash.wide_simhash(t, 5, 1)[0] for i, t in rows}, dict(rows), {i: i for i, _ in rows}
+    true = [(i, j) for i, j in itertools.combinations(text, 2) if (value[i] ^ value[j]).bit_count() <= 2 and brute_jaccard(text[i], text[j]) >= 0.8]
+    for i, j in true:
+        label = {k: min(label[i], label[j]) if x in (label[i], label[j]) else x for k, x in label.items()}
+    assert len(true) > 50 and dict(rows_of(simhash.near_classes(table, bands=1))) == label
+
+
 # 2
 
 def test_tiling_brute():
