@@ -28,7 +28,10 @@ of shingle hashes, long ones in pieces, before it is a link; all 512 bits only
 sort out what is far away.  Each bucket is first compared with its smallest
 text, then, where that leaves several components in it, across these.  A band meets with probability
 0.12, 0.20, 0.34 and 0.59 at similarities of 0.8, 0.85, 0.9 and 0.95, one of 16
-with 0.87, 0.97, 0.999 and 1.  Bands of 32 bits fill up beyond some 10^8
+with 0.87, 0.97, 0.999 and 1.  Beside them each text has 24 keys of six
+min-hashes that meet their equals: one of them with 0.9993, 0.99999 and more,
+so of two texts at 0.8 that no other connects about one pair in 10^4 is
+missed (calculated).  Bands of 32 bits fill up beyond some 10^8
 distinct texts, where strangers would become the centers of buckets; bits=40
 and bands=20 serve 10^10 of them (0.87 at 0.85, 0.99 at 0.9).
 
@@ -64,6 +67,9 @@ BITS = 32
 DEVIATIONS = 4
 # hashes of a set in a row, about
 PIECE = 1 << 16
+# keys of min-hashes beside the bands, and min-hashes of a key
+HASH_KEYS = 24
+HASH_ROWS = 6
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -188,6 +194,17 @@ def wide_simhash(text: str | None, shingle: int = SHINGLE, bands: int = BANDS, b
     return wide_bits(shingle_hashes(text, shingle), bands, bits)
 
 
+def min_hash_keys(hashes: np.ndarray, keys: int = HASH_KEYS, rows: int = HASH_ROWS) -> list[int]:
+    """``keys`` negative longs that each name ``rows`` min-hashes of a set; none if it is empty."""
+    if not len(hashes) or not keys:
+        return []
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, keys * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(odd), np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[start : start + 1024] * odd[:, None]).min(axis=1), out=least)
+    return [(xxhash.xxh64_intdigest(part.tobytes(), k) >> 1) - (1 << 63) for k, part in enumerate(least.reshape(keys, rows))]
+
+
 def level_of(n: float) -> int:
     """A set of n hashes is compared in 2 ** level pieces, by the upper bits of the hashes."""
     return max(0, math.ceil(math.log2(n / PIECE))) if n else 0
@@ -199,8 +216,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull())
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, bits: int = BITS) -> DataFrame:
-    """(doc_id, row_text, node, n, level, bands) of every row of ``docs`` that has a doc_id; node names the set of n shingles."""
+def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, bits: int = BITS, keys: int = HASH_KEYS) -> DataFrame:
+    """(doc_id, row_text, node, n, level, bands, keys) of every row of ``docs`` that has a doc_id; node names the set of n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +228,11 @@ def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = BAND
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([level_of(len(s)) for s in sets], pa.int32()),
                 pa.array([wide_bits(s, bands, bits) for s in sets], pa.list_(pa.int64())),
+                pa.array([min_hash_keys(s, keys) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_text", "node", "n", "level", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_text", "node", "n", "level", "bands", "keys"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, row_text long, node long, n long, level int, bands array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, row_text long, node long, n long, level int, bands array<long>, keys array<long>")
 
 
 def most_differing(similarity: float, n_bits: int, deviations: float = 1) -> int:
@@ -230,19 +248,21 @@ def bits_apart(a: str, b: str) -> Column:
 def meetings(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(key, node, center) of the nodes that share a value of a band, (upper, lower, center, star) of the values that meet in a ball.
 
-    ``nodes`` has columns node and bands; center is the smallest node with a
+    ``nodes`` has columns node and bands, and may have keys, which only meet their equals; center is the smallest node with a
     value, star the smallest center in a ball.  The balls are made of distinct
     values only, so a bucket holds at most 1 + ``bits`` values, however many
     texts share one.  What is alone in a bucket is left out.
     """
     key = F.shiftleft(F.col("band").cast("long"), bits).bitwiseOR(F.col("value")).alias("key")
     exploded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", key)
+    if "keys" in nodes.columns:
+        exploded = exploded.unionByName(nodes.select("node", F.explode("keys").alias("key")))
     values = checkpointed(exploded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")))
     equal = checkpointed(exploded.join(values.where("center != last").select("key", "center"), "key"))
     # as in links, but rows in the shuffle are three longs: band and upper half, lower half and mark, center
     half = bits // 2
     flips = lambda start, stop: F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(start, stop))]])
-    sent = values.select("key", "center", F.explode(flips(half, bits)).alias("mask"))
+    sent = values.where("key >= 0").select("key", "center", F.explode(flips(half, bits)).alias("mask"))
     lower = F.shiftleft(F.col("key").bitwiseAND(F.lit((1 << half) - 1)), 1).bitwiseOR((F.col("mask") == 0).cast("long"))
     upper = F.shiftright(F.col("key").bitwiseXOR(F.col("mask")), half)
     dealt = sent.select(upper.alias("upper"), lower.alias("lower"), "center").repartition("upper")
@@ -324,9 +344,9 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     return checkpointed(shared.where(F.col("shared") >= similarity * (F.col("a_n") + F.col("b_n") - F.col("shared")) - 1e-9).select("a", "b"))
 
 
-def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, bits: int) -> DataFrame:
+def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, bits: int, keys: int) -> DataFrame:
     """(doc_id, row_text, component_id) of every row with a doc_id."""
-    prints = checkpointed(wide_fingerprints(docs, shingle, bands, bits))
+    prints = checkpointed(wide_fingerprints(docs, shingle, bands, bits, keys))
     kept = [F.first(c).alias(c) for c in prints.columns[3:]]
     nodes = checkpointed(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row_text")).alias("row"), *kept))
     equal, met = meetings(nodes, bits)
@@ -340,18 +360,18 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, bits:
     return prints.select("doc_id", "row_text", "node").join(named.join(smallest, "component").select("node", "component_id"), "node").drop("node")
 
 
-def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, bits: int = BITS, keys: int = HASH_KEYS) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: the smallest doc_id that links of that Jaccard similarity reach."""
-    return _classes(docs, shingle, similarity, bands, bits).select("doc_id", "component_id")
+    return _classes(docs, shingle, similarity, bands, bits, keys).select("doc_id", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, bits: int = BITS, keys: int = HASH_KEYS) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest doc_id.
 
     All columns stay.  Repeated rows of the kept doc_id stay as they are; rows
     without a doc_id stay, as nothing names them.
     """
-    classes = _classes(docs, shingle, similarity, bands, bits).where(F.col("doc_id") != F.col("component_id"))
+    classes = _classes(docs, shingle, similarity, bands, bits, keys).where(F.col("doc_id") != F.col("component_id"))
     lost = classes.select(F.col("doc_id").alias("_lost_doc_id"), F.col("row_text").alias("_lost_text")).distinct()
     same = (docs["doc_id"] == lost["_lost_doc_id"]) & (F.xxhash64(docs["text"]) == lost["_lost_text"])
     return docs.join(lost, same, "left_anti")

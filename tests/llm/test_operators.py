@@ -192,12 +192,25 @@ def test_near_dedup_finds_copies_within_a_family(spark):
     rows = [(i, f"{passage} {' '.join(word() for _ in range(40))}") for i in range(200)]
     rows += [(1000 + i, f"{rows[i][1]} {word()} {word()}") for i in range(200)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    # one band, so that a pair has one chance to meet
+    # one band and no keys, so that a pair has one chance to meet
     value, text, label = {i: simhash.wide_simhash(t, 5, 1)[0] for i, t in rows}, dict(rows), {i: i for i, _ in rows}
     true = [(i, j) for i, j in itertools.combinations(text, 2) if (value[i] ^ value[j]).bit_count() <= 2 and brute_jaccard(text[i], text[j]) >= 0.8]
     for i, j in true:
         label = {k: min(label[i], label[j]) if x in (label[i], label[j]) else x for k, x in label.items()}
-    assert len(true) > 50 and dict(rows_of(simhash.near_classes(table, bands=1))) == label
+    assert len(true) > 50 and dict(rows_of(simhash.near_classes(table, bands=1, keys=0))) == label
+
+
+def test_near_dedup_finds_isolated_pairs_at_the_threshold(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows = []
+    for i in range(150):
+        text = [word() for _ in range(rng.choice([13, 60, 200]))]
+        more = [word() for _ in range((len(text) - 4) // 4)]  # so many shingles more leave 0.8 or a little more
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(text + more))]
+        assert 0.8 <= brute_jaccard(rows[-2][1], rows[-1][1]) < 0.83
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(150))
 
 
 # 2
