@@ -1,11 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences without loss: a sentence ends with a run of
-``.!?`` or a line break and the white space after it, and one of more than
-``MOST_WORDS`` words is cut further after words that their own hash picks, so
-that equal passages are cut alike wherever they stand.  From every sentence
-runs a span: the fewest consecutive sentences, two at least, with
-``min_words`` words.  Spans are hashed (96 bits, lower case, white space and
+``.!?`` (or their like in other scripts) or a line break and the white space
+after it, and one of more than ``MOST_WORDS`` words is cut further after words
+that their own hash picks, so that equal passages are cut alike wherever they
+stand, and after LONGEST words at most.  Characters of scripts without spaces
+count as words, as do parts of what is longer than ``LONG_WORD`` characters
+without a space.  From every sentence runs a span: the fewest consecutive
+sentences, two at least, with ``min_words`` words; and to every sentence at
+which none of these ends runs one, so the spans within a repeated passage cover
+all of its whole sentences.  Spans are hashed (96 bits, lower case, white space and
 place ignored) and joined globally.  Of each span the first occurrence, by
 (doc_id, place in the text), stays; the sentences that any other occurrence
 covers are removed.
@@ -37,22 +41,46 @@ from .common import checkpointed
 
 MIN_WORDS = 20
 MOST_WORDS = 16
-cut = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+").findall
+LONGEST = 48
+LONG_WORD = 40
+STOPS = r".!?\n\u3002\uff01\uff1f\uff0e\uff61\u061f\u06d4\u0964"
+cut = re.compile(rf"[^{STOPS}]*[{STOPS}]+\s*|[^{STOPS}]+").findall
 next_word = re.compile(r"\S+\s*").findall
+# Thai, Lao, Burmese, Khmer, kana and Chinese characters
+SPACELESS = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+split_word = re.compile(rf"[{SPACELESS}]\s*|[^{SPACELESS}]+").findall
 NO_ID = -(1 << 63)
 
 
+def words_of(piece: str) -> list[str]:
+    """The words of a piece, each with the white space behind it."""
+    words = next_word(piece)
+    if piece.isascii() and max(map(len, words), default=0) <= LONG_WORD:
+        return words
+    out = []
+    for word in words:
+        for w in split_word(word):
+            start = 0
+            if len(w.rstrip()) > LONG_WORD:  # cut after characters that the hash of the last four picks
+                for k in range(4, len(w.rstrip())):
+                    if k - start == LONG_WORD or zlib.crc32(w[k - 4 : k].lower().encode("utf-8", "replace")) % 8 == 0:
+                        out.append(w[start:k])
+                        start = k
+            out.append(w[start:])
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """The text in pieces; joined they are the text."""
     out = []
     for piece in cut(text):
-        if len(piece) <= 2 * MOST_WORDS or len(words := next_word(piece)) <= MOST_WORDS:
+        if len(piece) <= 2 * MOST_WORDS or len(words := words_of(piece)) <= MOST_WORDS:
             out.append(piece)
             continue
         lead = piece[: len(piece) - sum(map(len, words))]
         start = 0
-        for i, w in enumerate(words):
-            if i - start >= MOST_WORDS // 2 - 1 and i + 1 < len(words) and zlib.crc32(w.strip().lower().encode("utf-8", "replace")) % 4 == 0:
+        for i, w in enumerate(words[:-1]):
+            if i + 1 - start == LONGEST or zlib.crc32(w.strip().lower().encode("utf-8", "replace")) % 12 == 0:
                 out.append(lead + "".join(words[start : i + 1]))
                 lead, start = "", i + 1
         out.append(lead + "".join(words[start:]))
@@ -60,12 +88,13 @@ def sentences(text: str) -> list[str]:
 
 
 def spans(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(hash, second hash, first sentence, number of sentences) of the span from each sentence."""
-    words = [s.lower().split() for s in sentences(text)]
+    """(hash, second hash, first sentence, number of sentences) of the spans from each sentence, in order."""
+    pieces = sentences(text)
+    words = [s.lower().split() for s in pieces]
     digests = [xxhash.xxh64_digest(" ".join(w).encode("utf-8", "replace")) if w else b"" for w in words]
-    total = [0, *accumulate(map(len, words))]
+    total = [0, *accumulate(len(w) if s.isascii() and max(map(len, w), default=0) <= LONG_WORD else len(words_of(s)) for s, w in zip(pieces, words))]
     real = [0, *accumulate(1 if w else 0 for w in words)]
-    out, j = [], 0
+    ends, j = [], 0
     for i, w in enumerate(words):
         if not w:
             continue
@@ -74,8 +103,13 @@ def spans(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
             j += 1
         if total[j] - total[i] < min_words or real[j] - real[i] < 2:
             break
-        h = xxhash.xxh3_128_intdigest(b"".join(digests[i:j]))
-        out.append((h & 0xFFFFFFFFFFFFFFFF, (h >> 64) & 0xFFFFFFFF, i, j - i))
+        ends.append((i, j))
+    out = []
+    # up to where the next span ends, the longer ones from here are the shortest that end where they do
+    for (i, j), (_, after) in zip(ends, [*ends[1:], (0, len(words) + 1)]):
+        for end in [j, *(e for e in range(j + 1, after) if words[e - 1])]:
+            h = xxhash.xxh3_128_intdigest(b"".join(digests[i:end]))
+            out.append((h & 0xFFFFFFFFFFFFFFFF, (h >> 64) & 0xFFFFFFFF, i, end - i))
     return out
 
 

@@ -276,6 +276,19 @@ def test_passage_goes_wherever_it_stands(spark):
     assert got[1] == rows[0][1] and got[3] == rows[2][1] and len(got[2].split()) < 30
 
 
+def test_passage_goes_to_its_last_sentence(spark):
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + ". "
+    passage = "".join(say(f"s{k}x", n) for k, n in enumerate([12, 12, 12, 12, 4]))
+    han = "".join(chr(0x4E00 + 7 * i) + ("\u3002" if i % 9 == 8 else "") for i in range(54))
+    token = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(20))
+    rows = [(1, passage + say("a", 15)), (2, say("b", 15) + passage + say("c", 15)), (3, han), (4, "\u6587\u3002" + han + "\u6587"), (5, token), (6, "zz" + token)]
+    got = {r["doc_id"]: r["text"] for r in spans.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == say("b", 15) + say("c", 15) and got[4] == "\u6587\u3002\u6587" and len(got[6]) < 400
+    assert all(got[i] == dict(rows)[i] for i in (1, 3, 5))
+    for text in (han, token, "a" * 500, " b " * 99):
+        assert "".join(spans.sentences(text)) == text
+
+
 # 4
 
 def brute_license(text):
