@@ -1,6 +1,6 @@
 """Toxicity scores from subword-bag embeddings under a linear softmax.
 
-A word is the bag of itself and its character n-grams (of 3 and 5, with marks at
+A word is the bag of itself and its character n-grams (of 3 to 6, with marks at
 its ends), in training each hashed to a row of an embedding table.  The mean of these rows
 is the word's vector, the mean over a window of words is the window's, and a
 linear softmax of two classes reads it.  Table and softmax are trained jointly
@@ -13,8 +13,8 @@ The model is fitted on the driver on at most ``MAX_ROWS`` labelled rows of each
 class, those whose hashed doc_id is smallest, of texts up to ``MAX_BYTES``
 bytes; these bounds are parameters.  Only rows whose crc32(doc_id as text) mod
 3 is not 1 are used; the text is the only input of a score.  What goes to the
-executors is one number for each n-gram that LEAST_DOCS training documents have
-(the softmax applied to its row), so scoring is map-only.
+executors is one number for each n-gram that enough training documents have
+(the softmax applied to its row; LEAST_SHARE), so scoring is map-only.
 
 Rows: null texts count as empty; a text without words has the score of the
 bias; repeated rows each give a row; documents whose labels contradict each
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 2000
+MAX_ROWS = 3000
 MAX_BYTES = 20_000
 THRESHOLD = 0.7
 BUCKETS = 1 << 20
@@ -43,9 +43,9 @@ WINDOW = 3
 EPOCHS = 60
 RATE = 0.5
 DECAY = 1e-6
-# an n-gram counts if so many training documents have it
-LEAST_DOCS = 10
-LENGTHS = (3, 5)
+# an n-gram counts if one training document in so many toxic ones has it, and two at least
+LEAST_SHARE = 300
+LENGTHS = (3, 4, 5, 6)
 CACHE = 400_000
 
 
@@ -127,7 +127,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     for d in docs:
         if len(d):
             seen[np.unique(np.concatenate([gram[starts[w] : starts[w + 1]] for w in np.unique(d)]))] += 1
-    common = seen[gram] >= LEAST_DOCS
+    common = seen[gram] >= max(2, int((y == 1).sum()) // LEAST_SHARE)
     rows, gram = np.unique(gram[common], return_inverse=True)
     kept = np.bincount(word_of_gram[common], minlength=len(size))
     starts = np.concatenate(([0], np.cumsum(kept)))

@@ -336,6 +336,28 @@ def test_toxicity_generalises():
     assert toxicity.fit(["a b"], [0]).score("a b", {}) == 0.0
 
 
+def test_toxicity_knows_a_word_that_few_rows_have():
+    rng = random.Random(2)
+    plain = ["".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    make = lambda bad: " ".join(bad if bad and k % 9 == 4 else rng.choice(plain) for k in range(40))
+    bad = [*["zykwurm"] * 55, *["qohxavy"] * 5]
+    model = toxicity.fit([make(b) for b in [*bad, *[""] * 120]], [1] * 60 + [0] * 120)
+    toxic, clean = ([model.score(make(b), {}) for _ in range(40)] for b in ("qohxavy", ""))
+    assert min(toxic) >= toxicity.THRESHOLD > max(clean)
+    assert {"<z", "zykw", "zykwur"} & toxicity.grams_of("zykwurm") == {"zykw", "zykwur"}
+
+
+def test_toxicity_separates():
+    rng = random.Random(1)
+    plain = ["".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    bad = ["zykwurm" + e for e in ("", "s", "er", "ing", "ed", "ish", "ly")]
+    make = lambda toxic, words: " ".join(rng.choice(words) if toxic and k % 9 == 4 else rng.choice(plain) for k in range(40))
+    train = [(make(t, bad), t) for t in [1, 0, 0] * 60]
+    model = toxicity.fit([t for t, _ in train], [y for _, y in train])
+    toxic, clean = ([model.score(make(y, ["zykwurmish", "zykwurmness", "xzykwurm"]), {}) for _ in range(40)] for y in (1, 0))
+    assert np.mean(toxic) >= 0.7 and min(toxic) > max(clean) and max(clean) < 0.3
+
+
 def test_toxicity_query(spark):
     rows = toxicity.query(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()
     assert len(rows) == 200
