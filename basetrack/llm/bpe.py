@@ -12,7 +12,13 @@ is none, the window doubles, up to both sides whole, so the result is exactly
 that of the text encoded in one piece.
 
 Ids, byte lengths and word starts are all that travels up the tree.  Short
-texts are encoded where they are read and never shuffled.
+texts are encoded where they are read and never shuffled, by the same fact: a
+word never reaches over the place where white space follows other characters,
+so a text is cut there, and each distinct part of a batch is encoded once (all
+new ones as one text, told apart by their bytes).  That holds for a byte-level
+tokenizer that finds words by its own pattern; others encode texts whole.
+Ids are decoded by gathering the bytes of all tokens of a batch at once.  A
+task has one thread, as its tokenizer's own threads would take other tasks'.
 
 Rows: null texts count as empty and have no ids; repeated rows each give a
 row; special tokens that stand in a text are encoded as the tokenizer file
@@ -22,6 +28,9 @@ says, as the library does by default.  Null doc_ids stay null.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,12 +47,20 @@ LEAF = 65_536
 WINDOW = 64
 MARGIN = 4
 BATCH = 256
+# parts of texts whose ids a task keeps, and characters of the longest of them
+KNOWN = 500_000
+KNOWN_CHARS = 64
+# Unicode white space.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+parts_of = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+WHITE = frozenset(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     out = Tokenizer.from_file(path)
     out.no_truncation()
     out.no_padding()
@@ -74,15 +91,81 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def decode(ids: list[int], path: str) -> str:
-    """What the library's byte-level decoder gives with skip_special_tokens=False."""
-    return b"".join(map(token_bytes(path).__getitem__, ids)).decode("utf-8", "replace")
+@lru_cache(maxsize=2)
+def token_table(path: str) -> pa.Array:
+    return pa.array(token_bytes(path), pa.large_binary())
+
+
+def decoded(ids: np.ndarray, starts: np.ndarray, path: str) -> list[bytes]:
+    """UTF-8 of what the library's byte-level decoder gives with skip_special_tokens=False, of the ids from each start to the next."""
+    taken = token_table(path).take(pa.array(ids, pa.int64()))
+    _, offsets, data = taken.buffers()
+    if data is None:
+        return [b""] * (len(starts) - 1)
+    cuts = np.frombuffer(offsets, dtype=np.int64)[np.asarray(starts) + taken.offset].tolist()
+    data = memoryview(data)
+    return [str(data[a:b], "utf-8", "replace").encode() for a, b in zip(cuts, cuts[1:])]
 
 
 def encode(text: str, path: str) -> list[int]:
     return tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=2)
+def cut_at_space(path: str) -> tuple[str, ...] | None:
+    """The added tokens of a tokenizer whose words end where white space begins; None for any other tokenizer."""
+    given = json.loads(tokenizer(path).to_str())
+    words = given["pre_tokenizer"] or {}
+    plain = words.get("type") == "ByteLevel" and words["use_regex"] and not words["add_prefix_space"]
+    model = given["model"]
+    if not plain or given["normalizer"] or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token")):
+        return None
+    added = given["added_tokens"] or []
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{SPACE}]", t["content"]) for t in added):
+        return None
+    return tuple(t["content"] for t in added)
+
+
+def encoded_texts(texts: list[str], path: str, known: dict[str, bytes]) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers.  ``known``: the ids of parts that came before."""
+    added = cut_at_space(path)
+    whole = [i for i, t in enumerate(texts) if added is None or any(a in t for a in added)]
+    out = [b""] * len(texts)
+    for i, e in zip(whole, tokenizer(path).encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else ()):
+        out[i] = np.array(e.ids, dtype="<u4").tobytes()
+    if len(whole) == len(texts):
+        return out
+    if len(known) > KNOWN:
+        known.clear()
+    cut = {i: parts_of(t) for i, t in enumerate(texts)}
+    for i in whole:
+        del cut[i]
+    new = set().union(*cut.values()).difference(known)
+    # white space, then something else: one after the other these stay apart
+    rest = [p for p in new if p[0] in WHITE and p[-1] not in WHITE]
+    first = list(new.difference(rest))
+    if first:
+        known.update(zip(first, (np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(path).encode_batch_fast(first, add_special_tokens=False))))
+    if rest:
+        ids = np.array(tokenizer(path).encode_batch_fast(["".join(rest)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum(byte_lengths(path)[ids])
+        cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in rest])) + 1
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        known.update(zip(rest, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+    for i, parts in cut.items():
+        out[i] = b"".join(map(known.__getitem__, parts))
+    for p in new:
+        if len(p) > KNOWN_CHARS:
+            del known[p]
+    return out
+
+
+@lru_cache(maxsize=2)
+def known_parts(path: str) -> dict[str, bytes]:
+    """What a worker knows of a tokenizer, from one task to the next."""
+    return {}
+
+
 class Piece:
     """A text with its ids, and for every word its first byte and its first id."""
 
@@ -166,9 +249,13 @@ def encode_by_tree(text: str, path: str, leaf: int = LEAF) -> list[int]:
     return tree([encoded_piece(text[i : i + leaf].encode(), path) for i in range(0, len(text), leaf)], path).ids.tolist()
 
 
-def _digests(ids: list[int], path: str) -> tuple[int, str, str]:
-    decoded = decode(ids, path)
-    return len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+def _digests(texts: list[bytes], path: str) -> tuple[list[int], list[str], list[str], np.ndarray, np.ndarray]:
+    """Of texts given as ids in bytes: their numbers of ids, the digests of ids and of decoded texts, all ids, where each text's begin."""
+    ids = np.frombuffer(b"".join(texts), dtype="<u4")
+    n = [len(x) // 4 for x in texts]
+    starts = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return n, [sha(x) for x in texts], [sha(x) for x in decoded(ids, starts, path)], ids, starts
 
 
 def encoded(docs: DataFrame, path: str, leaf: int = LEAF, with_ids: bool = True) -> DataFrame:
@@ -178,14 +265,15 @@ def encoded(docs: DataFrame, path: str, leaf: int = LEAF, with_ids: bool = True)
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: len(names)]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        known = known_parts(path)
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                ids = [e.ids for e in t.encode_batch_fast(batch.column(1).to_pylist(), add_special_tokens=False)]
-                rows = list(zip(*(_digests(i, path) for i in ids)))
-                columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(rows, types[1:]))]
-                yield pa.record_batch(columns + ([pa.array(ids, types[4])] if with_ids else []), names=names)
+                *found, ids, starts = _digests(encoded_texts(batch.column(1).to_pylist(), path, known), path)
+                columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(found, types[1:]))]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view("<i4"))))
+                yield pa.record_batch(columns, names=names)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,9 +288,9 @@ def encoded(docs: DataFrame, path: str, leaf: int = LEAF, with_ids: bool = True)
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("leaf", kind="stable")
         pieces = [Piece(bytes(d), *(np.asarray(x, dtype=np.int64) for x in xs)) for d, *xs in zip(pdf["data"], pdf["ids"], pdf["starts"], pdf["firsts"])]
-        ids = tree(pieces, path).ids.tolist()
-        row = [pdf["doc_id"].iloc[0], *_digests(ids, path)]
-        return pd.DataFrame([row + [ids] * with_ids], columns=names)
+        ids = tree(pieces, path).ids
+        n, own, back, *_ = _digests([ids.astype("<u4").tobytes()], path)
+        return pd.DataFrame([[pdf["doc_id"].iloc[0], n[0], own[0], back[0]] + [ids.tolist()] * with_ids], columns=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
     long = F.char_length("text") > leaf
