@@ -14,14 +14,18 @@ place ignored) and joined globally.  Of each span the first occurrence, by
 (doc_id, place in the text), stays; the sentences that any other occurrence
 covers are removed.
 
-The minimum per hash is combined before its shuffle; the join back to the
-spans is a plain equi-join that adaptive execution splits where one passage is
-in a third of all documents.  Only span keys, not texts, go through the global
-shuffles; texts go once through the join with what is to be removed.
+Texts are cut once: their spans are written, a few arrays for each text, and
+then dealt once, by ranges of (hash, doc_id, place), so a passage that is in a
+third of all documents is divided over as many tasks as its spans fill.
+Within a range equal spans follow each other, the first occurrence in front; of
+a passage that goes on from one range to the next, the last key of each range
+tells (a row for each task).  Only span keys, not texts, go through this
+shuffle; texts go once through the join with what is to be removed.
 
 Rows: null texts stay null and empty ones empty; rows with one doc_id and one
 text are one document and are treated alike, so repeated rows don't remove
-each other; a null doc_id sorts first.
+each other; a null doc_id sorts first.  Columns of any other name stay as they
+are, those that the operator uses itself included.
 """
 
 from __future__ import annotations
@@ -34,10 +38,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import shuffle_partitions, unused, written
 
 MIN_WORDS = 20
 MOST_WORDS = 16
@@ -49,13 +54,21 @@ next_word = re.compile(r"\S+\s*").findall
 # Thai, Lao, Burmese, Khmer, kana and Chinese characters
 SPACELESS = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 split_word = re.compile(rf"[{SPACELESS}]\s*|[^{SPACELESS}]+").findall
+spaceless = re.compile(f"[{SPACELESS}]").search
+# spans in a row of the written table
+SPANS_IN_ROW = 1 << 14
 NO_ID = -(1 << 63)
 
 
+def plain(piece: str, words: list[str]) -> bool:
+    """Whether white space alone tells the words of a piece."""
+    return max(map(len, words), default=0) <= LONG_WORD and (piece.isascii() or not spaceless(piece))
+
+
 def words_of(piece: str) -> list[str]:
     """The words of a piece, each with the white space behind it."""
     words = next_word(piece)
-    if piece.isascii() and max(map(len, words), default=0) <= LONG_WORD:
+    if plain(piece, words):
         return words
     out = []
     for word in words:
@@ -92,7 +105,7 @@ def spans(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
     pieces = sentences(text)
     words = [s.lower().split() for s in pieces]
     digests = [xxhash.xxh64_digest(" ".join(w).encode("utf-8", "replace")) if w else b"" for w in words]
-    total = [0, *accumulate(len(w) if s.isascii() and max(map(len, w), default=0) <= LONG_WORD else len(words_of(s)) for s, w in zip(pieces, words))]
+    total = [0, *accumulate(len(w) if plain(s, w) else len(words_of(s)) for s, w in zip(pieces, words))]
     real = [0, *accumulate(1 if w else 0 for w in words)]
     ends, j = [], 0
     for i, w in enumerate(words):
@@ -113,45 +126,93 @@ def spans(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row_text", F.xxhash64("text"))
+def _keyed(docs: DataFrame, row_id: str = "row_id", row_text: str = "row_text") -> DataFrame:
+    """``docs`` with two columns that name a document."""
+    return docs.withColumn(row_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(row_text, F.xxhash64(docs["text"]))
 
 
 def span_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h, h2, row_id, row_text, start, size): all spans of all documents."""
+    """(row_id, row_text, h, h2, start, size): all spans of all documents, in arrays of at most SPANS_IN_ROW."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, hashes, columns, ends = [], [], [[] for _ in range(4)], [0]
             for row_id, row_text, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = spans(text.as_py(), min_words)
-                if found:
-                    h, h2, start, size = zip(*found)
-                    n = len(found)
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.array(h, dtype=np.uint64).view(np.int64)),
-                            pa.array(np.array(h2, dtype=np.uint32).view(np.int32)),
-                            pa.array(np.full(n, row_id, dtype=np.int64)),
-                            pa.array(np.full(n, row_text, dtype=np.int64)),
-                            pa.array(start, pa.int32()),
-                            pa.array(size, pa.int32()),
-                        ],
-                        names=["h", "h2", "row_id", "row_text", "start", "size"],
-                    )
-
-    rows = _keyed(docs).where(F.col("text").isNotNull()).select("_row_id", "_row_text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, "h long, h2 int, row_id long, row_text long, start int, size int")
+                for begin in range(0, len(found), SPANS_IN_ROW):
+                    part = found[begin : begin + SPANS_IN_ROW]
+                    for column, values in zip(columns, zip(*part)):
+                        column.extend(values)
+                    ids.append(row_id)
+                    hashes.append(row_text)
+                    ends.append(ends[-1] + len(part))
+            given = [
+                np.array(columns[0], dtype=np.uint64).view(np.int64),
+                np.array(columns[1], dtype=np.uint32).view(np.int32),
+                *(np.array(c, dtype=np.int32) for c in columns[2:]),
+            ]
+            arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in given]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), *arrays], names=["row_id", "row_text", "h", "h2", "start", "size"])
+
+    rows = docs.where(F.col("text").isNotNull())
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("row_id"), F.xxhash64("text").alias("row_text"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "row_id long, row_text long, h array<long>, h2 array<int>, start array<int>, size array<int>")
+
+
+# what a row of the pass over the ranges says: a span to remove, one that is the first of its range, the first and last key of a range
+LATER, OPEN, FIRST_KEY, LAST_KEY = range(4)
+RANGE = "range int, says int, h long, h2 int, row_id long, row_text long, start int, size int"
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of spans in order of (h, h2, row_id, row_text, start): those that aren't the first occurrence, and the ends of the range."""
+    number = TaskContext.get().partitionId()
+    names = [f.split()[0] for f in RANGE.split(", ")]
+    kinds = [np.int64, np.int32, np.int64, np.int64, np.int32, np.int32]
+
+    def rows(says: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(says), number, dtype=np.int32)), pa.array(says.astype(np.int32)), *map(pa.array, values)], names=names)
+
+    opening = key = place = None  # the range's first key, the key that is being read and its first place
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(i).to_numpy() for i in range(6)]
+        keys, places = values[:2], values[2:5]
+        if key is None:
+            opening = key = [c[0] for c in keys]
+            place = [c[0] for c in places]
+        changed = np.ones(batch.num_rows, dtype=bool)
+        changed[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+        changed[0] = [c[0] for c in keys] != key
+        group = np.cumsum(changed)  # 0: the key of the batch before
+        begins = np.nonzero(changed)[0]
+        first = [np.concatenate(([p], c[begins]))[group] for p, c in zip(place, places)]
+        again = np.logical_or.reduce([c != f for c, f in zip(places, first)])
+        opens = ~again & (keys[0] == opening[0]) & (keys[1] == opening[1])
+        says = np.where(again, LATER, OPEN)
+        yield rows(says[again | opens], [c[again | opens] for c in values])
+        key = [c[-1] for c in keys]
+        place = [f[-1] for f in first]
+    if key is not None:
+        nothing = [np.zeros(2, dtype=k) for k in kinds[2:]]
+        yield rows(np.array([FIRST_KEY, LAST_KEY]), [np.array([a, b], dtype=k) for a, b, k in zip(opening, key, kinds)] + nothing)
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row_id, row_text, runs): the runs of sentences (start, size) that are to go, for each document that loses any."""
-    table = span_table(docs, min_words)
-    place = F.struct("row_id", "row_text", "start")
-    first = table.groupBy("h", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "h2", "first")
-    # written first, so that the join is between plain shuffles, which adaptive execution can split
-    first = checkpointed(first)
-    later = table.join(first, ["h", "h2"]).where(place != F.col("first"))
-    return later.groupBy("row_id", "row_text").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
+    spark = docs.sparkSession
+    table = written(span_table(docs, min_words), "spans")
+    order = ["h", "h2", "row_id", "row_text", "start"]
+    rows = table.select("row_id", "row_text", F.inline(F.arrays_zip("h", "h2", "start", "size"))).select(*order, "size")
+    ranges = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    seen = written(ranges.mapInArrow(_compared, RANGE), "later-spans")
+    # a row or two for each range
+    ends = {k: {r["range"]: (r["h"], r["h2"]) for r in seen.where(F.col("says") == k).select("range", "h", "h2").collect()} for k in (FIRST_KEY, LAST_KEY)}
+    ranges = sorted(ends[FIRST_KEY])
+    going_on = [b for a, b in zip(ranges, ranges[1:]) if ends[LAST_KEY][a] == ends[FIRST_KEY][b]]
+    later = (F.col("says") == LATER) | (F.col("says") == OPEN) & F.col("range").isin(going_on)
+    return seen.where(later).groupBy("row_id", "row_text").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -168,7 +229,7 @@ def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row_id, row_text, text, n_sentences, n_removed) of every row of ``docs``, in no order; text is what stays."""
     lost = repeated(docs, min_words)
-    rows = _keyed(docs).select(F.col("_row_id").alias("row_id"), F.col("_row_text").alias("row_text"), F.col("text").cast("string"))
+    rows = _keyed(docs.select("doc_id", "text")).select("row_id", "row_text", F.col("text").cast("string"))
     rows = rows.join(lost, ["row_id", "row_text"], "left").select("row_id", "row_text", "text", "runs.start", "runs.size")
     return rows.mapInArrow(_apply, "row_id long, row_text long, text string, n_sentences int, n_removed int")
 
@@ -198,10 +259,11 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     All rows and columns stay.
     """
-    lost = repeated(docs, min_words)
-    runs = lost.select(F.col("row_id").alias("_row_id"), F.col("row_text").alias("_row_text"), F.col("runs").alias("_runs"))
-    rows = _keyed(docs).join(runs, ["_row_id", "_row_text"], "left").drop("_row_id", "_row_text")
-    schema, names = rows.drop("_runs").schema, list(docs.columns)
+    own = {c: unused(docs, c) for c in ("row_id", "row_text", "runs")}
+    lost = repeated(docs, min_words).withColumnsRenamed(own)
+    key = [own["row_id"], own["row_text"]]
+    rows = _keyed(docs, *key).join(lost, key, "left").drop(*key)
+    schema, names = docs.schema, list(docs.columns)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -540,3 +540,37 @@ def test_pipeline(spark, docs, tmp_path):
         assert 0 < frame.count() <= before.count()
     got = {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {r["doc_id"]: r["ids_sha256"] for r in frame.collect()}
+
+
+# very long texts, clashing columns, and hot keys
+
+def test_bpe_parts_are_those_of_the_whole_text():
+    path, rng = tokenizer_path(), random.Random(7)
+    letters = [*" \n\t\r ab'st019é\x1c\x1f\x85\xa0 　 中!<|🙂​", "<|endoftext|>", "  ", "\n\n", " the", "'ll", "x" * 80]
+    known = {}
+    for _ in range(300):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(8)]
+        got = bpe.encoded_texts(texts, path, known)
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [bpe.encode(t, path) for t in texts]
+        assert all(len(p) <= bpe.KNOWN_CHARS for p in known)
+    assert bpe.encoded_texts([], path, {}) == [] and bpe._digests([], path)[0] == []
+
+
+def test_spans_of_a_hot_passage_over_many_ranges(spark):
+    passage = " ".join(f"word{i}" + ("." if i % 9 == 8 else "") for i in range(45)) + ". "
+    rows = [(i, f"{passage}Own{i} words{i} end{i}. ") for i in range(400)] + [(0, f"{passage}Own0 words0 end0. ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = collections.Counter(tuple(r) for r in spans.substring_dedup(table).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == collections.Counter([(i, t if i == 0 else f"Own{i} words{i} end{i}. ") for i, t in rows])
+
+
+def test_substring_dedup_keeps_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i}" + ("." if i % 10 == 9 else "") for i in range(400_000))
+    rows = [(1, long, 5, 6, 7, 8, "x"), (2, "Own words of this one. " + long, 5, 6, 7, 8, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row_id int, row_text int, runs int, _runs int, H string")
+    got = {r["doc_id"]: r for r in spans.substring_dedup(table).collect()}
+    assert got[1].asDict() == dict(zip(table.columns, rows[0])) and got[2].asDict() == dict(zip(table.columns, rows[1])) | {"text": "Own words of this one. "}
