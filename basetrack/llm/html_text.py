@@ -8,32 +8,42 @@ names apart) from the root is the page's vote.  Votes are counted per host in
 Spark, combined before the shuffle, and the path with most votes wins (ties:
 the larger summed score, then the larger path).  Pages are then joined with
 their host's path and extracted again from the container at that path; a page
-that has none is extracted from its own best one.
+that has none is extracted from its own best one.  A path is a chain of 64-bit
+hashes, so an open element costs the same however deep it stands.
 
 Within the container menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out by tag, role, class or
-id.  Character references are decoded, white space inside a block becomes one
-space, and blocks are joined by a line feed.
-
-A host may hold a third of all pages: votes are combined first, and the join
-on host is salted.
-
-Rows: a null html gives an empty text; a null or odd url is a host of its own
-kind (empty); repeated rows each give a row; a page without any container is
-read whole, and one without text gives an empty string.
+id, also where the class names the article as well (``post-footer``,
+``main-menu``): of a name's words the last one says what it is, and some say it
+anywhere in it.  A <header>, that of the article itself included, is a header
+and left out; a heading outside of one stays.  Character references are
+decoded, white space inside a block becomes one space, and blocks are joined by
+a line feed.
+
+A host may hold a third of all pages: votes are combined first.  The paths of
+hosts are two longs a row; up to a checked number of them is broadcast, so
+pages aren't shuffled, and beyond it pages are dealt by host, those of hot hosts
+by page as well.
+
+Rows: a null html gives an empty text; a null url, or one without a host, has
+no host, so its page is read by itself; repeated rows each give a row; a page
+without any container is read whole, and one without text gives an empty
+string.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_left_join
+from .common import MOST_SENT, checkpointed, hot_left_join
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,24 +55,30 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article main section div td body center blockquote dd li figure table".split())
 CLOSES_P = BLOCK - {"html", "body"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words of class names and ids of what isn't the article.
+# Words of class names and ids of what isn't the article, anywhere in a name.
 OUT = frozenset(
-    """ad ads advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion promotional banner banners
-    nav navbar navigation navi menu menus breadcrumb breadcrumbs pagination pager toc
-    header masthead topbar footer foot bottombar copyright colophon
-    sidebar sidebars aside rail widget widgets related recommended recommendations trending popular teaser teasers
-    notice notices cookie cookies consent gdpr alert alerts popup modal overlay paywall disclaimer toast newsletter subscribe subscription signup login
-    comment comments commentlist respond reply replies disqus discussion
-    share sharing social socials follow tags meta byline
-    form search searchbox hidden""".split()
+    """ad ads advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion promotions promotional banner banners
+    navbar breadcrumb breadcrumbs pagination pager masthead topbar bottombar copyright colophon
+    sidebar sidebars widget widgets related recommended recommendations trending popular teaser teasers
+    cookie cookies consent gdpr popup modal overlay paywall toast newsletter subscribe subscription signup login
+    comment comments commentlist respond disqus discussion share sharing social socials searchbox""".split()
 )
-# Words of class names and ids of what is.
+# Words that say the same unless the last word of the name is one of the article's.
+OUT_LAST = frozenset("nav navigation navi menu menus toc header footer foot aside rail notice notices alert alerts disclaimer reply replies follow tags meta byline form search hidden".split())
+# Words of class names and ids of what is the article.
 IN = frozenset("article main content post entry story body text page".split())
+# Words of names that say what is beside an element, not what it is.
+BESIDE = frozenset("with has no without show".split())
+# What makes even an <article> no part of the article.
+NOT_OWN = frozenset("comment comments related teaser teasers".split())
 tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 attribute = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 word = re.compile(r"[A-Za-z]+")
 humps = re.compile(r"(?<=[a-z])(?=[A-Z])")
 space = re.compile(r"\s+")
+unseen = re.compile(r"display\s*:\s*none", re.I).search
+unseen_word = re.compile(r"(?:^|\s)hidden(?:\s|$)").search
+numbers = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
 START, END, TEXT = 0, 1, 2
 
 
@@ -90,44 +106,54 @@ def events(page: str) -> Iterator[tuple]:
             yield END, name
 
 
-def names_of(attributes: str) -> tuple[frozenset[str], str, bool]:
-    """Words of class, id and role; the class for the path; whether it is hidden."""
+def names_of(attributes: str) -> tuple[list[list[str]], str, bool]:
+    """The words of each name in class, id and role; the class for the path; whether it is hidden."""
     if not attributes.strip():
-        return frozenset(), "", False
+        return [], "", False
     found: dict[str, str] = {}
     for m in attribute.finditer(attributes):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    own = " ".join(found.get(k, "") for k in ("class", "id"))
-    words = frozenset(w.lower() for part in humps.split(own) for w in word.findall(part))
+    own = [[w.lower() for part in humps.split(name) for w in word.findall(part)] for k in ("class", "id") for name in found.get(k, "").split()]
     if found.get("role", "").lower() in ROLES:
-        words |= {"nav"}
-    hidden = found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I)) or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
-    classes = found.get("class", "").split()
-    general = ".".join(sorted({re.sub(r"[0-9a-f]*\d[0-9a-f]*", "*", c.lower()) for c in classes}))
-    return words, general, hidden
+        own.append(["nav"])
+    hidden = found.get("aria-hidden", "").lower() == "true" or bool(unseen(found.get("style", "")) or unseen_word(attributes))
+    general = ".".join(sorted({numbers.sub("*", c.lower()) for c in found.get("class", "").split()}))
+    return [n for n in own if n], general, hidden
+
+
+def is_out(name: str, names: list[list[str]], hidden: bool) -> bool:
+    """Whether an element can't be part of the article."""
+    if name in HEAD or hidden:
+        return True
+    names = [n for n in names if not BESIDE.intersection(n)]
+    if name in ("article", "main", "body", "html"):
+        return any(NOT_OWN.intersection(n) for n in names) and name == "article"
+    if any(OUT.intersection(n) for n in names):
+        return True
+    own = name in ("div", "section") and any(IN.intersection(n) and not OUT_LAST.intersection(n) for n in names)
+    return any(OUT_LAST.intersection(n) and (n[-1] in OUT_LAST if IN.intersection(n) else not own) for n in names)
 
 
-def is_out(name: str, words: frozenset[str], hidden: bool) -> bool:
-    """Whether an element can't be part of the article; the article itself may be called anything."""
-    return name in HEAD or hidden or (name not in ("article", "main", "body", "html") and bool(words & OUT) and not (words & IN and name in ("div", "section") and not words & {"ad", "ads", "comment", "comments", "sidebar", "related"}))
+# the path of a whole page
+WHOLE = 0
 
 
 class Node:
-    __slots__ = ("name", "path", "out", "weight", "text", "links", "blocks")
+    __slots__ = ("name", "path", "out", "weight", "text", "links")
 
     def __init__(self, name, path, out, weight):
         self.name, self.path, self.out, self.weight = name, path, out, weight
         self.text = self.links = 0
-        self.blocks: list[str] = []
 
 
-def containers(page: str | None, wanted: str | None = None) -> tuple[list[Node], list[str]]:
+def containers(page: str | None, wanted: int | None = None) -> tuple[list[Node], list[str]]:
     """All containers of a page with their text and link counts, and the text blocks of those at ``wanted``."""
-    root = Node("", "", False, 0)
+    root = Node("", WHOLE, False, 0)
     stack, found, taken = [root], [], []
+    open_names: Counter[str] = Counter()  # so that nobody looks through the stack for what isn't there
     line: list[str] = []
     depth_link = 0
-    inside = int(wanted == "")  # open containers at the wanted path; the empty path is the whole page
+    inside = int(wanted == WHOLE)  # open containers at the wanted path
 
     def flush() -> None:
         if line:
@@ -141,12 +167,13 @@ def containers(page: str | None, wanted: str | None = None) -> tuple[list[Node],
         nonlocal depth_link, inside
         while len(stack) > k:
             node = stack.pop()
+            open_names[node.name] -= 1
             if node.name in BLOCK:
                 flush()
             up = stack[-1]
             if node.name == "a":
                 depth_link -= 1
-            if wanted is not None and node.path == wanted and node.name in CONTAINER:
+            if not node.out and node.path == wanted and node.name in CONTAINER:
                 inside -= 1
             if not node.out:
                 up.text += node.text
@@ -168,7 +195,7 @@ def containers(page: str | None, wanted: str | None = None) -> tuple[list[Node],
                 line.append(" ")
                 continue
             if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_names["p"] else ():
                     if stack[k].name == "p":
                         close(k)
                         break
@@ -176,7 +203,7 @@ def containers(page: str | None, wanted: str | None = None) -> tuple[list[Node],
                         break
                 if name == "li" or name in ("dd", "dt", "tr", "td", "th"):
                     same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}[name]
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if any(open_names[x] for x in same) else ():
                         if stack[k].name in same:
                             close(k)
                             break
@@ -186,22 +213,23 @@ def containers(page: str | None, wanted: str | None = None) -> tuple[list[Node],
                 flush()
             if name in VOID:
                 continue
-            words, general, hidden = names_of(e[2])
+            names, general, hidden = names_of(e[2])
             up = stack[-1]
-            out = up.out or is_out(name, words, hidden)
+            out = up.out or is_out(name, names, hidden)
             weight = 0
             if name in CONTAINER:
-                weight = 3 * (name in ("article", "main")) + (1 if words & IN else 0)
-            node = Node(name, f"{up.path}/{name}.{general}" if general else f"{up.path}/{name}", out, weight)
+                weight = 3 * (name in ("article", "main")) + any(IN.intersection(n) for n in names)
+            node = Node(name, xxhash.xxh64_intdigest(f"{name}.{general}".encode("utf-8", "replace"), up.path) >> 1, out, weight)
             stack.append(node)
+            open_names[name] += 1
             if name == "a":
                 depth_link += 1
             if name in CONTAINER and not out:
                 found.append(node)
-                if wanted is not None and node.path == wanted:
+                if node.path == wanted:
                     inside += 1
         else:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_names[e[1]] else ():
                 if stack[k].name == e[1]:
                     close(k)
                     break
@@ -215,10 +243,10 @@ def containers(page: str | None, wanted: str | None = None) -> tuple[list[Node],
     return found, taken
 
 
-def best(page: str | None) -> tuple[str, float]:
+def best(page: str | None) -> tuple[int, float]:
     """Path and score of the container that most likely is the article."""
     found, _ = containers(page)
-    out = ("", 0.0)
+    out = (WHOLE, 0.0)
     for node in found:
         score = (node.text - 2.0 * node.links) * (1.0 + 0.5 * node.weight)
         if node.name == "body":
@@ -229,7 +257,7 @@ def best(page: str | None) -> tuple[str, float]:
     return out
 
 
-def text_at(page: str | None, path: str | None) -> str:
+def text_at(page: str | None, path: int | None) -> str:
     """Text of the containers at a path; of the page's own best one if there is none."""
     if path:
         found, taken = containers(page, path)
@@ -239,30 +267,41 @@ def text_at(page: str | None, path: str | None) -> str:
 
 
 def host(url: Column) -> Column:
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
+    """The host of a URL; null if it has none."""
+    found = F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
+    return F.when(found != "", found)
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes, score): the paths that pages of each host vote for."""
+    """(host, path, votes, score): how many pages of each host vote for each path, host as a hash; no path: those without a container."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [best(p.as_py()) for p in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["host", "path", "score"])
+            paths = pa.array([path if score > 0 else None for path, score in got], pa.int64())
+            yield pa.record_batch([batch.column(0), paths, pa.array([score for _, score in got], pa.float64())], names=["host", "path", "score"])
 
-    rows = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, score double")
-    return rows.where("score > 0").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score").cast("long")).alias("score"))
+    rows = pages.select(F.xxhash64(host(F.col("url"))).alias("host"), F.col("html").cast("string")).where(host(F.col("url")).isNotNull())
+    rows = rows.mapInArrow(run, "host long, path long, score double")
+    return rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score").cast("long")).alias("score"))
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, path): one row for each host that has a vote."""
-    return votes(pages).groupBy("host").agg(F.max(F.struct("votes", "score", "path")).path.alias("path"))
+    """(host, path, pages): one row for each host."""
+    choice = F.when(F.col("path").isNotNull(), F.struct("votes", "score", "path"))
+    return votes(pages).groupBy("host").agg(F.max(choice).path.alias("path"), F.sum("votes").alias("pages"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of ``pages``."""
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    rows = salted_left_join(rows, winners(pages), "host", "page_id", "url").select("page_id", "url", "html", "path")
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.when(host(F.col("url")).isNotNull(), F.xxhash64(host(F.col("url")))).alias("host"))
+    known = checkpointed(winners(pages))
+    n, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("pages"), F.lit(0))).first()
+    if n <= MOST_SENT:
+        rows = rows.join(F.broadcast(known.select("host", "path")), "host", "left")
+    else:
+        rows = hot_left_join(rows, known, "host", "pages", total, "page_id", "url")
+    rows = rows.select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

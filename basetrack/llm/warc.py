@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, salted_left_join, shuffle_partitions
+from .common import checkpointed, hot_left_join, shuffle_partitions
 
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 2_000
@@ -71,8 +71,9 @@ def records(pages: DataFrame) -> DataFrame:
     long = F.col("payload_bytes") >= REVISIT_BYTES
     # copies of a payload meet by digest
     groups = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    groups = groups.where("copies > 1").select("digest", "first")
-    rows = salted_left_join(rows, groups, "digest", "page_id", "url")
+    groups = checkpointed(groups.where("copies > 1"))
+    total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    rows = hot_left_join(rows, groups, "digest", "copies", total, "page_id", "url")
     revisit = long & F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
     uri = F.regexp_replace("url", r"[\x00-\x20]", "")
     head = lambda kind: F.concat(
