@@ -5,24 +5,26 @@ exploded, so a text of any length stays one row.  Repeated word windows are
 found by sorting their 64-bit hashes; only texts that have some sort places
 along with them.
 
-Each rule rejects a text whose feature is above a cutoff.  Cutoffs come from a
-fixed grid and are tested on labelled holdouts: documents labelled good
-(``quality`` 1) that pass the base rule, per stratum (``lang``).  With k of n
-good documents above a cutoff, the exact binomial tail P(X <= k), X of n
-trials at the rule's share of ``RISK``, is the p-value of "this cutoff rejects
-more than its share".  A cutoff is certified if that is at most ``DELTA``
-divided by the number of all tests made (strata x rules x grid: Bonferroni),
-and the strictest certified one is used.  So with probability 1 - DELTA all
-strata at once falsely reject at most RISK of good documents by the rules
-together.  A stratum with too few labels certifies nothing and rejects nothing
-beyond the base rule.
+Each rule rejects a text whose feature is above a cutoff.  Cutoffs come from
+fixed grids and are tightened in a fixed order: all rules by one place from lax
+to strict, one rule after the other, then by the next place.  After each step
+the rules *together* are tested on labelled holdouts: documents labelled good
+(``quality`` 1) that pass the base rule, per stratum (``lang``).  With k of n of
+them rejected, the exact binomial tail P(X <= k), X of n trials at ``RISK``, is
+the p-value of "these cutoffs reject more than RISK of the good documents".
+The steps are a fixed sequence of hypotheses, so each may be tested at the whole
+level and testing ends at the first that fails; over strata the level is
+``DELTA`` divided by their number (Bonferroni).  So with probability 1 - DELTA
+no stratum falsely rejects more than RISK of its good documents.  A stratum with
+too few labels (about ln(strata / DELTA) / RISK) certifies nothing and rejects
+nothing beyond the base rule.
 
 Features are computed once and written to the shared checkpoint folder as a
 small row for each document; calibration is one pass with combined partial
 counts, a row for each stratum.
 
 Rows: null texts count as having no words and fail the base rule; a null lang
-is a stratum of its own; documents with contradicting labels are not used;
+is a stratum of its own, apart from that of the empty string; documents with contradicting labels are not used;
 repeated rows each give a row.
 """
 
@@ -37,7 +39,7 @@ RISK = 0.02
 DELTA = 0.05
 SPACE = r"[\x20\x09-\x0D]+"
 
-# The rules: feature, and the grid of cutoffs from strict to lax.
+# The rules in the order in which they are tightened: feature, and the grid of cutoffs from strict to lax, equally many each.
 RULES = {
     "symbols": [0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7],
     "dup_lines": [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
@@ -118,36 +120,43 @@ def _next_term(s: Column, i: Column, n: Column, k: Column, p: float) -> Column:
     return F.struct(log.alias("log"), F.when(i <= k, s["sum"] + F.exp(log)).otherwise(s["sum"]).alias("sum"))
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, n_good, then the certified cutoff of each rule or null) for each stratum that has labels.
+STEPS = sum(map(len, RULES.values()))
+
+
+def step() -> Column:
+    """The step that first rejects a text, from 0; STEPS or more if none does."""
+    found = features()
+    lax = [F.lit(len(RULES)) * sum((found[name] <= c).cast("int") for c in grid) + i for i, (name, grid) in enumerate(RULES.items())]
+    return F.least(*lax)
+
+
+def certified(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, n_good, steps): how many steps each stratum that has labels may take.
 
     ``counted`` has doc_id, stratum and the counts.
     """
     agreed = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     good = agreed.where("quality = most and quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    holdout = counted.where(~base_failed()).join(good, "doc_id")
-    above = [F.sum((f > c).cast("long")).alias(f"_{name}_{i}") for name, f in features().items() for i, c in enumerate(RULES[name])]
-    strata = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *above)
-    strata = checkpointed(strata)
-    tests = max(1, strata.count()) * sum(map(len, RULES.values()))
-    share = risk / len(RULES)
-    chosen = []
-    for name, grid in RULES.items():
-        passing = [F.when(binomial_tail(F.col("n_good"), F.col(f"_{name}_{i}"), share) <= delta / tests, F.lit(c)) for i, c in enumerate(grid)]
-        chosen.append(F.coalesce(*passing).alias(f"cutoff_{name}"))
-    return strata.select("stratum", "n_good", *chosen)
+    holdout = counted.where(~base_failed()).select("doc_id", "stratum", step().alias("step")).join(good, "doc_id")
+    rejected = [F.sum((F.col("step") <= i).cast("long")).alias(f"_{i}") for i in range(STEPS)]
+    strata = checkpointed(holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *rejected))
+    level = delta / max(1, strata.count())
+    passes = F.array(*[binomial_tail(F.col("n_good"), F.col(f"_{i}"), risk) <= level for i in range(STEPS)], F.lit(False))
+    return strata.select("stratum", "n_good", (F.array_position(passes, False) - 1).cast("int").alias("steps"))
+
+
+def cutoffs(known: DataFrame) -> DataFrame:
+    """(stratum, n_good, steps, the cutoff of each rule or null) of what ``certified`` gives."""
+    chosen = [F.get(F.array(*map(F.lit, reversed(grid))), F.floor((F.col("steps") - 1 - i) / len(RULES)).cast("int")).alias(f"cutoff_{name}") for i, (name, grid) in enumerate(RULES.items())]
+    return known.select("stratum", "n_good", "steps", *chosen)
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The counts, base_failed and kept of every row of ``docs``."""
-    stratum = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    counted = checkpointed(counts(docs.withColumn("lang", stratum), "lang").withColumnRenamed("lang", "stratum"))
-    known = cutoffs(counted, labels, risk, delta)
-    rows = counted.join(known, "stratum", "left")
-    fine = [F.coalesce(f <= F.col(f"cutoff_{name}"), F.lit(True)) for name, f in features().items()]
-    kept = ~base_failed()
-    for x in fine:
-        kept = kept & x
+    stratum = F.coalesce(F.concat(F.lit("is "), F.col("lang").cast("string")), F.lit("null"))
+    counted = checkpointed(counts(docs.select("doc_id", "text", stratum.alias("stratum")), "stratum"))
+    rows = counted.join(certified(counted, labels, risk, delta), "stratum", "left")
+    kept = ~base_failed() & (step() >= F.coalesce("steps", F.lit(0)))
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", kept)
 
 

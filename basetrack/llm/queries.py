@@ -64,7 +64,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) A
 def quality_sql() -> str:
     """Counts by unnesting all windows, bounds by summing the binomial distribution."""
     word = r"[^\x20\x09-\x0D]+"
-    share, rules = quality.RISK / len(quality.RULES), quality.RULES
+    risk, rules = quality.RISK, quality.RULES
     feature = {
         "symbols": "n_symbols / greatest(word_chars, 1)",
         "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
@@ -72,10 +72,10 @@ def quality_sql() -> str:
         "long_words": "word_chars / greatest(n_words, 1)",
         "short_words": "-word_chars / greatest(n_words, 1)",
     }
-    grid = ", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in rules.items() for c in cs)
-    values = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, CAST({x} AS DOUBLE) AS v FROM c" for r, x in feature.items())
-    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}::DOUBLE) + (n - i) * ln(1 - {share}::DOUBLE))))"
-    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+    lax = lambda i, r: f"{i} + {len(rules)} * len(list_filter([{', '.join(map(str, rules[r]))}]::DOUBLE[], lambda x: CAST({feature[r]} AS DOUBLE) <= x))"
+    step = f"least({', '.join(lax(i, r) for i, r in enumerate(rules))})"
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}::DOUBLE) + (n - i) * ln(1 - {risk}::DOUBLE))))"
+    return f"""WITH t AS (SELECT doc_id, coalesce('is ' || lang, 'null') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, stratum, text, regexp_extract_all(text, '{word}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM t),
 win AS (SELECT doc_id, i, ws[i + 1 : i + 5] AS g FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, 0))) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
@@ -83,14 +83,12 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT
 d AS (SELECT doc_id, stratum, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN cov USING (doc_id)),
-c AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM d),
+c AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {step} AS step FROM d),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
-f AS ({values}),
-s AS (SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (v > cut) AS k FROM f JOIN good USING (doc_id) JOIN (VALUES {grid}) AS x(rule, cut) USING (rule) WHERE NOT base_failed GROUP BY ALL),
-passed AS (SELECT stratum, rule, min(cut) AS cut FROM s WHERE k < n * {share} AND {tail} <= {quality.DELTA} / ((SELECT count(DISTINCT stratum) FROM s) * {sum(map(len, rules.values()))}) GROUP BY ALL),
-bad AS (SELECT DISTINCT doc_id FROM f JOIN passed USING (stratum, rule) WHERE v > cut)
+s AS (SELECT stratum, nth, count(*) AS n, count(*) FILTER (step <= nth) AS k FROM c JOIN good USING (doc_id), (SELECT unnest(range({quality.STEPS})) AS nth) WHERE NOT base_failed GROUP BY ALL),
+failed AS (SELECT stratum, min(nth) FILTER (k >= n * {risk} OR {tail} > {quality.DELTA} / (SELECT count(DISTINCT stratum) FROM s)) AS steps FROM s GROUP BY stratum)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept FROM c LEFT JOIN bad USING (doc_id)"""
+  base_failed, NOT base_failed AND step >= coalesce(CASE WHEN f.stratum IS NULL THEN 0 ELSE coalesce(steps, {quality.STEPS}) END, 0) AS kept FROM c LEFT JOIN failed AS f USING (stratum)"""
 
 
 def oracle_sql() -> dict[str, str]:
