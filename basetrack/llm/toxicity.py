@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,8 @@ RATE = 0.5
 DECAY = 1e-6
 # an n-gram counts if one training document in so many toxic ones has it, and two at least
 LEAST_SHARE = 300
+# words whose n-grams are summed at a time in training
+PART = 20_000
 LENGTHS = (3, 4, 5, 6)
 CACHE = 400_000
 
@@ -118,28 +121,39 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int32) for t in texts]
-    size = np.fromiter((len(grams_of(w)) for w in vocabulary), dtype=np.int32, count=len(vocabulary))
-    gram = np.fromiter((row_of(g) for w in vocabulary for g in sorted(grams_of(w))), dtype=np.int32, count=int(size.sum()))
-    word_of_gram = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    size = np.empty(len(vocabulary), dtype=np.int32)
+    gram = array("i")
+    for k, w in enumerate(vocabulary):
+        found = sorted(map(row_of, grams_of(w)))
+        size[k] = len(found)
+        gram.extend(found)
+    gram = np.frombuffer(gram, dtype=np.int32)
     # rows of the table that too few documents have stay zero, as do those that none has
-    starts = np.concatenate(([0], np.cumsum(size)))
+    starts = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
     seen = np.zeros(BUCKETS, dtype=np.int32)
     for d in docs:
         if len(d):
             seen[np.unique(np.concatenate([gram[starts[w] : starts[w + 1]] for w in np.unique(d)]))] += 1
-    common = seen[gram] >= max(2, int((y == 1).sum()) // LEAST_SHARE)
-    rows, gram = np.unique(gram[common], return_inverse=True)
-    kept = np.bincount(word_of_gram[common], minlength=len(size))
-    starts = np.concatenate(([0], np.cumsum(kept)))
+    rows = np.flatnonzero(seen >= max(2, int((y == 1).sum()) // LEAST_SHARE))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[rows] = np.arange(len(rows), dtype=np.int32)
+    gram = place[gram]
+    kept = np.add.reduceat(gram >= 0, starts[:-1], dtype=np.int32) if len(size) else size
+    gram = gram[gram >= 0]
+    starts = np.concatenate(([0], np.cumsum(kept, dtype=np.int64)))
+    del seen, place
     table = rng.normal(0, 0.01, (len(rows), DIM))
     softmax = rng.normal(0, 0.5, (DIM, 2))
     bias = np.array([2.0, -2.0])  # else plain words would have to say that they are clean
     squares = [np.full_like(table, 1e-8), np.full_like(softmax, 1e-8), np.full_like(bias, 1e-8)]
     used = [i for i, d in enumerate(docs) if len(d)]
-    word_of_gram = word_of_gram[common]
+    parts = [(i, min(i + PART, len(size))) for i in range(0, len(size), PART)]
     for epoch in range(EPOCHS):
         read = table @ (softmax[:, 1] - softmax[:, 0])
-        scores = np.bincount(word_of_gram, weights=read[gram], minlength=len(size)) / size
+        scores = np.empty(len(size))
+        for i, j in parts:  # a little memory at a time
+            owner = np.repeat(np.arange(j - i), kept[i:j])
+            scores[i:j] = np.bincount(owner, weights=read[gram[starts[i] : starts[j]]], minlength=j - i) / size[i:j]
         windows, owner = [], []
         for i in used:
             d = docs[i]
