@@ -25,8 +25,10 @@ them.  It makes a wide fingerprint of 16 bands of 32 bits and hashes the balls
 of each band, at radius 2, by the same meeting in the middle; what a band
 brings together is verified by the exact Jaccard similarity of the whole sets
 of shingle hashes, long ones in pieces, before it is a link; all 512 bits only
-sort out what is far away.  Each bucket is first compared with its smallest
-text, then, where that leaves several components in it, across these.  A band meets with probability
+sort out what is far away.  A text is first compared with the smallest one that
+it meets anywhere, then, unless that has joined them, with the smallest of each
+of its buckets, and where a bucket still holds several components all texts
+outside of the largest are compared with those of the others.  A band meets with probability
 0.12, 0.20, 0.34 and 0.59 at similarities of 0.8, 0.85, 0.9 and 0.95, one of 16
 with 0.87, 0.97, 0.999 and 1.  Beside them each text has 24 keys of six
 min-hashes that meet their equals: one of them with 0.9993, 0.99999 and more,
@@ -51,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, hot_left_join, sent_if_few, shuffle_partitions, unused, written
 from .components import connected_components
 
 SEED = 42
@@ -154,13 +156,17 @@ def components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     bits reach, the row's own included.
     """
     prints = checkpointed(fingerprints(docs, shingle))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = connected_components(checkpointed(links(distinct.select("fp"))))
-    named = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
-    named = named.select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
+    classes = _named(distinct, "fp", connected_components(checkpointed(links(distinct.select("fp")))))
+    return hot_left_join(prints, classes, "fp", "rows", prints.count(), "doc_id").select("doc_id", "fp", "component_id")
+
+
+def _named(nodes: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """(key, rows, component_id) of ``nodes`` (key, first, rows): the smallest ``first`` of a node's component in ``found``."""
+    named = nodes.join(found.select(F.col("node").alias(key), "component"), key, "left")
+    named = checkpointed(named.select(key, "first", "rows", F.coalesce("component", key).alias("component")))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    return hot_left_join(named, smallest, "component", "nodes", named.count(), key).select(key, "rows", "component_id")
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -217,7 +223,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, bits: int = BITS, keys: int = HASH_KEYS) -> DataFrame:
-    """(doc_id, row_text, node, n, level, bands, keys) of every row of ``docs`` that has a doc_id; node names the set of n shingles."""
+    """(doc_id, row_text, name, n, level, bands, keys) of every row of ``docs`` that has a doc_id; name is that of the set of n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,9 +236,9 @@ def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, bands: int = BAND
                 pa.array([wide_bits(s, bands, bits) for s in sets], pa.list_(pa.int64())),
                 pa.array([min_hash_keys(s, keys) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_text", "node", "n", "level", "bands", "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "row_text", "name", "n", "level", "bands", "keys"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, row_text long, node long, n long, level int, bands array<long>, keys array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, row_text long, name long, n long, level int, bands array<long>, keys array<long>")
 
 
 def most_differing(similarity: float, n_bits: int, deviations: float = 1) -> int:
@@ -259,17 +265,16 @@ def meetings(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
         exploded = exploded.unionByName(nodes.select("node", F.explode("keys").alias("key")))
     values = checkpointed(exploded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")))
     equal = checkpointed(exploded.join(values.where("center != last").select("key", "center"), "key"))
-    # as in links, but rows in the shuffle are three longs: band and upper half, lower half and mark, center
+    # as in links, but a row in the shuffle is two longs: the variant with a mark on those that weren't changed, and the center
     half = bits // 2
     flips = lambda start, stop: F.array(*[F.lit(x).cast("long") for x in [0, *(1 << i for i in range(start, stop))]])
     sent = values.where("key >= 0").select("key", "center", F.explode(flips(half, bits)).alias("mask"))
-    lower = F.shiftleft(F.col("key").bitwiseAND(F.lit((1 << half) - 1)), 1).bitwiseOR((F.col("mask") == 0).cast("long"))
-    upper = F.shiftright(F.col("key").bitwiseXOR(F.col("mask")), half)
-    dealt = sent.select(upper.alias("upper"), lower.alias("lower"), "center").repartition("upper")
+    spot = F.shiftleft(F.col("key").bitwiseXOR(F.col("mask")), 1).bitwiseOR((F.col("mask") == 0).cast("long"))
+    dealt = sent.select(spot.alias("spot"), "center").repartition(shuffle_partitions(nodes.sparkSession), F.shiftright("spot", half + 1))
     zero = F.array(F.lit(0).cast("long"))
-    whole = F.col("lower").bitwiseAND(F.lit(1).cast("long")) == 1
-    met = dealt.select("upper", "lower", "center", F.explode(F.when(whole, flips(0, half)).otherwise(zero)).alias("mask"))
-    met = met.select("upper", "center", F.shiftright("lower", 1).bitwiseXOR(F.col("mask")).alias("lower"))
+    whole = F.col("spot").bitwiseAND(F.lit(1).cast("long")) == 1
+    met = dealt.select(F.shiftright("spot", half + 1).alias("upper"), F.shiftright("spot", 1).alias("variant"), "center", F.explode(F.when(whole, flips(0, half)).otherwise(zero)).alias("mask"))
+    met = met.select("upper", F.col("variant").bitwiseXOR(F.col("mask")).bitwiseAND(F.lit((1 << half) - 1)).alias("lower"), "center")
     ball = Window.partitionBy("upper", "lower")
     met = met.select("upper", "lower", "center", F.min("center").over(ball).alias("star"), F.max("center").over(ball).alias("last"))
     return equal, checkpointed(met.where("star != last").drop("last"))
@@ -290,20 +295,22 @@ def strangers(nodes: DataFrame, equal: DataFrame, met: DataFrame, found: DataFra
     """(a, b), a < b: all pairs that a bucket brings together and that ``found`` (node, component) has not joined.
 
     A star joins a bucket only as far as its center is similar to the rest.
-    Where that leaves several components in a bucket, each pair of nodes from
-    different ones is compared; in all other buckets nothing is left to find.
+    Where that leaves several components in a bucket, each node outside of the
+    largest is compared with the nodes of the others; elsewhere nothing is left
+    to find, so a group of copies makes no pairs however many it has.
     """
     band = (F.shiftright("upper", bits - bits // 2)).alias("band")
     same = equal.where("key >= 0").select(F.shiftright("key", bits).alias("band"), "center", "node")
     balls = met.select("upper", "lower", "center", band).join(same, ["band", "center"], "left").select("upper", "lower", F.coalesce("node", "center").alias("node"))
     rows = balls.unionByName(equal.select(F.col("key").alias("upper"), F.lit(-1).cast("long").alias("lower"), "node"))
     rows = checkpointed(rows.join(found, "node", "left").select("upper", "lower", "node", F.coalesce("component", "node").alias("component")))
-    mixed = rows.groupBy("upper", "lower").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
-    rows = checkpointed(rows.join(mixed.select("upper", "lower"), ["upper", "lower"]).join(nodes.select("node", "n", "bands"), "node"))
-    ends = [rows.select("upper", "lower", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n", "bands")]) for x in "ab"]
-    apart = F.expr("a_component < b_component") & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+    parts = rows.groupBy("upper", "lower", "component").agg(F.count(F.lit(1)).alias("nodes"))
+    mixed = parts.groupBy("upper", "lower").agg(F.max(F.struct("nodes", "component")).component.alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows = checkpointed(rows.join(mixed.drop("parts"), ["upper", "lower"]).join(nodes.select("node", "n", "bands"), "node"))
+    ends = [rows.select("upper", "lower", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "largest", "n", "bands")]) for x in "ab"]
+    apart = F.expr("b_component = b_largest OR a_component < b_component") & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
     near = bits_apart("a_bands", "b_bands") <= most_differing(similarity, n_bits, DEVIATIONS)
-    pairs = ends[0].join(ends[1], ["upper", "lower"]).where(apart & near)
+    pairs = ends[0].where("a_component != a_largest").join(ends[1], ["upper", "lower"]).where(apart & near)
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
@@ -334,9 +341,9 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     near = near.where(bits_apart("a_bands", "b_bands") <= most_differing(similarity, n_bits, DEVIATIONS))
     near = checkpointed(near.select("a", "b", "a_n", "b_n", F.greatest("a_level", "b_level").alias("level")))
     asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    asked = nodes.select("node", "row.*").join(asked, "node", "left_semi")
-    texts = _rows(docs).join(asked, ["doc_id", "row_text"]).groupBy("node").agg(F.min("text").alias("text"))
-    sets = checkpointed(shingle_sets(texts, shingle, similarity))
+    asked = nodes.select("node", F.col("first").alias("doc_id"), "row_text").join(asked, "node", "left_semi")
+    texts = _rows(docs).join(sent_if_few(asked), ["doc_id", "row_text"]).select("node", "text")
+    sets = checkpointed(shingle_sets(texts, shingle, similarity).dropDuplicates(["node", "level", "piece"]))
     left = near.join(sets.select(F.col("node").alias("a"), "level", "piece", F.col("hashes").alias("a_hashes")), ["a", "level"])
     both = left.join(sets.select(F.col("node").alias("b"), "level", "piece", F.col("hashes").alias("b_hashes")), ["b", "level", "piece"])
     shared = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_hashes", "b_hashes")).alias("shared"))
@@ -344,20 +351,34 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     return checkpointed(shared.where(F.col("shared") >= similarity * (F.col("a_n") + F.col("b_n") - F.col("shared")) - 1e-9).select("a", "b"))
 
 
+def joined_by(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that ``found`` (node, component) has not joined."""
+    ends = [found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab"]
+    rows = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return rows.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+
+
 def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, bits: int, keys: int) -> DataFrame:
     """(doc_id, row_text, component_id) of every row with a doc_id."""
-    prints = checkpointed(wide_fingerprints(docs, shingle, bands, bits, keys))
-    kept = [F.first(c).alias(c) for c in prints.columns[3:]]
-    nodes = checkpointed(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row_text")).alias("row"), *kept))
-    equal, met = meetings(nodes, bits)
-    linked = similar(stars(equal, met), nodes, docs, shingle, similarity, bands * bits)
+    prints = written(wide_fingerprints(docs, shingle, bands, bits, keys), "wide-fingerprints")
+    kept = [F.first(c).alias(c) for c in ("n", "level", "bands", "keys")]
+    nodes = prints.groupBy("name").agg(F.min(F.struct("doc_id", "row_text")).alias("row"), F.count(F.lit(1)).alias("rows"), *kept)
+    # numbers that are smaller than hashes, and stay as they are written
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "name", "rows", F.col("row.doc_id").alias("first"), F.col("row.row_text"), "n", "level", "bands", "keys"), "nodes")
+    # a set of fewer can't have that similarity to any but its equal
+    linkable = nodes.where(F.col("n") * (1 - similarity) >= similarity - 1e-9)
+    equal, met = meetings(linkable, bits)
+    pairs = checkpointed(stars(equal, met))
+    check = lambda some: similar(some, linkable, docs, shingle, similarity, bands * bits)
+    # one link may join a node to all others of its group, so each is first tried with its smallest center alone
+    linked = check(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     found = connected_components(linked)
-    rest = similar(strangers(nodes, equal, met, found, similarity, bits, bands * bits), nodes, docs, shingle, similarity, bands * bits)
-    if not rest.isEmpty():
-        found = connected_components(linked.unionByName(rest))
-    named = nodes.join(found, "node", "left").select("node", F.col("row.doc_id").alias("first"), F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "row_text", "node").join(named.join(smallest, "component").select("node", "component_id"), "node").drop("node")
+    for rest in (lambda: joined_by(found, pairs), lambda: strangers(linkable, equal, met, found, similarity, bits, bands * bits)):
+        more = check(rest())
+        if not more.isEmpty():
+            linked = linked.unionByName(more)
+            found = connected_components(linked)
+    return hot_left_join(prints.select("doc_id", "row_text", "name"), _named(nodes.select("node", "first", "rows"), "node", found).join(nodes.select("node", "name"), "node").drop("node"), "name", "rows", prints.count(), "doc_id").drop("name")
 
 
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, bits: int = BITS, keys: int = HASH_KEYS) -> DataFrame:
@@ -372,8 +393,9 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     without a doc_id stay, as nothing names them.
     """
     classes = _classes(docs, shingle, similarity, bands, bits, keys).where(F.col("doc_id") != F.col("component_id"))
-    lost = classes.select(F.col("doc_id").alias("_lost_doc_id"), F.col("row_text").alias("_lost_text")).distinct()
-    same = (docs["doc_id"] == lost["_lost_doc_id"]) & (F.xxhash64(docs["text"]) == lost["_lost_text"])
+    lost_id, lost_text = unused(docs, "lost_id"), unused(docs, "lost_text")
+    lost = sent_if_few(classes.select(F.col("doc_id").alias(lost_id), F.col("row_text").alias(lost_text)).distinct())
+    same = (docs["doc_id"] == lost[lost_id]) & (F.xxhash64(docs["text"]) == lost[lost_text])
     return docs.join(lost, same, "left_anti")
 
 
