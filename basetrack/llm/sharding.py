@@ -5,12 +5,16 @@ vector of ``shards`` sums; two are combined by adding the largest sum of the
 one to the smallest of the other, and so on, and the two with the largest
 spread are combined first, until one is left.
 
-At scale the ``block_size`` heaviest groups are items of their own and all
-others are bundled by hash into ``block_size`` bundles, so one task
-differences at most twice that many items however many groups there are; a
-group that is itself larger than a shard's share (a third of all rows may be
-copies of one text) still meets items that can make up for it.  With fewer
-groups than that, each is an item of its own.
+At scale groups are dealt by hash into parts of at most about ``block_size``,
+and each part is differenced, in parallel, into an eighth as many bundles of
+nearly equal bytes; these are the items of the next round, until one task takes
+all that are left and differences them into the shards.  An eighth of a part's
+worth of each round's items isn't bundled but goes straight into that last
+differencing, so that it has items of every size, single groups included, and
+levels out what the bundles leave.  So every group takes part in differencing,
+at every size by the same method, and a group that is itself larger than a
+shard's share (a third of all rows may be copies of one text) stays alone in its
+bundle and still meets bundles that can make up for it.
 
 The slot of a row in its shard is gapless: rows are numbered within (shard,
 bucket of the hashed doc_id), and the counts of those cells give the offsets,
@@ -27,83 +31,96 @@ other; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions, text_or_empty
+from .common import checkpointed, hot_left_join, shuffle_partitions, text_or_empty
 
 SHARDS = 40
 BLOCK_SIZE = 10_000
+FAN_IN = 8
 OVERHEAD = 16
 
 
-def difference(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Combine partial partitions by differencing.
-
-    Returns the final sums and, per input vector, the final shard of each of
-    its places.  Ties go to the vector that came first.
-    """
-    k = len(vectors[0])
-    sums: list[np.ndarray | None] = [np.asarray(v, dtype=np.int64) for v in vectors]
-    n = len(sums)
-    children: list[tuple[int, np.ndarray, int, np.ndarray] | None] = [None] * n
-    heap = [(-int(v.max() - v.min()), i) for i, v in enumerate(sums)]
+def difference_groups(weights: list[int], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Final sums and the shard of each weight, by differencing.  Ties go to what came first."""
+    n = len(weights)
+    # a single weight is a vector with one place that isn't zero, and made one only when it is combined
+    sums: list[int | np.ndarray | None] = list(weights)
+    heap = [(-w if shards > 1 else 0, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
+    children: list[tuple[int, np.ndarray, int, np.ndarray]] = []
+    kind = np.int16 if shards <= np.iinfo(np.int16).max else np.int32
+
+    def ordered(i: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vector in order, and for each of its places where that stands in the order; of a single weight only for its own."""
+        v = sums[i]
+        if i < n:
+            out = np.zeros(shards, dtype=np.int64)
+            at = 0 if sign < 0 else shards - 1
+            out[at] = v
+            return out, np.array([at], dtype=kind)
+        order = np.argsort(sign * v, kind="stable")
+        at = np.empty(shards, dtype=kind)
+        at[order] = np.arange(shards, dtype=kind)
+        return v[order], at
+
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        down, up = np.argsort(-sums[a], kind="stable"), np.argsort(sums[b], kind="stable")
-        both = sums[a][down] + sums[b][up]
-        # place of each of the children's shards in the new vector
-        at_a, at_b = np.empty(k, dtype=np.int32), np.empty(k, dtype=np.int32)
-        at_a[down] = at_b[up] = np.arange(k, dtype=np.int32)
+        (down, at_a), (up, at_b) = ordered(a, -1), ordered(b, 1)
+        both = down + up
         children.append((a, at_a, b, at_b))
         sums[a] = sums[b] = None
         heapq.heappush(heap, (-int(both.max() - both.min()), len(sums)))
         sums.append(both)
+    if not children:
+        total = np.zeros(shards, dtype=np.int64)
+        total[:n] = weights
+        return total, np.zeros(n, dtype=np.int64)
     places: list[np.ndarray | None] = [None] * len(sums)
-    places[-1] = np.arange(k, dtype=np.int32)
+    places[-1] = np.arange(shards, dtype=kind)
     for i in range(len(sums) - 1, n - 1, -1):
-        a, at_a, b, at_b = children[i]
+        a, at_a, b, at_b = children[i - n]
         places[a], places[b] = places[i][at_a], places[i][at_b]
         places[i] = None
-    return sums[-1], np.stack(places[:n])
+    return sums[-1], np.concatenate(places[:n]).astype(np.int64)
 
 
-def difference_groups(weights: list[int], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Final sums and the shard of each single weight."""
-    vectors = []
-    for w in weights:
-        v = np.zeros(shards, dtype=np.int64)
-        v[0] = w
-        vectors.append(v)
-    sums, places = difference(vectors)
-    return sums, places[:, 0]
-
+def _placed(places: int):
+    """Differences the items (part, item, bytes) of a part; place: where each goes."""
 
-def _placed(shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "item"], ascending=[False, True], kind="stable")
-        _, at = difference_groups(pdf["bytes"].tolist(), shards)
-        return pd.DataFrame({"item": pdf["item"].to_numpy(), "shard": at.astype(np.int32)})
+        _, at = difference_groups(pdf["bytes"].tolist(), places)
+        return pdf.assign(place=at.astype(np.int64))[["part", "item", "bytes", "place"]]
 
     return run
 
 
 def assign(groups: DataFrame, shards: int = SHARDS, block_size: int = BLOCK_SIZE) -> DataFrame:
     """(digest, shard) of ``groups`` (digest, bytes), one row for each digest."""
-    groups = checkpointed(groups)
-    top = groups.select("bytes").orderBy(F.desc("bytes")).limit(block_size + 1)
-    n, least = top.agg(F.count("bytes"), F.min("bytes")).first()
-    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("digest"), F.lit(block_size)).cast("string"))
-    own = F.lit(True) if n <= block_size else F.col("bytes") > least
-    groups = groups.withColumn("item", F.when(own, F.col("digest")).otherwise(bundle))
-    items = groups.groupBy("item").agg(F.sum("bytes").alias("bytes"))
-    placed = checkpointed(items.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_placed(shards), "item string, shard int"))
-    return groups.join(placed, "item").select("digest", "shard")
+    few = max(2, block_size // FAN_IN)
+    rounds, single, items = [], [], checkpointed(groups.select(F.col("digest").alias("item"), "bytes"))
+    while (n := items.count()) > block_size:
+        stays = F.pmod(F.xxhash64("item", F.lit(len(rounds))), F.lit(n)) < few
+        single.append(items.where(stays))
+        parts = -(-n // block_size)
+        dealt = items.where(~stays).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
+        placed = checkpointed(dealt.groupBy("part").applyInPandas(_placed(few), "part long, item string, bytes long, place long"))
+        placed = placed.withColumn("bundle", F.concat_ws("/", F.lit(len(rounds)), "part", "place"))
+        rounds.append(placed.select("item", "bundle"))
+        items = checkpointed(placed.groupBy(F.col("bundle").alias("item")).agg(F.sum("bytes").alias("bytes")))
+    for more in single:
+        items = items.unionByName(more)
+    last = items.withColumn("part", F.lit(0).cast("long")).groupBy("part").applyInPandas(_placed(shards), "part long, item string, bytes long, place long")
+    found = checkpointed(last.select("item", F.col("place").cast("int").alias("shard")))
+    for bundles in reversed(rounds):
+        found = found.unionByName(bundles.join(found.withColumnRenamed("item", "bundle"), "bundle").select("item", "shard"))
+    # names of bundles are in it too, and no digest is like one
+    return found.select(F.col("item").alias("digest"), "shard").join(groups.select("digest"), "digest")
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -116,8 +133,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, block_size: int = BLOCK_SIZE)
         F.sha2(text, 256).alias("digest"),
     )
     rows = checkpointed(rows)
-    shard_of = assign(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), shards, block_size)
-    put = checkpointed(rows.join(shard_of, "digest").select("doc_id", "size", "text_crc32", "shard"))
+    groups = checkpointed(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
+    shard_of = groups.select("digest", "rows").join(assign(groups, shards, block_size), "digest")
+    put = checkpointed(hot_left_join(rows, shard_of, "digest", "rows", rows.count(), "doc_id").select("doc_id", "size", "text_crc32", "shard"))
     buckets = shuffle_partitions(docs.sparkSession)
     cell = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int")
     put = put.withColumn("bucket", cell)
