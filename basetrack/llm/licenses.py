@@ -1,33 +1,48 @@
 """License scans by an exact set-similarity join.
 
-A text's blocks are its lines.  Blocks and licence templates are sets of words
-(lower case, ASCII punctuation apart); a template is found in a block that
-contains at least ``threshold`` of its words.  Template words are ordered by
-how many blocks of the whole corpus have them, rarest first.  A block that
-meets the threshold must share a word with the template's prefix (all but
-need - 1 of its words; need is the least overlap that meets the threshold), so
-only prefix words are joined.  Candidates then pass the length filter (the
-block has need or more template words), the positional filter (from the first
-shared prefix word on there are need or more words left, and the shared prefix
-words with all words beyond the prefix are need or more) and an exact count.
+A text's blocks are runs of ``BLOCK`` consecutive words, each half a block after
+the one before, so line breaks play no part and a notice wrapped over lines is
+found; every run of half a block's words stands in one of them.  Words are lower
+case, ASCII punctuation apart.  A licence template is found where its window, a
+``SPREAD`` of its own length in consecutive words, holds at least ``threshold``
+of its distinct words; words further apart than that don't count together.
+
+Blocks and templates are joined as sets.  Template words are in one order, by
+how many blocks of the whole corpus have them, rarest first.  A block that meets
+the threshold must share a word with the template's prefix (all but need - 1 of
+its words; need is the least overlap that meets the threshold), so only prefix
+words are joined.  Candidates then pass the length filter (the block has need or
+more template words), the positional filter (of the words that stand behind the
+rarest shared one in that order, the template and the block each have enough
+left to reach need) and an exact count over the block.  What is left, few
+blocks, is read again for its words in their places, and every window of it is
+counted.
 
 Everything is DataFrame expressions.  The index that is broadcast holds the
-templates alone, which are a parameter.  Documents are scanned once for the
-frequencies and once for the join; only candidate blocks and one small row for
-each document are shuffled, on keys of their own.
+templates alone, which are a parameter of at most MOST_WORDS words (more are
+refused).  Documents are read once for the blocks, which are written, a short
+row for each that has a template word, once for the words of the candidates, and
+``query`` reads them once more for the base rule; only candidates and one small row for each document are shuffled.
 
 Rows: null texts count as empty; rows with one doc_id and one text are treated
-alike and each give a row; a null doc_id stays null.
+alike and each give a row; a null doc_id stays null; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import checkpointed, sent_if_few, text_or_empty, written
 
 THRESHOLD = 0.85
+# words of a block, and how many words may stand between those of a template
+BLOCK = 128
+SPREAD = 1.2
+MOST_WORDS = 100_000
 NO_ID = -(1 << 63)
 
 # Phrases of the base rule and their labels.
@@ -41,6 +56,15 @@ TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("all-rights-reserved", "All rights reserved."),
@@ -49,9 +73,24 @@ TEMPLATES = [
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def words_in(text: str) -> list[str]:
+    """Words of a template, which is ASCII, in their order."""
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
 def template_words(text: str) -> list[str]:
-    """Distinct words of a template, which is ASCII."""
-    return sorted(set("".join(c if c.isalnum() else " " for c in text.lower()).split()))
+    """Distinct words of a template."""
+    return sorted(set(words_in(text)))
+
+
+def window(text: str) -> int:
+    """How many consecutive words of a text a template's words may take."""
+    return math.ceil(SPREAD * len(words_in(text)))
+
+
+def need(text: str, threshold: float = THRESHOLD) -> int:
+    """How many distinct words of a template make a find."""
+    return math.ceil(len(template_words(text)) * threshold - 1e-9)
 
 
 def _spaces(x: Column) -> Column:
@@ -93,35 +132,58 @@ def _key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("row_id"), F.xxhash64("text").alias("row_text")
 
 
-def blocks(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """(row_id, row_text, block, words): the distinct template words of each line that has any."""
-    vocabulary = sorted({w for _, text in templates for w in template_words(text)})
+def _words() -> Column:
+    """All words of a text, in lower case."""
     # the two letters beyond ASCII whose lower case has an ASCII letter stay apart
-    text = F.regexp_replace(text_or_empty(), "[İK]", "ɪ")
-    lines = docs.select(*_key(), F.posexplode(F.split(text, "\n")).alias("block", "line"))
-    words = F.array_intersect(F.split(F.lower(F.regexp_replace("line", BREAK, " ")), " "), F.array(*map(F.lit, vocabulary)))
-    return lines.select("row_id", "row_text", "block", words.alias("words")).where(F.size("words") > 0)
+    text = F.regexp_replace(text_or_empty(), "[\u0130\u212a]", "\u026a")
+    return F.split(F.trim(F.lower(F.regexp_replace(text, BREAK, " "))), " ")
+
+
+def blocks(docs: DataFrame, templates: list[tuple[str, str]], size: int = BLOCK) -> DataFrame:
+    """(row_id, row_text, block, words): the distinct template words of each block that has any, in the block's order."""
+    vocabulary = F.array(*map(F.lit, sorted({w for _, text in templates for w in template_words(text)})))
+    step = size // 2
+    rows = docs.select(*_key(), _words().alias("words"))
+    n = F.greatest(F.ceil(F.size("words") / step) - 1, F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_intersect(F.slice("words", i * step + 1, size), vocabulary))
+    rows = rows.select("row_id", "row_text", F.posexplode(parts).alias("block", "words"))
+    return rows.where(F.size("words") > 0)
 
 
 def found(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(row_id, row_text, block, template, label, containment) of every block and template that meet the threshold."""
+    """(row_id, row_text, block, template, label, containment) of every block and template that meet the threshold; containment: of its best window."""
     spark = docs.sparkSession
-    rows = blocks(docs, templates)
-    frequency = rows.select(F.explode("words").alias("word")).groupBy("word").count()
-    given = [(i, label, w) for i, (label, text) in enumerate(templates) for w in template_words(text)]
-    words = spark.createDataFrame(given, "template int, label string, word string").join(frequency, "word", "left")
-    ranked = words.groupBy("template", "label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word"))).word.alias("of"))
-    need = F.ceil(F.size("of") * F.lit(threshold) - 1e-9).cast("int")
-    index = ranked.select("template", "label", "of", need.alias("need"), F.posexplode("of").alias("place", "word")).where("place < size(of) - need + 1")
+    if sum(len(words_in(text)) for _, text in templates) > MOST_WORDS:
+        raise ValueError(f"templates of more than {MOST_WORDS} words are too many to broadcast")
+    size = max([BLOCK, *(2 * window(text) for _, text in templates)])
+    rows = written(blocks(docs, templates, size), "license-blocks")
+    # a row for each template word at most
+    counted = rows.select(F.explode("words").alias("word")).groupBy("word").count()
+    frequency = {r["word"]: r["count"] for r in counted.collect()}
+    rare_first = lambda words: sorted(words, key=lambda w: (frequency.get(w, 0), w))
+    order = F.array(*map(F.lit, rare_first({w for _, text in templates for w in words_in(text)})))
+    prefixes = []
+    for i, (label, text) in enumerate(templates):
+        of, least = rare_first(template_words(text)), need(text, threshold)
+        prefixes += [(i, label, least, window(text), of, place, of[place]) for place in range(len(of) - least + 1)]
+    index = spark.createDataFrame(prefixes, "template int, label string, need int, window int, of array<string>, place int, word string")
     probes = rows.select("row_id", "row_text", "block", "words", F.explode("words").alias("word"))
     met = probes.join(F.broadcast(index), "word").where("size(words) >= need")
-    met = met.groupBy("row_id", "row_text", "block", "template").agg(
-        F.min("place").alias("place"), F.countDistinct("word").alias("shared"), F.first("words").alias("words"), F.first("of").alias("of"), F.first("need").alias("need"), F.first("label").alias("label")
-    )
-    met = met.where("size(of) - place >= need and shared + need - 1 >= need")
-    overlap = F.size(F.array_intersect("words", "of"))
-    met = met.withColumn("overlap", overlap).where("overlap >= need")
-    return met.select("row_id", "row_text", "block", "template", "label", (F.col("overlap") / F.size("of")).alias("containment"))
+    met = met.groupBy("row_id", "row_text", "block", "template").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("words", "of", "need", "window", "label")])
+    # place: of the rarest shared word in the template; in the block it is that among its own words in the same order
+    met = met.withColumn("sorted", F.array_intersect(order, "words"))
+    in_block = F.array_position("sorted", F.get("of", F.col("place"))) - 1
+    met = met.where((F.size("of") - F.col("place") >= F.col("need")) & (F.size("sorted") - in_block >= F.col("need")))
+    met = checkpointed(met.where(F.size(F.array_intersect("words", "of")) >= F.col("need")).drop("place", "words", "sorted"))
+    # the blocks that are left, with their words in place
+    texts = sent_if_few(met.select("row_id", "row_text").distinct())
+    placed = docs.select(*_key(), "text").join(texts, ["row_id", "row_text"]).groupBy("row_id", "row_text").agg(F.min("text").alias("text"))
+    placed = met.join(placed.select("row_id", "row_text", _words().alias("all")), ["row_id", "row_text"])
+    placed = placed.select(*met.columns, F.slice("all", F.col("block") * (size // 2) + 1, size).alias("own"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("own")), lambda i: F.array_contains("of", F.get("own", i - 1)))
+    overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("own", i, F.col("window")), "of"))))
+    placed = placed.withColumn("overlap", overlap).where("overlap >= need")
+    return placed.select("row_id", "row_text", "block", "template", "label", (F.col("overlap") / F.size("of")).alias("containment"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def queries() -> dict:
 
 
 def license_sql() -> str:
-    """Every block against every template, without index or filters."""
+    """Every window of consecutive words against every template, without blocks, index or filters."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = lambda x: f"regexp_extract_all(translate({x}, '{upper}', '{lower}'), '{word}')"
@@ -46,15 +46,15 @@ def license_sql() -> str:
         at = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
         places.append(f"list_filter(range(len(ws)), lambda i: {at}) AS at_{label}")
         found.append(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END")
-    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in licenses.template_words(text))}])" for label, text in licenses.TEMPLATES)
+    of = [(label, licenses.template_words(text), licenses.need(text), licenses.window(text)) for label, text in licenses.TEMPLATES]
+    templates = ", ".join(f"('{label}', [{', '.join(map(repr, words))}], {need}, {window})" for label, words, need, window in of)
     everywhere = " || ".join(f"at_{label}" for _, label in licenses.PHRASES)
     return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, {words("text")} AS ws FROM t),
 p AS (SELECT doc_id, len(ws) AS n_words, {", ".join(places)} FROM w),
-b AS (SELECT doc_id, list_distinct({words("line")}) AS own FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
-h AS (SELECT doc_id, label, len(list_intersect(own, words)) / len(words) AS c FROM b, (VALUES {templates}) AS v(label, words)
-  WHERE len(list_intersect(own, words)) >= ceil(len(words) * {licenses.THRESHOLD} - 1e-9)),
-g AS (SELECT doc_id, list(DISTINCT label) AS more, max(c) AS c FROM h GROUP BY doc_id),
+h AS (SELECT doc_id, label, list_max(list_transform(list_filter(range(len(ws)), lambda i: list_contains(own, ws[i + 1])), lambda i: len(list_intersect(ws[i + 1 : i + size], own)))) AS most, len(own) AS n, need
+  FROM w, (VALUES {templates}) AS v(label, own, need, size) WHERE len(list_intersect(ws, own)) >= need),
+g AS (SELECT doc_id, list(DISTINCT label) AS more, max(most / n) AS c FROM h WHERE most >= need GROUP BY doc_id),
 r AS (SELECT doc_id, n_words, {everywhere} AS places, list_filter([{", ".join(found)}], lambda x: x IS NOT NULL) AS base FROM p)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(base), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ','), '') AS labels,

@@ -300,12 +300,10 @@ def brute_license(text):
         places += at
         base |= {label} if at else set()
     more = set()
-    for line in (text or "").split("\n"):
-        own = set(re.findall(r"[a-z0-9]+", line.lower()))
-        for label, t in licenses.TEMPLATES:
-            w = licenses.template_words(t)
-            if len(own & set(w)) >= math.ceil(licenses.THRESHOLD * len(w) - 1e-9):
-                more.add(label)
+    for label, t in licenses.TEMPLATES:
+        w = set(licenses.template_words(t))
+        if any(len(w.intersection(words[i : i + licenses.window(t)])) >= licenses.need(t) for i in range(len(words))):
+            more.add(label)
     starts = [p for p, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more))
 
