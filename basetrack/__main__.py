@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .operators import histogram, masks, pca
 from .operators import track as T
 from .plans.selection import Coordinates, Genome
@@ -27,12 +28,15 @@ def _new(path: str, force: bool) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="basetrack")
+    p.add_argument("--version", action="version", version=f"basetrack {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("import")
     a.add_argument("store")
     a.add_argument("genome", help="table of contig and length")
     a.add_argument("files", nargs="*")
     a.add_argument("--track-name", default="depth")
+    a.add_argument("--chunk-size", type=int, help="positions of a file")
+    a = sub.add_parser("version")
     a = sub.add_parser("preprocess")
     a.add_argument("store")
     a.add_argument("what", choices=["all", "sum", "missingness"])
@@ -43,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("store")
     a.add_argument("-o", "--output")
     a.add_argument("--force", action="store_true")
-    a.add_argument("--missing-data-threshold", type=int, default=3)
+    a.add_argument("--missing-data-threshold", "--threshold", type=int, default=3)
     a.add_argument("--max-positions", type=int, default=50_000_000)
     a.add_argument("--track-name", default="depth")
     a = sub.add_parser("mask")
@@ -60,6 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--sampleset-name", default="ALL")
     a.add_argument("--cutoff", type=int)
     a.add_argument("--genome", help="table of contig and length, for FASTA")
+    a.add_argument("--parts", action="store_true", help="a folder of files in order, written by all executors, instead of one file")
     a = sub.add_parser("pca")
     a.add_argument("store")
     a.add_argument("-o", "--output", required=True)
@@ -71,6 +76,9 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--force", action="store_true")
     a.add_argument("--track-name", default="depth")
     args = p.parse_args(argv)
+    if args.command == "version":
+        print(__version__)
+        return 0
     spark = SparkSession.builder.getOrCreate()
     return globals()[f"_{args.command}"](spark, args)
 
@@ -82,7 +90,7 @@ def _import(spark, args) -> int:
     genome = _genome(args.genome)
     names = [files.sample_name(f) for f in args.files]
     store = Store.create(spark, args.store)
-    store.write(Entry(args.track_name, names, list(genome.contigs), list(genome.offsets)), files.import_tracks(spark, args.files, genome))
+    store.write(Entry(args.track_name, names, list(genome.contigs), list(genome.offsets)), files.import_tracks(spark, args.files, genome), chunk_size=args.chunk_size)
     return 0
 
 
@@ -120,7 +128,7 @@ def _mask(spark, args) -> int:
     for k in args.cutoff or sorted({q["missing_cutoff"] for q in profile.values()}):
         store.summary(args.track_name, "missing", k)
     grouping = store.entries[args.track_name].grouping()
-    masks.layers(store.read(args.track_name), grouping, profile, args.cutoff).write.mode("errorifexists").parquet(args.output)
+    files.write_mask(masks.layers(store.read(args.track_name), grouping, profile, args.cutoff), args.output, profile, dataset, args.cutoff)
     return 0
 
 
@@ -138,10 +146,11 @@ def _export(spark, args) -> int:
     if k not in cutoffs:
         raise SystemExit(f"unknown cutoff {k}; there are {', '.join(map(str, cutoffs))}")
     rows = mask.where((mask["sample_set"] == args.sampleset_name) & (mask["missing_cutoff"] == k)).withColumn("accessible", mask[args.layer])
-    if args.format == "BED":
-        files.write_bed(rows, args.output)
+    lines = files.bed(rows) if args.format == "BED" else files.fasta(rows, _genome(args.genome))
+    if args.parts:
+        lines.write.text(args.output)
     else:
-        files.fasta(rows, _genome(args.genome)).write.text(args.output)
+        files.write_lines(lines, args.output)
     return 0
 
 

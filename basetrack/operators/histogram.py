@@ -50,9 +50,9 @@ def _cumulated(hist: DataFrame, *keys: str) -> DataFrame:
 
 
 def at_least(q: Column | float) -> Column:
-    """Aggregate over a cumulated histogram: the first value with cum >= q * n."""
+    """Aggregate over a cumulated histogram: the first value with cum >= q * n; for q = 0 that is bin 0, empty or not."""
     q = q if isinstance(q, Column) else F.lit(float(q))
-    return F.min(F.when(F.col("cum") >= q * F.col("n"), F.col("value")))
+    return F.when(q <= 0, F.lit(0).cast("long")).otherwise(F.min(F.when(F.col("cum") >= q * F.col("n"), F.col("value"))))
 
 
 def quantiles(hist: DataFrame, qs: Sequence[float], *keys: str) -> DataFrame:
@@ -111,3 +111,26 @@ def threshold_table(hist: DataFrame, limits: DataFrame, grouping: Grouping, geno
         *[rounded(F.col("mean") * (k / 100)).alias(f"mean_{k}") for k in (60, 70, 80, 90)],
         rounded(F.col("median") + F.col("std")).alias("median_plus_std"), rounded(F.col("median") + 2 * F.col("std")).alias("median_plus_2std"), rounded(F.col("std")).alias("std"),
     )
+
+
+def coverage_indicators(hist: DataFrame, limits: DataFrame, sizes: dict[str, int], genome_size: int, by_sample: bool = False) -> DataFrame:
+    """Of each set: limits, the positions between them, and the statistics of its histogram, by sample if asked for.
+
+    sizes: how many columns of each set are selected; a set without any is left out.
+    """
+    known = hist.sparkSession.createDataFrame([(n, k) for n, k in sizes.items() if k], "sample_set string, n_samples long")
+    rows = hist.join(limits.select("sample_set", "lower", "upper"), "sample_set").join(F.broadcast(known), "sample_set")  # a row for each set
+    value = F.col("value") / F.col("n_samples") if by_sample else F.col("value").cast("double")
+    per = F.col("n_samples") if by_sample else F.lit(1)
+    inside = (value >= F.col("lower") / per) & (value <= F.col("upper") / per)
+    rows = rows.withColumn("inside", F.when(inside, F.col("count")).otherwise(0)).withColumn("value", value)
+    keys = ["sample_set", "n_samples", "lower", "upper"]
+    found = rows.groupBy(*keys).agg(F.sum("inside").alias("accessible_bp")).join(stats(rows, "sample_set"), "sample_set")
+    rounded = lambda c: F.round(c, 8)
+    share = rounded(F.col("accessible_bp") / F.lit(float(genome_size)))
+    return found.select(
+        "sample_set", "lower", rounded(F.col("lower") / F.col("n_samples")).alias("lower_by_sample"), "upper", rounded(F.col("upper") / F.col("n_samples")).alias("upper_by_sample"),
+        "accessible_bp", share.alias("frac_active_genome"), share.alias("frac_full_genome"), rounded("median").alias("median"), rounded("mean").alias("mean"),
+        *[rounded(F.col("mean") * (k / 100)).alias(f"mean_{k}") for k in (60, 70, 80, 90)],
+        rounded(F.col("median") + F.col("std")).alias("median_plus_std"), rounded(F.col("median") + 2 * F.col("std")).alias("median_plus_2std"), rounded("std").alias("std"),
+    )

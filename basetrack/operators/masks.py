@@ -36,19 +36,22 @@ def layers(track: DataFrame, grouping: Grouping, profile: dict[str, dict[str, in
 def runs(mask: DataFrame, *keys: str, span: int = 1 << 20) -> DataFrame:
     """(contig_idx, contig, *keys, start, end): maximal runs of accessible positions within a contig, half-open.
 
-    Runs are found within spans of a fixed number of positions and then joined
-    across their edges, so no task sorts a whole chromosome.
+    Runs are found within spans of a fixed number of positions.  Only those
+    that touch an edge of their span, two of a span at most, are then put in
+    order and joined, so no task sorts a chromosome.
     """
     own = ["contig_idx", "contig", *keys]
     piece = F.floor(F.col("lpos") / span)
     rows = mask.where("accessible").select(*own, "lpos", piece.alias("_piece"))
     n = F.row_number().over(Window.partitionBy(*own, "_piece").orderBy("lpos"))
     parts = rows.withColumn("_island", F.col("lpos") - n).groupBy(*own, "_piece", "_island").agg(F.min("lpos").alias("start"), (F.max("lpos") + 1).alias("end"))
-    # runs in order: a run goes on where the one before ended
+    open_left, open_right = (F.col("start") % span == 0) & (F.col("start") > 0), F.col("end") % span == 0
+    inner = parts.where(~(open_left | open_right)).select(*own, "start", "end")
+    # a run goes on where the one before ended
     order = Window.partitionBy(*own).orderBy("start")
     first = (F.col("start") != F.coalesce(F.lag("end").over(order), F.lit(-1))).cast("int")
-    chained = parts.withColumn("_first", first).withColumn("_run", F.sum("_first").over(order))
-    return chained.groupBy(*own, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    edges = parts.where(open_left | open_right).withColumn("_first", first).withColumn("_run", F.sum("_first").over(order))
+    return inner.unionByName(edges.groupBy(*own, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run"))
 
 
 def lines(mask: DataFrame, width: int = 70) -> DataFrame:

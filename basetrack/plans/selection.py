@@ -1,7 +1,8 @@
-"""Driver-side selections: genome, coordinates, sample sets.  Values only, no data.
+"""What a query asks for: which contigs and which columns, as small values on the driver.
 
-None means all and an empty tuple means nothing; a selection is validated when
-it is resolved against a track's genome and columns.
+Names are kept as they are given and looked up only once a track is known, so a
+selection can be made before any store is open.  Everything is asked for by
+None, nothing by an empty tuple.
 """
 
 from __future__ import annotations
@@ -110,8 +111,14 @@ class Grouping:
         return [(n, len(m & set(selected)), len(m)) for n, m in self.sets]
 
     def matching(self, selected: Sequence[str]) -> str | None:
-        """The first set whose members are exactly those selected."""
-        return next((n for n, m in self.sets if m == set(selected)), None)
+        """The first set, ALL before the others, whose members are exactly those selected."""
+        known = dict(self.sets)
+        return next((n for n in self.of_selection(selected) if n in known and known[n] == set(selected)), None)
+
+    def of_selection(self, selected: Sequence[str] | None = None) -> list[str]:
+        """ALL first, then the sets that have a selected column."""
+        chosen = set(self.columns if selected is None else selected)
+        return [ALL, *(n for n, m in self.sets if n != ALL and m & chosen)]
 
     def of_column(self, column: str) -> list[str]:
         """Its sets; ALL only if there is no other."""
@@ -119,11 +126,10 @@ class Grouping:
         return own or [ALL]
 
     def digest(self) -> str:
+        """Of the membership and all names; how many columns there are keeps names of columns and of sets apart."""
         cells = bytes(int(c in m) for c in self.columns for _, m in self.sets)
-        h = hashlib.md5(cells)
-        h.update("|".join(self.columns).encode())
-        h.update("|".join(n for n, _ in self.sets).encode())
-        return "md5:" + h.hexdigest()
+        names = [str(len(self.columns)), *self.columns, *(n for n, _ in self.sets)]
+        return "md5:" + hashlib.md5(cells + "|".join(["", *names]).encode()).hexdigest()
 
 
 def columns_of(grouping: Grouping, samples: Sequence[str] | None = None, sample_sets: Sequence[str] | None = None) -> list[str]:
@@ -141,13 +147,35 @@ def columns_of(grouping: Grouping, samples: Sequence[str] | None = None, sample_
     return [c for c in grouping.columns if c in keep]
 
 
+SAMPLE, SAMPLE_SET = "sample", "sample_set"
+
+
+def filtered(genome: Genome, lower: int = 0, upper: int | None = None, contigs: Sequence[str] = (), samples: Sequence[str] = (), sample_sets: Sequence[str] = ()) -> Coordinates:
+    """What filters together leave: contigs of a length range that are also picked.
+
+    Nothing picked means all; a length range that no picked contig has leaves
+    none.
+    """
+    kept = genome.in_length_range(lower, genome.size if upper is None else upper, tuple(contigs) or None)
+    whole = len(kept) == len(genome.contigs)
+    return Coordinates(None if whole else tuple(kept), tuple(samples) or None).with_sample_sets(tuple(sample_sets) or None)
+
+
 @dataclass(frozen=True)
 class Coordinates:
-    """A selection of contigs, samples and sample sets."""
+    """A selection of contigs, samples and sample sets, and of labels of any other grouping by its name."""
 
     contigs: tuple[str, ...] | None = None
     samples: tuple[str, ...] | None = None
     sample_sets: tuple[str, ...] | None = None
+    others: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+    def __post_init__(self):
+        for names in (self.contigs, self.samples, self.sample_sets):
+            self._names(names)
+        dims = [d for d, _ in self.others]
+        if len({*dims, SAMPLE, SAMPLE_SET}) != len(dims) + 2:
+            raise ValueError("a dimension is selected twice")
 
     @staticmethod
     def _names(names: Sequence[str] | None) -> tuple[str, ...] | None:
@@ -166,8 +194,41 @@ class Coordinates:
         names = self._names(names)
         return replace(self, sample_sets=None if names is None or ALL in names else names)
 
-    def resolve(self, genome: Genome, grouping: Grouping) -> Resolved:
-        return Resolved(tuple(genome.resolve(self.contigs)), tuple(columns_of(grouping, self.samples, self.sample_sets)), genome.size)
+    def with_columns(self, dim: str, names):
+        """Replaces what is selected on a dimension; None takes the restriction away."""
+        if dim == SAMPLE:
+            return self.with_samples(names)
+        if dim == SAMPLE_SET:
+            return self.with_sample_sets(names)
+        names = self._names(names)
+        rest = tuple(x for x in self.others if x[0] != dim)
+        return replace(self, others=rest if names is None else (*rest, (dim, names)))
+
+    def resolve(self, genome: Genome, grouping: Grouping | dict[str, Grouping], column_dim: str = SAMPLE) -> Resolved:
+        """Against a track: its genome, its groupings by name (one alone is that of sample sets) and what its columns are.
+
+        Selections on several dimensions intersect.  One on a dimension that
+        the track neither is of nor is grouped by doesn't apply to it, but
+        sample sets without a grouping of samples are an error.
+        """
+        groupings = {SAMPLE_SET: grouping} if isinstance(grouping, Grouping) else grouping
+        labels = next(iter(groupings.values())).columns if groupings else ()
+        keep = set(labels)
+        for dim, names in ((SAMPLE, self.samples), (SAMPLE_SET, self.sample_sets), *self.others):
+            if names is None:
+                continue
+            if dim == column_dim:
+                known = {c: {c} for c in labels}
+            elif dim in groupings:
+                known = dict(groupings[dim].sets)
+            elif dim == SAMPLE_SET and column_dim == SAMPLE:
+                raise ValueError("this track has no sample sets")
+            else:
+                continue
+            if unknown := sorted(set(names) - set(known)):
+                raise ValueError(f"unknown {dim.replace('_', ' ')}s: {', '.join(unknown)}")
+            keep &= set().union(*(known[n] for n in names))
+        return Resolved(tuple(genome.resolve(self.contigs)), tuple(c for c in labels if c in keep), genome.size)
 
 
 @dataclass(frozen=True)

@@ -8,8 +8,9 @@ from .operators import histogram as H
 from .operators import masks as M
 from .operators import pca as P
 from .operators import track as T
-from .plans.selection import Coordinates
-from .sources.derived import GROUPING, SAMPLES, depth, genome
+from .plans import rewrite as R
+from .plans.selection import Coordinates, filtered
+from .sources.derived import GROUPING, SAMPLES, depth, genome, store
 
 TWO = ("1-URGENT", "3-MEDIUM")
 ADHOC = ("s1", "s4", "s5", "s6")
@@ -93,6 +94,42 @@ def hist_bundle(s, d):
     return H.count_values(depth(s, d).select(F.inline(F.array(*cells))), "selection", "metric")
 
 
+def hist_summary_rewrite(s, d):
+    """Two selections that are sample sets, read from the sum summary, and one that isn't."""
+    chosen = {"ALL": Coordinates(), "pop2 in two": Coordinates(TWO, None, ("pop2",)), "adhoc": Coordinates(TWO, ADHOC)}
+    return R.hists(store(s, d), "depth", chosen)
+
+
+def hist_many(s, d):
+    """Missing samples of several selections at two cutoffs, every k-th position, brought to the whole."""
+    chosen = {"ALL": Coordinates(), "pop1 in two": Coordinates(TWO, None, ("pop1",)), "adhoc": Coordinates(None, ADHOC)}
+    out = [R.hists(store(s, d), "depth", chosen, k, None, 2000).withColumn("cutoff", F.lit(k)) for k in (3, 7)]
+    return out[0].unionByName(out[1])
+
+
+def hist_beyond_cap(s, d):
+    """More bins than the cap that goes with one column."""
+    return R.coverage_hist(store(s, d), "depth", Coordinates(None, SAMPLES), 250)
+
+
+def coverage_indicators(s, d):
+    """The table of a selection of samples, plain and by sample."""
+    given = s.createDataFrame([(n, p["lower_coverage"], p["upper_coverage"]) for n, p in LIMITS.items()], "sample_set string, lower long, upper long")
+    chosen = Coordinates(TWO, ADHOC)
+    hist = R.hists(store(s, d), "depth", {n: chosen.with_sample_sets((n,)) for n in GROUPING.of_selection(ADHOC)}).withColumnRenamed("selection", "sample_set")
+    sizes = {n: k for n, k, _ in GROUPING.counts(ADHOC)}
+    both = [H.coverage_indicators(hist, given, sizes, genome(s, d).size, x).withColumn("by_sample", F.lit(x)) for x in (False, True)]
+    return both[0].unionByName(both[1])
+
+
+def contigs_filtered(s, d):
+    """Contigs that filters together leave: of a range of lengths, and picked."""
+    g = genome(s, d)
+    lower = sorted(g.lengths().values())[1]
+    kept = filtered(g, lower, None, (*TWO, "2-HIGH", "5-LOW"))
+    return s.createDataFrame([(c, e) for c, _, e in g.regions(kept.contigs)], "contig string, contig_len long")
+
+
 def hist_scaled(s, d):
     r = _resolved(s, d)
     k = r.stride(4000)
@@ -187,6 +224,13 @@ def pca_variance(s, d):
     return s.createDataFrame([(f"PC{i + 1}", float(v), float(q)) for i, (v, q) in enumerate(zip(r.eigenvalues, r.ratios))], "component string, eigenvalue double, explained_variance_ratio double")
 
 
+def pca_invariants(s, d):
+    """What the eigenvalues say of the matrix: its trace and its squares; and that they are its eigenvalues."""
+    r = P.analyse(depth(s, d), SAMPLES, WINDOW)
+    row = (int(r.n_windows), round(float(r.eigenvalues.sum()), 8), round(float((r.eigenvalues**2).sum()), 8), round(float(r.ratios.sum()), 8))
+    return s.createDataFrame([row], "n_windows long, trace double, squares double, ratios double")
+
+
 def pca_scores(s, d):
     r = P.analyse(depth(s, d), SAMPLES, WINDOW)
     k = 3
@@ -211,7 +255,7 @@ def mask_bp(s, d):
     return rows.groupBy("contig", "sample_set").agg(F.count_if("accessible").alias("accessible_bp"))
 
 
-_ALL = [track_sum, track_missingness, preprocess_multi_cutoff, sel_track, sel_columns, sel_merge_adjacent, sel_stride, hist_coverage, hist_sum_sets, hist_missing_sets, hist_coverage_contigs, hist_missing_adhoc, hist_bundle, hist_scaled, hist_fold, hist_stats, hist_boxplot, hist_quantile, thresholds, threshold_table, contig_means, group_counts, group_membership, selection_overview, coverage_table, missingness_table, contig_scatter, window_starts, window_means, window_cov, pca_variance, pca_scores, mask_layers, mask_multi_cutoff, mask_bed, mask_bp]
+_ALL = [track_sum, track_missingness, preprocess_multi_cutoff, sel_track, sel_columns, sel_merge_adjacent, sel_stride, hist_coverage, hist_sum_sets, hist_missing_sets, hist_coverage_contigs, hist_missing_adhoc, hist_bundle, hist_summary_rewrite, hist_many, hist_beyond_cap, hist_scaled, hist_fold, hist_stats, hist_boxplot, hist_quantile, thresholds, threshold_table, contig_means, group_counts, group_membership, selection_overview, coverage_table, coverage_indicators, contigs_filtered, missingness_table, contig_scatter, window_starts, window_means, window_cov, pca_variance, pca_scores, pca_invariants, mask_layers, mask_multi_cutoff, mask_bed, mask_bp]
 
 
 def queries():
@@ -326,6 +370,31 @@ def oracle_sql():
     q["mask_multi_cutoff"] = (_layers([3, 12]), "SELECT sample_set, missing_cutoff, count(*) FILTER (accessible) AS accessible_bp, count(*) FILTER (excluded_missing) AS missing_bp FROM m GROUP BY ALL")
     q["mask_bed"] = (_layers([3]), "SELECT contig, min(lpos) AS start, max(lpos) + 1 AS \"end\" FROM (SELECT contig, lpos, lpos - row_number() OVER (PARTITION BY contig ORDER BY lpos) AS g FROM m WHERE sample_set = 'ALL' AND accessible) GROUP BY contig, g")
     q["mask_bp"] = (_layers([3]), "SELECT contig, sample_set, count(*) FILTER (accessible) AS accessible_bp FROM m GROUP BY ALL")
+    chosen = {"ALL": (SAMPLES, "true", H.cap_of(7)), "pop2 in two": (SETS["pop2"], _IN_TWO, H.cap_of(2)), "adhoc": (ADHOC, _IN_TWO, H.cap_of(4))}
+    q["hist_summary_rewrite"] = "SELECT selection, value, count(*) AS count FROM (" + _union(f"SELECT '{n}' AS selection, least({big.format(' + '.join(c))}, {cap}) AS value FROM d WHERE {w}" for n, (c, w, cap) in chosen.items()) + ") GROUP BY ALL"
+    q["hist_beyond_cap"] = f"SELECT least({_SUM['ALL']}, 249) AS value, count(*) AS count FROM d GROUP BY 1"
+    parts = []
+    for n, (c, w) in {"ALL": (SAMPLES, "true"), "pop1 in two": (SETS["pop1"], _IN_TWO), "adhoc": (ADHOC, "true")}.items():
+        for cutoff in (3, 7):
+            step = "CASE WHEN n > 2000 THEN CAST(ceil(n / 2000.0) AS BIGINT) ELSE 1 END"
+            parts.append(f"SELECT '{n}' AS selection, {cutoff} AS cutoff, {_gaps(c, cutoff)} AS value, n, count(*) OVER () AS c FROM ({strided} WHERE {w}) WHERE r % {step} = 0")
+    q["hist_many"] = f"SELECT selection, cutoff, value, CAST(round_even(count(*) * (max(n)::DOUBLE / max(c)), 0) AS BIGINT) AS count FROM ({_union(parts)}) GROUP BY ALL"
+    own = {n: [x for x in c if x in ADHOC] for n, c in SETS.items()}
+    hist = "h AS (SELECT sample_set, value, count(*) AS count FROM (" + _union(f"SELECT '{n}' AS sample_set, least({big.format(' + '.join(c))}, {H.cap_of(len(c))}) AS value FROM d WHERE {_IN_TWO}" for n, c in own.items()) + ") GROUP BY ALL)"
+    chosen = "(VALUES " + ", ".join(f"('{n}', {len(c)})" for n, c in own.items()) + ") AS z(sample_set, k)"
+    per = f"""p AS (SELECT sample_set || CASE WHEN b THEN '|true' ELSE '|false' END AS sample_set, value::DOUBLE / CASE WHEN b THEN k ELSE 1 END AS value, count, lo, up, k, CASE WHEN b THEN k ELSE 1 END AS per
+  FROM h JOIN {_LIMITS_SQL} USING (sample_set) JOIN {chosen} USING (sample_set), (VALUES (true), (false)) AS x(b))"""
+    inside = "a AS (SELECT sample_set, max(lo) AS lo, max(up) AS up, max(k) AS k, sum(CASE WHEN value >= lo::DOUBLE / per AND value <= up::DOUBLE / per THEN count ELSE 0 END) AS bp FROM p GROUP BY sample_set)"
+    means = ", ".join(f"round(mean * ({x} / 100::DOUBLE), 8) AS mean_{x}" for x in (60, 70, 80, 90))
+    share = "round(bp / (SELECT sum(len) FROM gn)::DOUBLE, 8)"
+    q["coverage_indicators"] = (
+        hist, per, _stats("p", "st"), inside,
+        f"SELECT split_part(sample_set, '|', 1) AS sample_set, split_part(sample_set, '|', 2) = 'true' AS by_sample, CAST(lo AS BIGINT) AS lower, round(lo / k, 8) AS lower_by_sample, CAST(up AS BIGINT) AS upper, round(up / k, 8) AS upper_by_sample, CAST(bp AS BIGINT) AS accessible_bp, {share} AS frac_active_genome, {share} AS frac_full_genome, round(median, 8) AS median, round(mean, 8) AS mean, {means}, round(median + std, 8) AS median_plus_std, round(median + 2 * std, 8) AS median_plus_2std, round(std, 8) AS std FROM a JOIN st USING (sample_set)",
+    )
+    q["contigs_filtered"] = f"SELECT contig, CAST(len AS BIGINT) AS contig_len FROM gn WHERE len >= (SELECT len FROM gn ORDER BY len LIMIT 1 OFFSET 1) AND ({_IN_TWO} OR contig IN ('2-HIGH', '5-LOW'))"
+    matrix = {(a, b): f"covar_samp({a}, {b}) / (avg({a}) * avg({b}))" for a in SAMPLES for b in SAMPLES}
+    trace, squares = " + ".join(matrix[a, a] for a in SAMPLES), " + ".join(f"power({x}, 2)" for x in matrix.values())
+    q["pca_invariants"] = (_WINDOWS, f"SELECT count(*) AS n_windows, round({trace}, 8) AS trace, round({squares}, 8) AS squares, 1.0::DOUBLE AS ratios FROM wm")
     out = {}
     for name, x in q.items():
         *more, last = x if isinstance(x, tuple) else (x,)

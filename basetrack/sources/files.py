@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import masks
@@ -17,38 +18,56 @@ PROFILE_VERSION = 1
 FIELDS = ("lower_coverage", "upper_coverage", "missing_cutoff", "max_missing_samples")
 
 
+ENDING = r"(\.per-base)?\.(bed|bedgraph|bg)(\.gz)?$"
+
+
 def sample_name(path: str) -> str:
     """The file's name without .per-base and its ending."""
-    return re.sub(r"(\.per-base)?\.(bed|bedgraph|bg|parquet)(\.gz)?$", "", path.rstrip("/").rpartition("/")[2], flags=re.I)
+    return re.sub(ENDING, "", path.rstrip("/").rpartition("/")[2], flags=re.I)
+
+
+def _sample(file_name: Column) -> Column:
+    """As sample_name, of a scan's file names, which are written as in a URL."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(file_name, r"\+", "%2B")), f"(?i){ENDING}", "")
+
 
+# positions that a row is spread to at a time
+SPREAD = 1 << 16
 
-def bedgraph(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, start, end, value) of a bedGraph or per-base BED file."""
-    return spark.read.csv(path, sep="\t", comment="#", schema="contig string, start long, end long, value int")
+
+def bedgraph(spark: SparkSession, *paths: str) -> DataFrame:
+    """(contig, start, end, value) of bedGraph or per-base BED files."""
+    return spark.read.csv(list(paths), sep="\t", comment="#", schema="contig string, start long, end long, value int")
+
+
+def positions(rows: DataFrame, start: Column, end: Column, *keep: Column | str) -> DataFrame:
+    """A row with lpos for each position from start to end; long runs are cut first, so no row becomes very long."""
+    cut = rows.select("*", F.explode(F.sequence(start, end - 1, F.lit(SPREAD))).alias("_from"), end.alias("_to"))
+    stop = F.least(F.col("_from") + SPREAD, F.col("_to")) - 1
+    return cut.select(*keep, F.explode(F.sequence(F.col("_from"), stop)).alias("lpos"))
 
 
 def import_tracks(spark: SparkSession, paths: Sequence[str], genome: Genome) -> DataFrame:
     """A wide track (contig_idx, lpos, pos, a column for each file) of runs of values; what no run covers is 0.
 
-    Each file is one scan; runs are spread to positions and all files meet in
-    one aggregation by position, which combines before its shuffle.
+    All files are one scan.  Runs, and the genome in pieces of SPREAD
+    positions, are spread to positions, which meet in one aggregation that
+    combines before its shuffle.
     """
     names = [sample_name(p) for p in paths]
     if len(set(names)) != len(names):
         raise ValueError("two files have the same sample name")
-    contigs = [(c, i, genome.offsets[i]) for i, c in enumerate(genome.contigs)]
-    table = spark.createDataFrame(contigs, "contig string, contig_idx int, offset long")
-    rows = None
-    for i, path in enumerate(paths):
-        one = bedgraph(spark, path).where("end > start").join(F.broadcast(table), "contig")  # a row for each contig
-        one = one.select("contig_idx", "offset", F.explode(F.sequence("start", F.col("end") - 1)).alias("lpos"), F.lit(i).alias("file"), "value")
-        rows = one if rows is None else rows.unionByName(one)
+    contigs = [(c, i, genome.offsets[i], n) for i, (c, n) in enumerate(genome.lengths().items())]
+    table = spark.createDataFrame(contigs, "contig string, contig_idx int, offset long, n long")
+    pieces = table.where("n > 0").select("contig_idx", "offset", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SPREAD))).alias("from"))
+    pieces = pieces.repartition("contig_idx", "from")  # a row for so many positions
+    axis = positions(pieces, F.col("from"), F.least(F.col("from") + SPREAD, F.col("n")), "contig_idx", "offset", F.lit(-1).alias("file"), F.lit(None).cast("int").alias("value"))
+    if paths:
+        file = F.array_position(F.array(*map(F.lit, names)), _sample(F.col("_metadata.file_name"))).cast("int") - 1
+        runs = bedgraph(spark, *paths).select("*", file.alias("file")).where("end > start").join(F.broadcast(table), "contig")  # a row for each contig
+        axis = axis.unionByName(positions(runs, F.col("start"), F.col("end"), "contig_idx", "offset", "file", "value"))
     cells = [F.coalesce(F.sum(F.when(F.col("file") == i, F.col("value"))), F.lit(0)).cast("int").alias(n) for i, n in enumerate(names)]
-    lengths = [(i, n) for i, n in enumerate(genome.lengths().values())]
-    axis = spark.createDataFrame([(i, genome.offsets[i], n) for i, n in lengths if n], "contig_idx int, offset long, n long")
-    axis = axis.select("contig_idx", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("lpos"), F.lit(-1).alias("file"), F.lit(None).cast("int").alias("value"))
-    all_rows = axis if rows is None else axis.unionByName(rows)
-    return all_rows.groupBy("contig_idx", "offset", "lpos").agg(*cells).select("contig_idx", "lpos", (F.col("offset") + F.col("lpos")).alias("pos"), *names)
+    return axis.groupBy("contig_idx", "offset", "lpos").agg(*cells or [F.lit(0).alias("_none")]).select("contig_idx", "lpos", (F.col("offset") + F.col("lpos")).alias("pos"), *names)
 
 
 def sample_sets(spark: SparkSession, path: str, columns: Sequence[str]) -> Grouping:
@@ -90,10 +109,40 @@ def default_profile(limits: DataFrame, grouping: Grouping, cutoff: int) -> dict[
     }
 
 
+def bed(mask: DataFrame) -> DataFrame:
+    """(value): lines of the runs of a mask, in genome order."""
+    runs = masks.runs(mask).orderBy("contig_idx", "start")
+    return runs.select(F.concat_ws("\t", "contig", "start", "end").alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One file of ``lines`` (value) in their order; the driver holds a partition at a time."""
+    with open(path, "w") as f:
+        for row in lines.toLocalIterator():
+            f.write(row["value"] + "\n")
+
+
 def write_bed(mask: DataFrame, path: str) -> None:
-    """Tab-separated runs in genome order, as files in order."""
-    runs = masks.runs(mask).orderBy("contig_idx", "start").select("contig", "start", "end")
-    runs.write.csv(path, sep="\t")
+    """Tab-separated runs in genome order, as files in order in a folder."""
+    bed(mask).write.text(path)
+
+
+# what is written beside a mask; its name keeps it from being read as data
+MASK_ATTRIBUTES = "_attributes"
+
+
+def write_mask(mask: DataFrame, path: str, profile: dict[str, dict[str, int]], dataset_id: str, cutoffs: Sequence[int] | None = None) -> None:
+    """A new mask with what it was made of: the thresholds, and the cutoffs that took the place of theirs."""
+    mask.write.mode("errorifexists").parquet(path)
+    given = {"schema_version": PROFILE_VERSION, "thresholds": {"schema_version": PROFILE_VERSION, "dataset_id": dataset_id, "sample_sets": profile}}
+    if cutoffs is not None:
+        given["missing_cutoffs"] = sorted(set(cutoffs))
+    row = mask.sparkSession.createDataFrame([(json.dumps(given),)], "value string")
+    row.coalesce(1).write.text(f"{path}/{MASK_ATTRIBUTES}")
+
+
+def mask_attributes(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/{MASK_ATTRIBUTES}/*.txt").first()[0])
 
 
 def fasta(mask: DataFrame, genome: Genome, width: int = 70) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import time
+import uuid
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -19,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import track as T
-from ..plans.selection import IDENTITY, Genome, Grouping
+from ..plans.selection import IDENTITY, SAMPLE_SET, Genome, Grouping
 
-# Defaults of the data model.
-TARGET_BYTES = 100_000_000
-MIN_POSITIONS = 100_000
-KINDS = ("sum", "missing")
+# Defaults of the data model; the environment may give others.
+TARGET_BYTES = int(os.environ.get("BASETRACK_TARGET_BYTES", 100_000_000))
+MIN_POSITIONS = int(os.environ.get("BASETRACK_MIN_POSITIONS", 100_000))
+FORMAT = 1
+INHERITED = ("version", "coordinates", "genome_checksum")
 
 
 class StoreNotFoundError(FileNotFoundError):
@@ -52,6 +56,9 @@ class Entry:
     column_dim: str = "sample"
     groupings: dict[str, list] = field(default_factory=dict)
     attributes: dict = field(default_factory=dict)
+    # the folder of the data and the stored column of each label, where they aren't the track's own
+    data: str | None = None
+    columns: list[str] | None = None
 
     @property
     def genome(self) -> Genome:
@@ -59,10 +66,16 @@ class Entry:
 
     def grouping(self, dim: str = "sample_set") -> Grouping:
         """The stored grouping, or the one set ALL."""
-        sets = self.groupings.get(dim, [])
+        sets = self.groupings.get(dim, []) if dim != IDENTITY else []
         return Grouping(tuple(self.labels), tuple((n, frozenset(m)) for n, m in sets)).with_all()
 
 
+    def all_groupings(self) -> dict[str, Grouping]:
+        """Every stored grouping, and identity, the one set ALL, unless the columns themselves are of that name."""
+        out = {dim: self.grouping(dim) for dim in self.groupings}
+        return out if self.column_dim == IDENTITY else out | {IDENTITY: self.grouping(IDENTITY)}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, entries: dict[str, Entry]):
         self.spark, self.path, self.entries = spark, path.rstrip("/"), entries
@@ -95,52 +108,70 @@ class Store:
         row.coalesce(1).write.mode("overwrite").text(f"{self.path}/_catalog/{entry.name}.json")
         self.entries[entry.name] = entry
 
-    def write(self, entry: Entry, rows: DataFrame, mode: str = "overwrite") -> None:
-        """rows: pos, contig_idx, lpos and one column per label, named by label."""
+    def write(self, entry: Entry, rows: DataFrame, mode: str = "overwrite", chunk_size: int | None = None) -> None:
+        """rows: pos, contig_idx, lpos and one column per label, named by label; chunk_size: positions of a file."""
         if len(set(entry.labels)) != len(entry.labels):
             raise ValueError("a label is repeated")
-        n = max(1, -(-entry.genome.size // positions_per_chunk(max(1, len(entry.labels)))))
+        size = positions_per_chunk(max(1, len(entry.labels))) if chunk_size is None else chunk_size
+        if size < 1:
+            raise ValueError("a chunk has one position at least")
+        n = max(1, -(-entry.genome.size // size))
+        checksum = hashlib.md5("|".join(map(str, [*entry.contigs, *entry.offsets])).encode()).hexdigest()
+        entry.attributes = {"version": FORMAT, "coordinates": "0-based half-open", "genome_checksum": checksum} | entry.attributes
         cells = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(entry.labels)]
         sorted_rows = rows.select("pos", "contig_idx", "lpos", *cells).repartitionByRange(n, "pos").sortWithinPartitions("pos")
-        sorted_rows.write.mode(mode).parquet(f"{self.path}/{entry.name}")
+        sorted_rows.write.mode(mode).parquet(f"{self.path}/{entry.data or entry.name}")
+        entry.attributes["written_ns"] = time.time_ns()
         self._record(entry)
 
     def read(self, name: str) -> DataFrame:
         """contig, contig_idx, len, lpos, pos and a column for each label."""
         e = self.entries[name]
-        rows = self.spark.read.parquet(f"{self.path}/{name}")
+        rows = self.spark.read.parquet(f"{self.path}/{e.data or name}")
+        stored = e.columns or [f"c{i}" for i in range(len(e.labels))]
         lengths = list(e.genome.lengths().items())
         names = F.array(*[F.lit(c) for c, _ in lengths])
         sizes = F.array(*[F.lit(n).cast("long") for _, n in lengths])
-        return rows.select(F.get(names, F.col("contig_idx")).alias("contig"), "contig_idx", F.get(sizes, F.col("contig_idx")).alias("len"), "lpos", "pos", *[F.col(f"c{i}").alias(c) for i, c in enumerate(e.labels)])
+        return rows.select(F.get(names, F.col("contig_idx")).alias("contig"), "contig_idx", F.get(sizes, F.col("contig_idx")).alias("len"), "lpos", "pos", *[F.col(k).alias(c) for k, c in zip(stored, e.labels)])
+
+    def column(self, name: str, label: str) -> DataFrame:
+        """pos and one column of a track; an unknown label is a KeyError."""
+        if label not in self.entries[name].labels:
+            raise KeyError(label)
+        return self.read(name).select("pos", F.col(f"`{label}`"))
 
     def set_grouping(self, name: str, grouping: Grouping, dim: str = "sample_set") -> None:
         if dim == IDENTITY:
             raise ValueError("identity is reserved")
         e = self.entries[name]
+        if dim == e.column_dim:
+            raise ValueError(f"{dim} is what the columns of {name} are")
         if list(grouping.columns) != e.labels:
             raise ValueError("a grouping names its track's columns in the same order")
         e.groupings[dim] = [[n, sorted(m)] for n, m in grouping.with_all().sets]
         self._record(e)
 
     def preprocess(self, name: str, grouping: Grouping | None = None, cutoffs: Sequence[int] = (3,), sums: bool = True) -> list[str]:
-        """Summary tracks of all sets and cutoffs, each written from the same wide expressions."""
+        """Summary tracks of all sets and cutoffs, made by one scan without a shuffle and written as one table; each track is columns of it."""
         e = self.entries[name]
         if grouping is not None:
             self.set_grouping(name, grouping)
         elif len(e.groupings) > 1:
             raise ValueError(f"{name} has several groupings; name one")
         g = e.grouping()
-        sets, rows, out = g.members(), self.read(name), []
-        kept = {k: e.attributes[k] for k in ("version", "coordinates", "genome_checksum") if k in e.attributes}
+        sets, cells, entries = g.members(), [], []
+        kept = {k: e.attributes[k] for k in INHERITED if k in e.attributes}
         jobs = [("sum", None, f"{name}_sum")] * sums + [("missing", k, f"{name}_missing_cutoff={k}") for k in sorted(set(cutoffs))]
+        data = f"_summaries/{name}-{uuid.uuid4().hex}"
         for kind, k, summary in jobs:
-            cells = [(T.total(c) if kind == "sum" else T.missing(c, k)).alias(n) for n, c in sets.items()]
-            attributes = kept | {"source_track": name, "kind": kind, "missing_cutoff": k, "grouping_hash": g.digest()}
-            entry = Entry(summary, list(sets), e.contigs, e.offsets, "sample_set", {}, attributes)
-            self.write(entry, rows.select("pos", "contig_idx", "lpos", *cells))
-            out.append(summary)
-        return out
+            columns = [f"c{len(cells) + i}" for i in range(len(sets))]
+            cells += [(T.total(c) if kind == "sum" else T.missing(c, k)).alias(x) for x, c in zip(columns, sets.values())]
+            attributes = kept | {"source_track": name, "kind": kind, "missing_cutoff": k, "grouping_hash": g.digest(), "written_ns": time.time_ns()}
+            entries.append(Entry(summary, list(sets), e.contigs, e.offsets, SAMPLE_SET, {}, attributes, data, columns))
+        self.read(name).select("pos", "contig_idx", "lpos", *cells).write.parquet(f"{self.path}/{data}")
+        for entry in entries:
+            self._record(entry)
+        return [entry.name for entry in entries]
 
     def summary(self, source: str, kind: str, cutoff: int | None = None) -> str:
         """The first summary by name of this kind; warns of others and of a grouping that has changed."""
@@ -155,5 +186,6 @@ class Store:
         return fits[0]
 
     def identity(self) -> str:
-        """Of the path and the base track's sets."""
-        return hashlib.blake2b(f"v1|{self.path}|{self.base().grouping().digest()}".encode(), digest_size=16).hexdigest()
+        """Of the path, when the base track was written, and its sets."""
+        base = self.base()
+        return hashlib.blake2b(f"v1|{self.path}|{base.attributes.get('written_ns')}|{base.grouping().digest()}".encode(), digest_size=16).hexdigest()
