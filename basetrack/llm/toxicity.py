@@ -9,9 +9,10 @@ as overlapping windows that cover all of it and has the score of its most
 toxic one, in training as in scoring.  Misspellings that training never saw
 share n-grams, and so vectors, with words that it did see.
 
-The model is fitted on the driver on at most ``MAX_ROWS`` labelled rows of each
-class, those whose hashed doc_id is smallest, of texts up to ``MAX_BYTES``
-bytes; these bounds are parameters.  Only rows whose crc32(doc_id as text) mod
+The model is fitted by one task, which a lost executor's successor does again
+alike, on at most ``MAX_ROWS`` labelled rows of each class, those whose hashed
+doc_id is smallest, of texts up to ``MAX_BYTES`` bytes; these bounds are
+parameters.  Only rows whose crc32(doc_id as text) mod
 3 is not 1 are used; the text is the only input of a score.  What goes to the
 executors is one number for each n-gram that enough training documents have
 (the softmax applied to its row; LEAST_SHARE), so scoring is map-only.
@@ -206,8 +207,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    rows = sorted(tuple(r) for r in training_rows(docs, labels, max_rows, max_bytes).collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    """The model, fitted by one task on the rows of ``training_rows``; only its weights reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        model = fit([r[1] for r in rows], [r[2] for r in rows])
+        grams = [None, *sorted(model.weights)]
+        yield pa.record_batch([pa.array(grams, pa.string()), pa.array([model.bias, *map(model.weights.get, grams[1:])], pa.float64())], names=["gram", "weight"])
+
+    rows = training_rows(docs, labels, max_rows, max_bytes).select("doc_id", "text", "toxic").repartition(1)
+    found = rows.mapInArrow(run, "gram string, weight double").toArrow()
+    weights = dict(zip(found["gram"].to_pylist(), found["weight"].to_pylist()))
+    return Model(weights, weights.pop(None, -math.inf))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
