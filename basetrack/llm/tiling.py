@@ -11,10 +11,12 @@ don't overlap and may come in any order, so a reordered passage is covered as
 well.  An item is leaked into a document if the tiles cover at least
 ``coverage`` of its words.
 
-The benchmark is the query set: it is handled in blocks of at most about
-``block_bytes`` of text (the block's index is what is broadcast), each against
-all documents, so memory doesn't depend on its size.  Documents are never
-shuffled and each is tiled where it is read.
+The benchmark is the query set: it is handled in blocks of about
+``block_bytes`` of text, or of one item where that is longer, one after the
+other and each against all documents.  A block's index is what is broadcast; it
+is gone from the driver before the next one is made, so memory doesn't depend
+on the benchmark's size.  Documents are never shuffled and each is tiled where
+it is read.
 
 Rows: null and empty texts, and items without words, match nothing; items of
 fewer than ``min_match`` words must occur whole; repeated rows of documents
@@ -34,9 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sent_if_few, unused, written
+
 MIN_MATCH = 5
 COVERAGE = 0.6
 BLOCK_BYTES = 8_000_000
+# pairs of seeds of a text and an item that are looked at together
+PAIRS = 1 << 20
 SCHEMA = "doc_id long, item_id long, item_words int, tiled_words int, n_tiles int, first_word int, coverage double"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 find_words = re.compile(r"\w+").findall
@@ -101,19 +107,24 @@ def matches(ids: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, i
     ranked = theirs[order]
     places = np.nonzero(np.isin(own, ranked))[0]
     lo, hi = np.searchsorted(ranked, own[places], "left"), np.searchsorted(ranked, own[places], "right")
-    diagonals = defaultdict(list)
-    for p, a, b in zip(places.tolist(), lo.tolist(), hi.tolist()):
-        for q in order[a:b].tolist():
-            if np.array_equal(ids[p : p + k], item[q : q + k]):
-                diagonals[p - q].append(p)
+    total = np.cumsum(hi - lo)
+    cuts = np.searchsorted(total, np.arange(PAIRS, int(total[-1]) if len(total) else 0, PAIRS))
     out = []
-    for d, starts in diagonals.items():
-        begin = last = starts[0]
-        for p in [*starts[1:], None]:
-            if p is None or p != last + 1:
-                out.append((last + k - begin, begin, begin - d))
-                begin = p
-            last = p
+    for at, first, n in zip(np.split(places, cuts), np.split(lo, cuts), np.split(hi - lo, cuts)):
+        p = np.repeat(at, n)
+        q = order[np.arange(len(p)) + np.repeat(first - np.cumsum(n) + n, n)]
+        # a run begins where the words before differ; only there is it followed, word by word
+        begins = (p == 0) | (q == 0) | (ids[p - 1] != item[q - 1])
+        p, q = p[begins], q[begins]
+        length = np.zeros(len(p), dtype=np.int64)
+        going = np.arange(len(p))
+        while len(going):
+            e, f = p[going] + length[going], q[going] + length[going]
+            inside = (e < len(ids)) & (f < len(item))
+            going = going[inside][ids[e[inside]] == item[f[inside]]]
+            length[going] += 1
+        long = length >= k
+        out += zip(length[long].tolist(), p[long].tolist(), q[long].tolist())
     return out
 
 
@@ -125,13 +136,15 @@ def tiles(ids: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int,
     taken_text: set[int] = set()
     taken_item = np.zeros(len(item), dtype=bool)
     out = []
-    while queue:
+    room = True  # whether k words of the item in a row are free
+    while queue and room:
         n, p, q = heapq.heappop(queue)
         free = [p + j not in taken_text and not taken_item[q + j] for j in range(-n)]
         if all(free):
             out.append((-n, p, q))
             taken_text.update(range(p, p - n))
             taken_item[q : q - n] = True
+            room = any(len(x) >= k for x in (~taken_item).tobytes().split(b"\0"))
             continue
         j = 0
         while j < -n:  # what is still free of an overlapped match is queued anew
@@ -160,48 +173,59 @@ def leaks_of(text: str | None, index: Index, min_match: int, coverage: float) ->
     return out
 
 
-def leaks(
-    docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """A row for each document row and benchmark item that is leaked into it (columns of SCHEMA)."""
+def _row_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, block_bytes: int) -> DataFrame:
+    """Columns of SCHEMA, and row_text, the hash of the document's text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_bytes))
     block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("string"))
     out = None
     for block in range(n_blocks):
-        index = Index([(r[0], r[1]) for r in items.where(block_of == block).collect()], min_match)
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in items.where(block_of == block).collect()], min_match))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                rows = [
-                    (doc_id, *leak)
-                    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1))
+                found = [
+                    (doc_id, *leak, row_text)
+                    for doc_id, row_text, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
                     for leak in leaks_of(text.as_py(), index, min_match, coverage)
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, TYPES)], names=NAMES
-                )
+                columns = zip(*found) if found else [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [*TYPES, pa.int64()])], names=[*NAMES, "row_text"])
 
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+        # written, so that the block's index can go before the next one is made
+        found = written(rows.mapInArrow(run, f"{SCHEMA}, row_text long"), "leaks")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """A row for each document row and benchmark item that is leaked into it (columns of SCHEMA)."""
+    return _row_leaks(docs, benchmark, min_match, coverage, block_bytes).select(*NAMES)
+
+
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns stay.
 
-    Rows without a doc_id stay.
+    A document is a doc_id with a text, so another text of the same doc_id
+    stays.  Rows without a doc_id stay.
     """
-    bad = leaks(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("_leaked_doc_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leaked_doc_id"], "left_anti")
+    lost_id, lost_text = unused(docs, "lost_id"), unused(docs, "lost_text")
+    bad = _row_leaks(docs, benchmark, min_match, coverage, block_bytes).where(F.col("doc_id").isNotNull())
+    bad = sent_if_few(bad.select(F.col("doc_id").alias(lost_id), F.col("row_text").alias(lost_text)).distinct())
+    return docs.join(bad, (docs["doc_id"] == bad[lost_id]) & (F.xxhash64(docs["text"]) == bad[lost_text]), "left_anti")
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
