@@ -100,6 +100,19 @@ class Index:
         return out
 
 
+def same_words(ids: np.ndarray, item: np.ndarray, p: int, q: int) -> int:
+    """How many words are the same from p in the text and q in the item on."""
+    most, n, step = min(len(ids) - p, len(item) - q), 0, 64
+    while n < most:
+        stop = min(n + step, most)
+        differ = ids[p + n : p + stop] != item[q + n : q + stop]
+        first = int(differ.argmax())
+        if differ[first]:
+            return n + first
+        n, step = stop, 2 * step
+    return n
+
+
 def matches(ids: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Maximal common runs of k or more words: (length, start in the text, start in the item)."""
     own, theirs = window_hashes(ids, k), window_hashes(item, k)
@@ -113,18 +126,12 @@ def matches(ids: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, i
     for at, first, n in zip(np.split(places, cuts), np.split(lo, cuts), np.split(hi - lo, cuts)):
         p = np.repeat(at, n)
         q = order[np.arange(len(p)) + np.repeat(first - np.cumsum(n) + n, n)]
-        # a run begins where the words before differ; only there is it followed, word by word
+        # a run begins where the words before differ; only from there is it followed
         begins = (p == 0) | (q == 0) | (ids[p - 1] != item[q - 1])
-        p, q = p[begins], q[begins]
-        length = np.zeros(len(p), dtype=np.int64)
-        going = np.arange(len(p))
-        while len(going):
-            e, f = p[going] + length[going], q[going] + length[going]
-            inside = (e < len(ids)) & (f < len(item))
-            going = going[inside][ids[e[inside]] == item[f[inside]]]
-            length[going] += 1
-        long = length >= k
-        out += zip(length[long].tolist(), p[long].tolist(), q[long].tolist())
+        for i, j in zip(p[begins].tolist(), q[begins].tolist()):
+            n_same = same_words(ids, item, i, j)
+            if n_same >= k:
+                out.append((n_same, i, j))
     return out
 
 
