@@ -297,20 +297,31 @@ def strangers(nodes: DataFrame, equal: DataFrame, met: DataFrame, found: DataFra
     A star joins a bucket only as far as its center is similar to the rest.
     Where that leaves several components in a bucket, each node outside of the
     largest is compared with the nodes of the others; elsewhere nothing is left
-    to find, so a group of copies makes no pairs however many it has.
+    to find, so a group of copies makes no pairs however many it has.  What
+    meets is told by a row for each value and component, and repeats over the
+    buckets of a ball are dropped, before any node is listed.
     """
-    band = (F.shiftright("upper", bits - bits // 2)).alias("band")
-    same = equal.where("key >= 0").select(F.shiftright("key", bits).alias("band"), "center", "node")
-    balls = met.select("upper", "lower", "center", band).join(same, ["band", "center"], "left").select("upper", "lower", F.coalesce("node", "center").alias("node"))
-    rows = balls.unionByName(equal.select(F.col("key").alias("upper"), F.lit(-1).cast("long").alias("lower"), "node"))
-    rows = checkpointed(rows.join(found, "node", "left").select("upper", "lower", "node", F.coalesce("component", "node").alias("component")))
-    parts = rows.groupBy("upper", "lower", "component").agg(F.count(F.lit(1)).alias("nodes"))
-    mixed = parts.groupBy("upper", "lower").agg(F.max(F.struct("nodes", "component")).component.alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows = checkpointed(rows.join(mixed.drop("parts"), ["upper", "lower"]).join(nodes.select("node", "n", "bands"), "node"))
-    ends = [rows.select("upper", "lower", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "largest", "n", "bands")]) for x in "ab"]
-    apart = F.expr("b_component = b_largest OR a_component < b_component") & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+    # a value is named by its band, or by its key of min-hashes, and its smallest node
+    slot = F.when(F.col("key") >= 0, F.shiftright("key", bits)).otherwise(F.col("key")).alias("slot")
+    held = equal.select(slot, "center", "node")
+    balls = met.select("upper", "lower", F.shiftright("upper", bits - bits // 2).alias("slot"), "center")
+    single = balls.select("slot", "center").distinct().join(held.select("slot", "center").distinct(), ["slot", "center"], "left_anti")
+    members = held.unionByName(single.withColumn("node", F.col("center"))).join(found, "node", "left")
+    members = checkpointed(members.select("slot", "center", F.coalesce("component", "node").alias("component"), "node"))
+    shares = members.groupBy("slot", "center", "component").agg(F.count(F.lit(1)).alias("nodes"))
+    alike = equal.select(F.col("key").alias("upper"), F.lit(-1).cast("long").alias("lower"), slot, "center").distinct()
+    parts = checkpointed(balls.unionByName(alike).join(shares, ["slot", "center"]))
+    mixed = parts.groupBy("upper", "lower", "component").agg(F.sum("nodes").alias("nodes")).groupBy("upper", "lower")
+    mixed = mixed.agg(F.max(F.struct("nodes", "component")).component.alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    parts = checkpointed(parts.drop("nodes").join(mixed, ["upper", "lower"]))
+    sides = [parts.withColumnsRenamed({c: f"{x}_{c}" for c in ("center", "component")}) for x in "ab"]
+    meet = sides[0].where("a_component != largest").join(sides[1].drop("slot", "largest"), ["upper", "lower"])
+    meet = meet.where("b_component = largest OR a_component < b_component").select("slot", "a_center", "a_component", "b_center", "b_component").distinct()
+    listed = members.join(nodes.select("node", "n", "bands"), "node")
+    ends = [listed.withColumnsRenamed({c: f"{x}_{c}" for c in listed.columns if c != "slot"}) for x in "ab"]
+    close = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
     near = bits_apart("a_bands", "b_bands") <= most_differing(similarity, n_bits, DEVIATIONS)
-    pairs = ends[0].where("a_component != a_largest").join(ends[1], ["upper", "lower"]).where(apart & near)
+    pairs = checkpointed(meet).join(ends[0], ["slot", "a_center", "a_component"]).join(ends[1], ["slot", "b_center", "b_component"]).where(close & near)
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
