@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, licenses, quality, sharding, simhash, spans, tiling, toxicity, warc
+from . import bpe, html_text, langid, licenses, merkle, quality, sharding, simhash, spans, tiling, toxicity, trie, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,9 @@ def queries() -> dict:
         "op8_bpe": lambda s, d: bpe.query(table(s, d, "documents"), tokenizer_path()),
         "op9_sharding": lambda s, d: sharding.query(table(s, d, "documents")),
         "op10_html": lambda s, d: html_text.query(table(s, d, "pages")),
+        "op11_langid": lambda s, d: langid.query(table(s, d, "documents")),
+        "op12_prefix_trie": lambda s, d: trie.query(table(s, d, "conversations")),
+        "op13_merkle": lambda s, d: merkle.query(table(s, d, "documents")),
         "pipeline": pipeline,
     }
 
@@ -91,5 +94,49 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
   base_failed, NOT base_failed AND step >= coalesce(CASE WHEN f.stratum IS NULL THEN 0 ELSE coalesce(steps, {quality.STEPS}) END, 0) AS kept FROM c LEFT JOIN failed AS f USING (stratum)"""
 
 
+def crc32_sql(number: str) -> str:
+    """Of an integer's decimal text, a bit at a time."""
+    bits = f"flatten(list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "(xor(c, x) >> 1)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {bits}), lambda c, x: CASE WHEN xor(c, x) % 2 = 1 THEN xor({step}, 3988292384) ELSE {step} END))"
+
+
+def trie_sql() -> str:
+    """Every prefix as a list of turns, every subtree by joining all prefixes of each node."""
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, unhex(md5(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || text))) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, conv_id - (conv_id % 100 + 100) % 100 AS base, {crc32_sql("conv_id")} % 6 AS h FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(o.own[1:h], []), h.own[h + 1:]) AS turns FROM h LEFT JOIN o ON o.conv_id = base),
+m AS (SELECT conv_id, turns[1:d] AS path, d = len(turns) AS ends FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM b)),
+n AS (SELECT path, len(path) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY path),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(length(path[-1].t), 0) AS own FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path[1:d] AS path, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(depth + 1)) AS d FROM w) GROUP BY 1)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (path) LEFT JOIN n AS p ON w.depth > 0 AND p.path = w.path[1:w.depth - 1]"""
+
+
+def merkle_sql() -> str:
+    """Whole trees level by level; all siblings of each leaf by a join."""
+    fields = lambda **other: " || ".join(f"coalesce(CAST(octet_length(encode({x})) AS VARCHAR) || ':' || {x}, '-')" for x in (other.get(c, f"CAST({c} AS VARCHAR)") for c in merkle.FIELDS))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    up = lambda name, of: f"{name} AS ({of} UNION ALL SELECT level + 1, part, i // 8, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 7) // 8 FROM {name} WHERE n > 1 GROUP BY level, part, i // 8)"
+    side = lambda sign: f"coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (t.i {sign} x.i >> 3 * level), '')"
+    path = lambda leaves, tree: f"SELECT x.part, x.i, level, {side('<')} AS a, {side('>')} AS b FROM {leaves} AS x JOIN {tree} AS t ON t.part = x.part AND n > 1 AND t.i >> 3 = x.i >> 3 * level + 3 GROUP BY ALL"
+    return f"""WITH RECURSIVE f AS (SELECT doc_id, coalesce('=' || lang, '') AS part, sha256({fields()}) AS leaf,
+  CASE WHEN {crc32_sql("doc_id")} % 3 = 0 THEN sha256({fields(text=lower)}) END AS now FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM f),
+{up("t", "SELECT 0 AS level, part, i, leaf AS d, count(*) OVER (PARTITION BY part) AS n FROM l")},
+s AS (SELECT '' AS part, part AS name, d, row_number() OVER (ORDER BY part) - 1 AS i FROM t WHERE n = 1),
+{up("r", "SELECT 0 AS level, part, i, d, count(*) OVER () AS n FROM s")},
+own AS ({path("l", "t")}), above AS ({path("s", "r")}),
+p AS (SELECT part, i, list({{'a': a, 'b': b}} ORDER BY level) AS path FROM own GROUP BY ALL),
+q AS (SELECT i, list({{'a': a, 'b': b}} ORDER BY level) AS path FROM above GROUP BY ALL),
+e AS (SELECT l.*, s.d AS subroot, (SELECT d FROM r WHERE n = 1) AS root, coalesce(p.path, []) || coalesce(q.path, []) AS path
+  FROM l JOIN s ON s.name = l.part LEFT JOIN p ON p.part = l.part AND p.i = l.i LEFT JOIN q ON q.i = s.i),
+z AS (SELECT *, list_reduce(list_prepend({{'a': coalesce(now, leaf), 'b': ''}}, path), lambda c, x: {{'a': sha256(x.a || c.a || x.b), 'b': ''}}).a AS folded_root FROM e)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.a || x.b), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_sql(), "op6_quality_rules": quality_sql()}
+    return {"op4_license_scan": license_sql(), "op6_quality_rules": quality_sql(), "op12_prefix_trie": trie_sql(), "op13_merkle": merkle_sql()}
