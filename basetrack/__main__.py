@@ -9,12 +9,16 @@ import sys
 from pyspark.sql import SparkSession
 
 from . import __version__
-from .operators import histogram, masks, pca
+from .operators import histogram, pca
 from .operators import track as T
+from .plans import rewrite
 from .plans.selection import Coordinates, Genome
 from .sources import files
 from .sources.store import Entry, Store
 
+# Defaults of the commands; the environment may give others.
+MAX_POSITIONS = int(os.environ.get("BASETRACK_MAX_POSITIONS", 50_000_000))
+PCA_WINDOW = int(os.environ.get("BASETRACK_PCA_WINDOW_SIZE", 10_000))
 
 def _genome(path: str) -> Genome:
     with open(path) as f:
@@ -48,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("-o", "--output")
     a.add_argument("--force", action="store_true")
     a.add_argument("--missing-data-threshold", "--threshold", type=int, default=3)
-    a.add_argument("--max-positions", type=int, default=50_000_000)
+    a.add_argument("--max-positions", type=int, default=MAX_POSITIONS)
     a.add_argument("--track-name", default="depth")
     a = sub.add_parser("mask")
     a.add_argument("store")
@@ -68,7 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     a = sub.add_parser("pca")
     a.add_argument("store")
     a.add_argument("-o", "--output", required=True)
-    a.add_argument("--window-size", type=int, default=10_000)
+    a.add_argument("--window-size", type=int, default=PCA_WINDOW)
     a.add_argument("--n-components", type=int, default=10)
     a.add_argument("--min-contig-length", type=int, default=0)
     a.add_argument("--max-contig-length", type=int, default=1 << 62)
@@ -108,8 +112,7 @@ def _thresholds(spark, args) -> int:
     store.summary(args.track_name, "missing", args.missing_data_threshold)
     entry = store.entries[args.track_name]
     grouping = entry.grouping()
-    rows = T.strided(store.read(args.track_name), Coordinates().resolve(entry.genome, grouping), args.max_positions) if args.max_positions else store.read(args.track_name)
-    hist = histogram.sum_hists(rows, grouping)
+    hist = rewrite.sum_hists(store, args.track_name, args.max_positions).withColumnRenamed("selection", "sample_set")
     limits = histogram.thresholds(hist)
     histogram.threshold_table(hist, limits, grouping, entry.genome.size).show(100, False)
     if args.output:
@@ -127,8 +130,7 @@ def _mask(spark, args) -> int:
         print("warning: the profile was made for another store or other sample sets", file=sys.stderr)
     for k in args.cutoff or sorted({q["missing_cutoff"] for q in profile.values()}):
         store.summary(args.track_name, "missing", k)
-    grouping = store.entries[args.track_name].grouping()
-    files.write_mask(masks.layers(store.read(args.track_name), grouping, profile, args.cutoff), args.output, profile, dataset, args.cutoff)
+    files.write_mask(rewrite.mask_layers(store, args.track_name, profile, args.cutoff), args.output, profile, dataset, args.cutoff)
     return 0
 
 

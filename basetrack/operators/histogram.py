@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..plans.selection import Grouping
 from .track import by_set, missing, total
 
-MAX_PER_SAMPLE = 100
-MAX_BIN = 100_000
+# Defaults of the data model; the environment may give others.
+MAX_PER_SAMPLE = int(os.environ.get("BASETRACK_MAX_COVERAGE_PER_SAMPLE", 100))
+MAX_BIN = int(os.environ.get("BASETRACK_MAX_COVERAGE_BIN", 100_000))
 
 
 def cap_of(n_samples: int) -> int:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.selection import Grouping
@@ -15,22 +17,33 @@ class MissingSetError(ValueError):
     """A profile names a set that the grouping doesn't have."""
 
 
+def cutoffs_of(profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None) -> list[int]:
+    """The given cutoffs, or else the profile's."""
+    return sorted(set(cutoffs if cutoffs is not None else [p["missing_cutoff"] for p in profile.values()]))
+
+
 def layers(track: DataFrame, grouping: Grouping, profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None) -> DataFrame:
     """(contig_idx, contig, lpos, pos, sample_set, missing_cutoff, excluded_coverage, excluded_missing, accessible).
 
     profile: of each set lower_coverage, upper_coverage, missing_cutoff,
     max_missing_samples.  Given cutoffs take the place of the profile's.
     """
-    sets, rows = grouping.members(), []
+    sets = grouping.members()
+    if unknown := [n for n in profile if n not in sets]:
+        raise MissingSetError(f"the profile's set {unknown[0]} isn't in the grouping; it has {', '.join(sets)}")
+    gaps = {(n, k): missing(sets[n], k) for n in profile for k in cutoffs_of(profile, cutoffs)}
+    return layers_from(track, {n: total(sets[n]) for n in profile}, gaps, profile, cutoffs)
+
+
+def layers_from(rows: DataFrame, sums: dict[str, Column], gaps: dict[tuple[str, int], Column], profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None) -> DataFrame:
+    """Layers of positions with each set's sum, and its missing columns at each cutoff."""
+    cells = []
     for name, p in profile.items():
-        if name not in sets:
-            raise MissingSetError(f"the profile's set {name} isn't in the grouping; it has {', '.join(sets)}")
-        s = total(sets[name])
-        coverage = (s < p["lower_coverage"]) | (s > p["upper_coverage"])
-        for k in sorted(set(cutoffs if cutoffs is not None else [p["missing_cutoff"]])):
-            gaps = missing(sets[name], k) > p["max_missing_samples"]
-            rows.append(F.struct(F.lit(name).alias("sample_set"), F.lit(k).alias("missing_cutoff"), coverage.alias("excluded_coverage"), gaps.alias("excluded_missing"), (~(coverage | gaps)).alias("accessible")))
-    return track.select("contig_idx", "contig", "lpos", "pos", F.inline(F.array(*rows)))
+        coverage = (sums[name] < p["lower_coverage"]) | (sums[name] > p["upper_coverage"])
+        for k in cutoffs_of({name: p}, cutoffs):
+            lost = gaps[name, k] > p["max_missing_samples"]
+            cells.append(F.struct(F.lit(name).alias("sample_set"), F.lit(k).alias("missing_cutoff"), coverage.alias("excluded_coverage"), lost.alias("excluded_missing"), (~(coverage | lost)).alias("accessible")))
+    return rows.select("contig_idx", "contig", "lpos", "pos", F.inline(F.array(*cells)))
 
 
 def runs(mask: DataFrame, *keys: str, span: int = 1 << 20) -> DataFrame:
@@ -54,6 +67,90 @@ def runs(mask: DataFrame, *keys: str, span: int = 1 << 20) -> DataFrame:
     return inner.unionByName(edges.groupBy(*own, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run"))
 
 
+class _Runs:
+    """Runs of one flag in rows that come in batches.  A stretch ends where the next row isn't the next position."""
+
+    def __init__(self):
+        self.open: tuple[int, int, bool] | None = None  # contig, start, whether it starts with its stretch
+        self.last = 0
+        self.out: list[tuple[np.ndarray, ...]] = []
+
+    def close(self, end: int, edge: bool) -> None:
+        contig, start, left = self.open
+        self.out.append(tuple(np.array([x]) for x in (contig, start, end, left or edge)))
+        self.open = None
+
+    def add(self, contig: np.ndarray, pos: np.ndarray, flag: np.ndarray, broken: np.ndarray) -> None:
+        """``broken``: where a stretch begins; that of the last batch goes on unless its first is."""
+        goes_on = self.open is not None and bool(flag[0]) and not broken[0]
+        if self.open and not goes_on:
+            self.close(self.last + 1, bool(broken[0]))
+        begins = flag & (broken | ~np.r_[goes_on, flag[:-1]])
+        breaks = np.r_[broken[1:], False]
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(flag & (breaks | ~np.r_[flag[1:], False]))
+        if goes_on and ends[0] < len(pos) - 1:
+            self.close(int(pos[ends[0]]) + 1, bool(breaks[ends[0]]))
+        ends = ends[1:] if goes_on else ends
+        left = broken[starts] & (pos[starts] > 0)
+        if flag[-1] and len(starts) and not self.open:
+            self.open = int(contig[starts[-1]]), int(pos[starts[-1]]), bool(left[-1])
+            starts, ends, left = starts[:-1], ends[:-1], left[:-1]
+        self.out.append((contig[starts], pos[starts], pos[ends] + 1, left | breaks[ends]))
+        self.last = int(pos[-1])
+
+    def taken(self) -> list[np.ndarray]:
+        out, self.out = self.out, []
+        return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, int)] * 4
+
+
+def stored_runs(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """(contig_idx, contig, name, start, end): maximal runs within a contig of positions with a flag, half-open, for each of ``flags`` by name.
+
+    ``rows`` (contig_idx, contig, lpos, ...) are as a store has them, a row
+    for each position in order, so a task finds the runs of what it reads in
+    one pass and no position is shuffled.  Runs that touch an edge of what a
+    task reads in one stretch are put in order and joined: of these there are
+    few in stored rows.  In any other order all runs are such, and the result
+    is the same.
+    """
+    names = list(flags)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each, last, contigs = [_Runs() for _ in names], (-1, -1), {}
+
+        def result() -> Iterator[pa.RecordBatch]:
+            for k, x in enumerate(each):
+                contig, start, end, edge = x.taken()
+                if len(start):
+                    own = pa.array([contigs[c] for c in contig.tolist()])
+                    yield pa.record_batch([pa.array(contig, pa.int32()), own, pa.array(np.full(len(start), k), pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edge, pa.bool_())], names=["contig_idx", "contig", "flag", "start", "end", "edge"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            contig, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            contigs |= {int(c): batch.column(1)[int(i)].as_py() for c, i in zip(*np.unique(contig, return_index=True))}
+            broken = np.r_[(int(contig[0]), int(pos[0])) != (last[0], last[1] + 1), (contig[1:] != contig[:-1]) | (pos[1:] != pos[:-1] + 1)]
+            last = int(contig[-1]), int(pos[-1])
+            for k, x in enumerate(each):
+                x.add(contig, pos, batch.column(3 + k).to_numpy(zero_copy_only=False).astype(bool), broken)
+            yield from result()
+        for x in each:
+            if x.open:
+                x.close(x.last + 1, True)
+        yield from result()
+
+    columns = [F.coalesce(flag, F.lit(False)).alias(f"f{k}") for k, flag in enumerate(flags.values())]
+    pieces = rows.select(F.col("contig_idx").cast("int"), "contig", F.col("lpos").cast("long"), *columns).mapInArrow(found, "contig_idx int, contig string, flag int, start long, end long, edge boolean")
+    # a run that is whole is alone; of those at edges one goes on where the one before ended
+    pieces = pieces.withColumn("_at", F.when(F.col("edge"), -1).otherwise(F.col("start")))
+    own = ["contig_idx", "contig", "flag", "_at"]
+    order = Window.partitionBy(*own).orderBy("start")
+    first = (F.col("start") != F.coalesce(F.lag("end").over(order), F.lit(-1))).cast("int")
+    joined = pieces.withColumn("_first", first).withColumn("_run", F.sum("_first").over(order)).groupBy(*own, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return joined.select("contig_idx", "contig", F.get(F.array(*map(F.lit, names)), F.col("flag")).alias("name"), "start", "end")
+
+
 def lines(mask: DataFrame, width: int = 70) -> DataFrame:
     """(contig_idx, contig, line, bits): FASTA lines of 0 and 1."""
     digit = F.when(F.col("accessible"), "1").otherwise("0")

@@ -33,13 +33,16 @@ def missing(columns: Sequence[str], cutoff: int) -> Column:
 
 def at(resolved: Resolved) -> Column | None:
     """Pushable predicate on pos; None for the whole genome."""
-    if resolved.n_positions == resolved.genome_size:
-        return None
-    out = F.lit(False)
-    for a, b in resolved.intervals:
-        inside = (F.col("pos") >= a) & (F.col("pos") < b)
-        out = inside if len(resolved.intervals) == 1 else out | inside
-    return out
+    return None if resolved.n_positions == resolved.genome_size else inside(resolved.intervals)
+
+
+def inside(intervals: Sequence[tuple[int, int]]) -> Column:
+    """Pushable predicate on pos."""
+    out = None
+    for a, b in intervals:
+        one = (F.col("pos") >= a) & (F.col("pos") < b)
+        out = one if out is None else out | one
+    return F.lit(False) if out is None else out
 
 
 def select(track: DataFrame, resolved: Resolved, *keep: str) -> DataFrame:

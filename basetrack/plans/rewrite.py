@@ -1,31 +1,38 @@
-"""Histograms of selections of a stored track, from its summaries where these have the same numbers.
+"""Histograms and masks of a stored track, from its summaries where these have the same numbers.
 
 A selection whose columns are exactly those of a sample set is read from the
-set's summary, a column instead of many; any other from the track itself.  All
-selections that read one table share one scan and one aggregation.
+set's summary, a column instead of many; any other from the track itself.  A
+summary counts only if it was made of the track's present version with its
+present sample sets; else the track is read.  All selections that read one
+table share one scan and one aggregation.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import masks as M
 from ..operators import track as T
 from ..operators.histogram import cap_of
-from ..sources.store import MissingSummaryError, Store
+from ..sources.store import Store
 from .selection import Coordinates, Resolved
 
 
-def source_of(store: Store, name: str, resolved: Resolved, cutoff: int | None) -> tuple[str, Column]:
+def resolved(store: Store, name: str, coordinates: Coordinates) -> Resolved:
+    e = store.entries[name]
+    return coordinates.resolve(e.genome, e.all_groupings() | {"sample_set": e.grouping()}, e.column_dim)
+
+
+def source_of(store: Store, name: str, chosen: Resolved, cutoff: int | None) -> tuple[str, Column]:
     """The track to read and the number to count: of sums, or of columns at the cutoff or below."""
-    if group := store.entries[name].grouping().matching(resolved.columns):
-        try:
-            return store.summary(name, "sum" if cutoff is None else "missing", cutoff), F.col(f"`{group}`").cast("long")
-        except MissingSummaryError:
-            pass
-    return name, T.total(resolved.columns) if cutoff is None else T.missing(resolved.columns, cutoff)
+    summary, group = store.summaries(name).get(cutoff), store.entries[name].grouping().matching(chosen.columns)
+    if summary and group in summary.labels:
+        return summary.name, F.col(f"`{group}`").cast("long")
+    return name, T.total(chosen.columns) if cutoff is None else T.missing(chosen.columns, cutoff)
 
 
 def hists(store: Store, name: str, selections: dict[str, Coordinates], cutoff: int | None = None, n_bins: int | None = None, max_positions: int = 0) -> DataFrame:
@@ -36,11 +43,10 @@ def hists(store: Store, name: str, selections: dict[str, Coordinates], cutoff: i
     Beyond ``max_positions`` every k-th selected position is counted and the
     counts are brought to all of them.
     """
-    e = store.entries[name]
     by_source: dict[str, list] = {}
     factors = {}
     for label, coordinates in selections.items():
-        r = coordinates.resolve(e.genome, e.all_groupings() | {"sample_set": e.grouping()}, e.column_dim)
+        r = resolved(store, name, coordinates)
         source, number = source_of(store, name, r, cutoff)
         last = len(r.columns) if cutoff is not None else cap_of(len(r.columns)) if n_bins is None else max(n_bins, 1) - 1
         where, k = T.at(r), r.stride(max_positions)
@@ -80,13 +86,28 @@ def missingness_hist(store: Store, name: str, coordinates: Coordinates, cutoff:
 def sum_hists(store: Store, name: str, max_positions: int = 0) -> DataFrame:
     """(selection, value, count) of all sample sets, from the sum summary, which must be there; the last bin of each takes what is above its cap.
 
-    Warns, once it is counted, of a set that has positions in its last bin; for
-    that the histogram is written to memory, a row for each value.
+    Beyond ``max_positions`` the counts are those of the positions counted.
+    Warns of a set that has positions in its last bin.
     """
+    from .bundle import Pages
+
     store.summary(name, "sum")
-    grouping = store.entries[name].grouping()
-    out = hists(store, name, {n: Coordinates().with_samples(c) for n, c in grouping.members().items()}, None, None, max_positions).cache()
-    full = F.coalesce(*[F.when(F.col("selection") == n, F.col("value") >= cap_of(len(c))) for n, c in grouping.members().items()])
-    for r in out.where(full).collect():
-        warnings.warn(f"{r['count']} positions of {r['selection']} reach its last bin, {r['value']}", stacklevel=2)
-    return out
+    pages, members = Pages.of(store, name), store.entries[name].grouping().members()
+    out = pages.coverage({n: Coordinates().with_samples(c) for n, c in members.items()}, max_positions=max_positions, scaled=False)
+    for n, c in members.items():
+        if full := out[n].get(cap_of(len(c))):
+            warnings.warn(f"{full} positions of {n} reach its last bin, {cap_of(len(c))}", stacklevel=2)
+    return pages.table(out)
+
+
+def mask_layers(store: Store, name: str, profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None) -> DataFrame:
+    """As ``masks.layers``, from the columns of the sets in the summaries if these have all that is asked for in one table; else from the track."""
+    grouping, fresh = store.entries[name].grouping(), store.summaries(name)
+    used = [fresh.get(k) for k in (None, *M.cutoffs_of(profile, cutoffs))]
+    if None in used or len({e.data for e in used}) > 1 or not set(profile) <= set(grouping.members()):
+        return M.layers(store.read(name), grouping, profile, cutoffs)
+    at = {e.attributes["missing_cutoff"]: dict(zip(e.labels, e.stored())) for e in used}
+    sums = {n: F.col(at[None][n]) for n in profile}
+    gaps = {(n, k): F.col(at[k][n]) for n in profile for k in at if k is not None}
+    rows = store.stored_rows(used[0].name).select(*store.axis(), *{c for of in at.values() for n, c in of.items() if n in profile})
+    return M.layers_from(rows, sums, gaps, profile, cutoffs)

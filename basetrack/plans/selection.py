@@ -8,6 +8,7 @@ None, nothing by an empty tuple.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -72,6 +73,53 @@ class Genome:
         return [(self.contigs[i], 0, lengths[self.contigs[i]]) for i in self.indices(contigs)]
 
 
+@dataclass(frozen=True)
+class Intervals:
+    """A set of global positions as half-open stretches, in order, that neither touch nor overlap."""
+
+    spans: tuple[tuple[int, int], ...] = ()
+
+    @classmethod
+    def of(cls, spans: Iterable[tuple[int, int]]) -> Intervals:
+        """From any stretches; empty ones say nothing."""
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(x for x in spans if x[0] < x[1]):
+            if out and a <= out[-1][1]:
+                a, b = out[-1][0], max(b, out.pop()[1])
+            out.append((a, b))
+        return cls(tuple(out))
+
+    @property
+    def n_positions(self) -> int:
+        return sum(b - a for a, b in self.spans)
+
+    def __or__(self, other: Intervals) -> Intervals:
+        return Intervals.of((*self.spans, *other.spans))
+
+    def __and__(self, other: Intervals) -> Intervals:
+        out, i, j = [], 0, 0
+        while i < len(self.spans) and j < len(other.spans):
+            (a, b), (c, d) = self.spans[i], other.spans[j]
+            out.append((max(a, c), min(b, d)))
+            i, j = (i + 1, j) if b < d else (i, j + 1)
+        return Intervals.of(out)
+
+    def __sub__(self, other: Intervals) -> Intervals:
+        if not self.spans:
+            return self
+        edges = [self.spans[0][0], *(x for span in other.spans for x in span), self.spans[-1][1]]
+        return self & Intervals.of(zip(edges[::2], edges[1::2]))
+
+    def contigs_within(self, genome: Genome) -> list[str]:
+        """Contigs all of whose positions are in, in genome order; one without positions is in if where it stands is."""
+        starts, out = [a for a, _ in self.spans], []
+        for i, c in enumerate(genome.contigs):
+            k = bisect_right(starts, genome.offsets[i]) - 1
+            if k >= 0 and genome.offsets[i + 1] <= self.spans[k][1]:
+                out.append(c)
+        return out
+
+
 @dataclass(frozen=True)
 class Grouping:
     """Sets of columns, in order; they may overlap.  ALL, if named, has every column."""
@@ -205,29 +253,26 @@ class Coordinates:
         return replace(self, others=rest if names is None else (*rest, (dim, names)))
 
     def resolve(self, genome: Genome, grouping: Grouping | dict[str, Grouping], column_dim: str = SAMPLE) -> Resolved:
-        """Against a track: its genome, its groupings by name (one alone is that of sample sets) and what its columns are.
+        """What this selects of a track with these groupings (one alone is that of sample sets), whose columns are a ``column_dim``.
 
-        Selections on several dimensions intersect.  One on a dimension that
-        the track neither is of nor is grouped by doesn't apply to it, but
-        sample sets without a grouping of samples are an error.
+        Each dimension that is selected allows some columns, and a column is
+        kept if all of them allow it.  The track's own dimension allows its
+        labels, a grouping the members of its sets.  What the track has
+        neither of allows all, but a track of samples that is asked for sample
+        sets must have some.
         """
         groupings = {SAMPLE_SET: grouping} if isinstance(grouping, Grouping) else grouping
-        labels = next(iter(groupings.values())).columns if groupings else ()
+        labels = next((g.columns for g in groupings.values()), ())
+        allows = {dim: dict(g.sets) for dim, g in groupings.items()} | {column_dim: {c: {c} for c in labels}}
+        asked = {SAMPLE: self.samples, SAMPLE_SET: self.sample_sets, **dict(self.others)}
+        asked = {dim: names for dim, names in asked.items() if names is not None}
+        if SAMPLE_SET in asked and SAMPLE_SET not in allows and column_dim == SAMPLE:
+            raise ValueError("this track has no sample sets")
         keep = set(labels)
-        for dim, names in ((SAMPLE, self.samples), (SAMPLE_SET, self.sample_sets), *self.others):
-            if names is None:
-                continue
-            if dim == column_dim:
-                known = {c: {c} for c in labels}
-            elif dim in groupings:
-                known = dict(groupings[dim].sets)
-            elif dim == SAMPLE_SET and column_dim == SAMPLE:
-                raise ValueError("this track has no sample sets")
-            else:
-                continue
-            if unknown := sorted(set(names) - set(known)):
+        for dim in asked.keys() & allows.keys():
+            if unknown := sorted(set(asked[dim]) - set(allows[dim])):
                 raise ValueError(f"unknown {dim.replace('_', ' ')}s: {', '.join(unknown)}")
-            keep &= set().union(*(known[n] for n in names))
+            keep &= set().union(*(allows[dim][n] for n in asked[dim]))
         return Resolved(tuple(genome.resolve(self.contigs)), tuple(c for c in labels if c in keep), genome.size)
 
 
@@ -241,6 +286,11 @@ class Resolved:
     def n_positions(self) -> int:
         return sum(b - a for a, b in self.intervals)
 
+    @property
+    def active_per_cent(self) -> float:
+        """Of the genome, with two digits; 0 of an empty one."""
+        return round(self.n_positions / self.genome_size * 100, 2) if self.genome_size else 0.0
+
     def stride(self, max_positions: int) -> int:
         n = self.n_positions
         return -(-n // max_positions) if 0 < max_positions < n else 1

@@ -9,8 +9,11 @@ from .operators import masks as M
 from .operators import pca as P
 from .operators import track as T
 from .plans import rewrite as R
-from .plans.selection import Coordinates, filtered
-from .sources.derived import GROUPING, SAMPLES, depth, genome, store
+from .plans.bundle import Pages
+from .plans.selection import Coordinates, Grouping, Intervals, filtered
+from .sources import files
+from .sources.derived import GROUPING, SAMPLES, depth, folder, genome, store
+from .sources.store import Entry, Store
 
 TWO = ("1-URGENT", "3-MEDIUM")
 ADHOC = ("s1", "s4", "s5", "s6")
@@ -103,8 +106,43 @@ def hist_summary_rewrite(s, d):
 def hist_many(s, d):
     """Missing samples of several selections at two cutoffs, every k-th position, brought to the whole."""
     chosen = {"ALL": Coordinates(), "pop1 in two": Coordinates(TWO, None, ("pop1",)), "adhoc": Coordinates(None, ADHOC)}
-    out = [R.hists(store(s, d), "depth", chosen, k, None, 2000).withColumn("cutoff", F.lit(k)) for k in (3, 7)]
-    return out[0].unionByName(out[1])
+    pages = Pages(store(s, d), "depth")
+    return pages.table(pages.missingness(chosen, (3, 7), 2000), "selection", "cutoff")
+
+
+def hist_pages(s, d):
+    """Two pages of the same selections behind one aggregation: sums with fewer bins, then with more, then missing samples."""
+    chosen = {n: Coordinates(TWO, c) for n, c in {"pop2": tuple(SETS["pop2"]), "adhoc": ADHOC}.items()}
+    pages = Pages(store(s, d), "depth")
+    few, many = pages.coverage(chosen, {"pop2": 20, "adhoc": 60}), pages.coverage(chosen)
+    out = pages.table(few).withColumn("page", F.lit("few")).unionByName(pages.table(many).withColumn("page", F.lit("all")))
+    for k in (3, 12):
+        missing = {n: hist for (n, _), hist in pages.missingness(chosen, (k,)).items()}
+        out = out.unionByName(pages.table(missing).withColumn("page", F.lit(f"missing {k}")))
+    return out
+
+
+def hist_stale_summary(s, d):
+    """Histograms of a track whose sample sets, and then whose data, change after its summaries were made.
+
+    Each has the numbers of the track as it is: of the set p as it is now, of
+    a set that the summary doesn't have, and of the data as they are now.
+    """
+    source = store(s, d)
+    e = source.entries["depth"]
+    own = Store.create(s, folder(s))
+    rows = source.read("depth")
+    own.write(Entry("depth", list(SAMPLES), e.contigs, e.offsets), rows)
+    own.preprocess("depth", Grouping.of(SAMPLES, [("s1", "p"), ("s2", "p")]), (3,))
+    of = lambda *sets: {n: Coordinates(None, None, (n,)) for n in sets}
+    out = [R.hists(own, "depth", of("p"))]
+    own.set_grouping("depth", Grouping.of(SAMPLES, [("s1", "p"), ("s3", "p"), ("s4", "q"), ("s5", "q")]))
+    out.append(R.hists(own, "depth", of("p", "q")))
+    own.write(own.entries["depth"], rows.withColumn("s1", F.col("s1") + F.col("s2")))
+    out.append(R.hists(own, "depth", of("p", "q")))
+    out.append(R.hists(own, "depth", of("p"), 3))
+    named = [h.withColumn("step", F.lit(x)) for h, x in zip(out, ("first", "regrouped", "rewritten", "missing"))]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
 
 
 def hist_beyond_cap(s, d):
@@ -189,12 +227,22 @@ def contig_scatter(s, d):
     return rows.select("sample_set", "contig", F.col("len").alias("length"), F.round(F.col("mean") / F.when(F.col("n_selected") > 0, F.col("n_selected")), 8).alias("mean"), F.round("mean", 8).alias("total_mean"))
 
 
+def _by_flags(s, d):
+    """Line numbers grouped by the flags that more of their lines have than the average flags, from the lines themselves."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.concat(F.lit("s"), "l_linenumber").alias("sample"), F.concat("l_returnflag", "l_linestatus").alias("sample_set")).agg(F.count(F.lit(1)).alias("n"))
+    most = lines.groupBy("sample").agg(F.avg("n").alias("most"))  # a row for each line number
+    return files.grouping_of(lines.join(most, "sample").where("n >= most"), SAMPLES)
+
+
 def group_counts(s, d):
-    return s.createDataFrame(GROUPING.counts(SETS["pop1"]), "sample_set string, selected long, total long")
+    """How many of three samples each set of flags has."""
+    return s.createDataFrame(_by_flags(s, d).counts(SETS["pop1"]), "sample_set string, selected long, total long")
 
 
 def group_membership(s, d):
-    return s.createDataFrame([(c, ",".join(GROUPING.of_column(c))) for c in SAMPLES], "sample string, sample_sets string")
+    """The flags of each sample."""
+    g = _by_flags(s, d)
+    return s.createDataFrame([(c, ",".join(g.of_column(c))) for c in SAMPLES], "sample string, sample_sets string")
 
 
 def selection_overview(s, d):
@@ -204,6 +252,60 @@ def selection_overview(s, d):
     return s.createDataFrame(rows + [("Sample set", n, a, b) for n, a, b in GROUPING.counts(r.columns)], "type string, label string, active long, total long")
 
 
+def active_genome(s, d):
+    """Positions of the selected contigs, and their share of the genome in per cent."""
+    r = _resolved(s, d, TWO)
+    return s.createDataFrame([(r.n_positions, r.active_per_cent)], "active_bp long, active_per_cent double")
+
+
+def _some(s, d):
+    """The second half of the first contig, all of the next two, and the first two thirds of the fourth."""
+    o = genome(s, d).offsets
+    half = Intervals.of([(o[0] + (o[1] - o[0]) // 2, o[2]), (o[2], o[3] + (o[4] - o[3]) * 2 // 3)])
+    return half - Intervals.of([(o[1], o[1])])
+
+
+def window_starts_intervals(s, d):
+    """Windows of the contigs that are wholly within some intervals."""
+    return P.window_starts(P.in_whole_contigs(depth(s, d), genome(s, d), _some(s, d)), WINDOW)
+
+
+def sel_intervals(s, d):
+    """Sums of positions in intervals that are no contigs."""
+    return depth(s, d).where(T.inside(_some(s, d).spans)).groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.sum(T.total(SAMPLES)).alias("total"))
+
+
+def window_moments(s, d):
+    """Moments made where the windows are and merged in a tree."""
+    m = P.moments(P.window_means(depth(s, d), SAMPLES, WINDOW), SAMPLES)
+    rows = [(a, b, m.n, round(float(m.mean[i]), 8), round(float(m.covariance[i, j]), 8)) for i, a in enumerate(SAMPLES) for j, b in enumerate(SAMPLES) if i <= j]
+    return s.createDataFrame(rows, "a string, b string, n long, mean_a double, covariance double")
+
+
+def import_runs(s, d):
+    """Two samples as per-base files that Spark writes from the tables, a folder of files a sample, read again as a track."""
+    at = folder(s)
+    for c in ("s1", "s6"):
+        depth(s, d).where(F.col(c) > 0).select("contig", "lpos", F.col("lpos") + 1, c).write.csv(f"{at}/{c}.per-base.bed", sep="\t")
+    g = genome(s, d)
+    out = Store.create(s, f"{at}/store")
+    paths = [f"{at}/{c}.per-base.bed" for c in ("s1", "s6")]
+    out.write(Entry("depth", [files.sample_name(p) for p in paths], list(g.contigs), list(g.offsets)), files.import_tracks(s, paths, g, 1000))
+    return out.read("depth").select("contig", "lpos", "pos", "s1", "s6")
+
+
+def summary_masks(s, d):
+    """Accessible positions of each set, read from the summaries alone."""
+    rows = R.mask_layers(store(s, d), "depth", LIMITS, [12, 3])
+    return rows.groupBy("contig", "sample_set", "missing_cutoff").agg(F.count_if("accessible").alias("accessible_bp"))
+
+
+def mask_runs(s, d):
+    """Runs of every layer of every set in one pass over the stored track."""
+    sums = {n: (T.total(c) < LIMITS[n]["lower_coverage"]) | (T.total(c) > LIMITS[n]["upper_coverage"]) for n, c in SETS.items()}
+    return M.stored_runs(depth(s, d), {n: ~x for n, x in sums.items()}).select("contig", F.col("name").alias("sample_set"), "start", "end")
+
+
 def window_starts(s, d):
     return P.window_starts(depth(s, d), WINDOW)
 
@@ -247,7 +349,7 @@ def mask_multi_cutoff(s, d):
 
 
 def mask_bed(s, d):
-    return M.runs(M.layers(depth(s, d), GROUPING, {"ALL": LIMITS["ALL"]}), span=500).select("contig", "start", "end")
+    return M.stored_runs(M.layers(depth(s, d), GROUPING, {"ALL": LIMITS["ALL"]}), {"": F.col("accessible")}).select("contig", "start", "end")
 
 
 def mask_bp(s, d):
@@ -255,7 +357,7 @@ def mask_bp(s, d):
     return rows.groupBy("contig", "sample_set").agg(F.count_if("accessible").alias("accessible_bp"))
 
 
-_ALL = [track_sum, track_missingness, preprocess_multi_cutoff, sel_track, sel_columns, sel_merge_adjacent, sel_stride, hist_coverage, hist_sum_sets, hist_missing_sets, hist_coverage_contigs, hist_missing_adhoc, hist_bundle, hist_summary_rewrite, hist_many, hist_beyond_cap, hist_scaled, hist_fold, hist_stats, hist_boxplot, hist_quantile, thresholds, threshold_table, contig_means, group_counts, group_membership, selection_overview, coverage_table, coverage_indicators, contigs_filtered, missingness_table, contig_scatter, window_starts, window_means, window_cov, pca_variance, pca_scores, pca_invariants, mask_layers, mask_multi_cutoff, mask_bed, mask_bp]
+_ALL = [track_sum, track_missingness, preprocess_multi_cutoff, sel_track, sel_columns, sel_merge_adjacent, sel_stride, hist_coverage, hist_sum_sets, hist_missing_sets, hist_coverage_contigs, hist_missing_adhoc, hist_bundle, hist_summary_rewrite, hist_many, hist_beyond_cap, hist_pages, hist_stale_summary, hist_scaled, hist_fold, hist_stats, hist_boxplot, hist_quantile, thresholds, threshold_table, contig_means, group_counts, group_membership, selection_overview, active_genome, sel_intervals, coverage_table, coverage_indicators, contigs_filtered, missingness_table, contig_scatter, window_starts, window_starts_intervals, window_means, window_cov, window_moments, pca_variance, pca_scores, pca_invariants, mask_layers, mask_multi_cutoff, mask_bed, mask_bp, mask_runs, summary_masks, import_runs]
 
 
 def queries():
@@ -360,12 +462,21 @@ def oracle_sql():
     q["contig_means"] = _union(f"SELECT contig, '{n}' AS sample_set, round(sum({x}) / max(len), 8) AS mean FROM d GROUP BY contig" for n, x in _SUM.items())
     q["contig_scatter"] = _union(f"SELECT '{n}' AS sample_set, contig, max(len) AS length, round(sum({_SUM[n]}) / max(len) / nullif({a}, 0), 8) AS mean, round(sum({_SUM[n]}) / max(len), 8) AS total_mean FROM d GROUP BY contig" for n, a, _ in GROUPING.counts(ADHOC))
     pairs = "(VALUES " + ", ".join(f"('{c}', '{n}')" for n, m in SETS.items() for c in m) + ") AS p(sample, sample_set)"
-    q["group_counts"] = f"SELECT sample_set, count(*) FILTER (sample IN ('s1', 's2', 's3')) AS selected, count(*) AS total FROM {pairs} GROUP BY sample_set"
-    q["group_membership"] = f"SELECT sample, coalesce(string_agg(sample_set, ',' ORDER BY sample_set) FILTER (sample_set <> 'ALL'), 'ALL') AS sample_sets FROM {pairs} GROUP BY sample"
+    flags = "lm AS (SELECT 's' || l_linenumber AS sample, l_returnflag || l_linestatus AS sample_set, count(*) AS n FROM lineitem GROUP BY ALL), mp AS (SELECT sample, sample_set FROM (SELECT *, avg(n) OVER (PARTITION BY sample) AS most FROM lm) WHERE n >= most UNION ALL SELECT DISTINCT sample, 'ALL' FROM lm)"
+    q["group_counts"] = (flags, "SELECT sample_set, count(*) FILTER (sample IN ('s1', 's2', 's3')) AS selected, count(*) AS total FROM mp GROUP BY sample_set")
+    q["group_membership"] = (flags, "SELECT sample, coalesce(string_agg(sample_set, ',' ORDER BY sample_set) FILTER (sample_set <> 'ALL'), 'ALL') AS sample_sets FROM mp GROUP BY sample")
+    q["active_genome"] = f"SELECT CAST(sum(len) FILTER ({_IN_TWO}) AS BIGINT) AS active_bp, round_even(sum(len) FILTER ({_IN_TWO}) / sum(len)::DOUBLE * 100, 2) AS active_per_cent FROM gn"
+    some = "CASE contig_idx WHEN 0 THEN lpos >= len // 2 WHEN 3 THEN lpos < len * 2 // 3 ELSE contig_idx < 3 END"
+    q["sel_intervals"] = f"SELECT contig, count(*) AS n, CAST(sum({_SUM['ALL']}) AS BIGINT) AS total FROM d WHERE {some} GROUP BY contig"
+    q["window_starts_intervals"] = f"SELECT contig_idx, CAST(floor(lpos / {WINDOW}) AS BIGINT) AS \"window\", min(pos) AS start FROM d WHERE contig_idx IN (1, 2) AND floor(lpos / {WINDOW}) < floor(len / {WINDOW}) GROUP BY 1, 2"
     q["selection_overview"] = f"SELECT 'Contigs' AS type, 'all' AS label, count(*) FILTER ({_IN_TWO}) AS active, count(*) AS total FROM gn UNION ALL SELECT 'Samples', 'all', 3, 7 UNION ALL SELECT 'Positions', 'all', CAST(sum(len) FILTER ({_IN_TWO}) AS BIGINT), CAST(sum(len) AS BIGINT) FROM gn UNION ALL SELECT 'Sample set', sample_set, count(*) FILTER (sample IN ('s1', 's2', 's3')), count(*) FROM {pairs} GROUP BY sample_set"
     q["window_starts"] = f"SELECT contig_idx, CAST(floor(lpos / {WINDOW}) AS BIGINT) AS \"window\", min(pos) AS start FROM d WHERE floor(lpos / {WINDOW}) < floor(len / {WINDOW}) GROUP BY 1, 2"
     q["window_means"] = (_WINDOWS, "SELECT contig_idx, win AS \"window\", " + ", ".join(f"round({c}, 8) AS {c}" for c in SAMPLES) + " FROM wm")
     q["window_cov"] = (_WINDOWS, _union(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 8) AS covariance FROM wm" for i, a in enumerate(SAMPLES) for b in SAMPLES[i:]))
+    q["window_moments"] = (_WINDOWS, _union(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(avg({a}), 8) AS mean_a, round(covar_samp({a}, {b}), 8) AS covariance FROM wm" for i, a in enumerate(SAMPLES) for b in SAMPLES[i:]))
+    q["summary_masks"] = (_layers([3, 12]), "SELECT contig, sample_set, missing_cutoff, count(*) FILTER (accessible) AS accessible_bp FROM m GROUP BY ALL")
+    q["mask_runs"] = (_layers([3]), "SELECT contig, sample_set, min(lpos) AS start, max(lpos) + 1 AS \"end\" FROM (SELECT contig, sample_set, lpos, lpos - row_number() OVER (PARTITION BY contig, sample_set ORDER BY lpos) AS g FROM m WHERE NOT excluded_coverage) GROUP BY contig, sample_set, g")
+    q["import_runs"] = "SELECT contig, lpos, pos, s1, s6 FROM d"
     q["mask_layers"] = (_layers([3]), "SELECT pos, sample_set, excluded_coverage, excluded_missing, accessible FROM m")
     q["mask_multi_cutoff"] = (_layers([3, 12]), "SELECT sample_set, missing_cutoff, count(*) FILTER (accessible) AS accessible_bp, count(*) FILTER (excluded_missing) AS missing_bp FROM m GROUP BY ALL")
     q["mask_bed"] = (_layers([3]), "SELECT contig, min(lpos) AS start, max(lpos) + 1 AS \"end\" FROM (SELECT contig, lpos, lpos - row_number() OVER (PARTITION BY contig ORDER BY lpos) AS g FROM m WHERE sample_set = 'ALL' AND accessible) GROUP BY contig, g")
@@ -379,6 +490,14 @@ def oracle_sql():
             step = "CASE WHEN n > 2000 THEN CAST(ceil(n / 2000.0) AS BIGINT) ELSE 1 END"
             parts.append(f"SELECT '{n}' AS selection, {cutoff} AS cutoff, {_gaps(c, cutoff)} AS value, n, count(*) OVER () AS c FROM ({strided} WHERE {w}) WHERE r % {step} = 0")
     q["hist_many"] = f"SELECT selection, cutoff, value, CAST(round_even(count(*) * (max(n)::DOUBLE / max(c)), 0) AS BIGINT) AS count FROM ({_union(parts)}) GROUP BY ALL"
+    two = {"pop2": SETS["pop2"], "adhoc": ADHOC}
+    pages = [(n, "few", f"least({big.format(' + '.join(c))}, {k})") for (n, c), k in zip(two.items(), (19, 59))]
+    pages += [(n, "all", f"least({big.format(' + '.join(c))}, {H.cap_of(len(c))})") for n, c in two.items()]
+    pages += [(n, f"missing {k}", _gaps(c, k)) for n, c in two.items() for k in (3, 12)]
+    q["hist_pages"] = "SELECT selection, page, value, count(*) AS count FROM (" + _union(f"SELECT '{n}' AS selection, '{p}' AS page, {x} AS value FROM d WHERE {_IN_TWO}" for n, p, x in pages) + ") GROUP BY ALL"
+    steps = [("p", "first", "s1 + s2"), ("p", "regrouped", "s1 + s3"), ("q", "regrouped", "s4 + s5"), ("p", "rewritten", "s1 + s2 + s3"), ("q", "rewritten", "s4 + s5")]
+    steps = [(n, x, f"least({big.format(v)}, {H.cap_of(2)})") for n, x, v in steps] + [("p", "missing", _gaps(("(s1 + s2)", "s3"), 3))]
+    q["hist_stale_summary"] = "SELECT selection, step, value, count(*) AS count FROM (" + _union(f"SELECT '{n}' AS selection, '{x}' AS step, {v} AS value FROM d" for n, x, v in steps) + ") GROUP BY ALL"
     own = {n: [x for x in c if x in ADHOC] for n, c in SETS.items()}
     hist = "h AS (SELECT sample_set, value, count(*) AS count FROM (" + _union(f"SELECT '{n}' AS sample_set, least({big.format(' + '.join(c))}, {H.cap_of(len(c))}) AS value FROM d WHERE {_IN_TWO}" for n, c in own.items()) + ") GROUP BY ALL)"
     chosen = "(VALUES " + ", ".join(f"('{n}', {len(c)})" for n, c in own.items()) + ") AS z(sample_set, k)"

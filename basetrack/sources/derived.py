@@ -20,18 +20,17 @@ from .store import Entry, Store
 SAMPLES = tuple(f"s{k}" for k in range(1, 8))
 GROUPING = Grouping.of(SAMPLES, [("s1", "pop1"), ("s2", "pop1"), ("s3", "pop1"), ("s4", "pop2"), ("s5", "pop2"), ("s6", "pop3"), ("s7", "pop3")])
 CUTOFFS = (3, 12)
-CHUNK = 20_000
 _stores: dict[tuple[str, str], Store] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """A new folder in that of spark.checkpoint.dir; only a session of this machine alone may do without that setting."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="basetrack-store-")
-    return f"{shared}/derived-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/derived-{uuid.uuid4().hex}"
 
 
 def numbered(orders: DataFrame, path: str) -> tuple[DataFrame, Genome]:
@@ -57,7 +56,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     """The store with the track ``depth`` and its summaries."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        path = _folder(spark)
+        path = folder(spark)
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderpriority").alias("contig"))
         axis, g = numbered(orders, f"{path}-axis")
         lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -66,7 +65,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
         rows = axis.join(cells, axis["o_orderkey"] == cells["l_orderkey"], "left")
         out = Store.create(spark, path)
         entry = Entry("depth", list(SAMPLES), list(g.contigs), list(g.offsets))
-        out.write(entry, rows.select("contig_idx", "lpos", "pos", *[F.coalesce(s, F.lit(0)).alias(s) for s in SAMPLES]), chunk_size=CHUNK)
+        out.write(entry, rows.select("contig_idx", "lpos", "pos", *[F.coalesce(s, F.lit(0)).alias(s) for s in SAMPLES]))
         out.preprocess("depth", GROUPING, CUTOFFS)
         _stores[key] = out
     return _stores[key]

@@ -6,9 +6,12 @@ import json
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import masks
 from ..operators.pca import Result
@@ -22,17 +25,19 @@ ENDING = r"(\.per-base)?\.(bed|bedgraph|bg)(\.gz)?$"
 
 
 def sample_name(path: str) -> str:
-    """The file's name without .per-base and its ending."""
+    """The file's, or the folder's, name without .per-base and its ending."""
     return re.sub(ENDING, "", path.rstrip("/").rpartition("/")[2], flags=re.I)
 
 
-def _sample(file_name: Column) -> Column:
-    """As sample_name, of a scan's file names, which are written as in a URL."""
-    return F.regexp_replace(F.url_decode(F.regexp_replace(file_name, r"\+", "%2B")), f"(?i){ENDING}", "")
+def _sample(file_path: Column) -> Column:
+    """As sample_name, of a scan's paths, which are written as in a URL; a file in a folder of a sample is that sample's."""
+    path = F.url_decode(F.regexp_replace(file_path, r"\+", "%2B"))
+    return F.regexp_extract(path, "(?i)([^/]*?)" + ENDING.replace("$", "") + "(/[^/]*)?$", 1)
 
 
-# positions that a row is spread to at a time
-SPREAD = 1 << 16
+# positions of a bin, and cells of a bin that a task fills at a time
+BIN = 1 << 16
+CELLS = 1 << 22
 
 
 def bedgraph(spark: SparkSession, *paths: str) -> DataFrame:
@@ -40,34 +45,46 @@ def bedgraph(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.csv(list(paths), sep="\t", comment="#", schema="contig string, start long, end long, value int")
 
 
-def positions(rows: DataFrame, start: Column, end: Column, *keep: Column | str) -> DataFrame:
-    """A row with lpos for each position from start to end; long runs are cut first, so no row becomes very long."""
-    cut = rows.select("*", F.explode(F.sequence(start, end - 1, F.lit(SPREAD))).alias("_from"), end.alias("_to"))
-    stop = F.least(F.col("_from") + SPREAD, F.col("_to")) - 1
-    return cut.select(*keep, F.explode(F.sequence(F.col("_from"), stop)).alias("lpos"))
+def import_tracks(spark: SparkSession, paths: Sequence[str], genome: Genome, bin_size: int | None = None) -> DataFrame:
+    """A wide track (contig_idx, lpos, pos, a column for each file) of runs of values; what no run covers is 0, where runs overlap they add up.
 
-
-def import_tracks(spark: SparkSession, paths: Sequence[str], genome: Genome) -> DataFrame:
-    """A wide track (contig_idx, lpos, pos, a column for each file) of runs of values; what no run covers is 0.
-
-    All files are one scan.  Runs, and the genome in pieces of SPREAD
-    positions, are spread to positions, which meet in one aggregation that
-    combines before its shuffle.
+    All files are one scan.  Runs are cut at the borders of bins and dealt by
+    bin, so as many rows are shuffled as there are runs; a task sweeps over a
+    bin's run ends of all files at once and writes its positions in order.  A
+    run beyond the end of its contig is an error; contigs that the genome
+    doesn't have are left out.
     """
     names = [sample_name(p) for p in paths]
     if len(set(names)) != len(names):
         raise ValueError("two files have the same sample name")
+    size = bin_size or max(256, min(BIN, CELLS // max(1, len(names))))
     contigs = [(c, i, genome.offsets[i], n) for i, (c, n) in enumerate(genome.lengths().items())]
     table = spark.createDataFrame(contigs, "contig string, contig_idx int, offset long, n long")
-    pieces = table.where("n > 0").select("contig_idx", "offset", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SPREAD))).alias("from"))
-    pieces = pieces.repartition("contig_idx", "from")  # a row for so many positions
-    axis = positions(pieces, F.col("from"), F.least(F.col("from") + SPREAD, F.col("n")), "contig_idx", "offset", F.lit(-1).alias("file"), F.lit(None).cast("int").alias("value"))
+    bins = table.where("n > 0").select("contig_idx", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size))).alias("start"), "n")
+    rows = bins.select("contig_idx", F.floor(F.col("start") / size).alias("bin"), "start", F.least(F.col("start") + size, "n").alias("end"), F.lit(-1).alias("file"), F.col("offset").alias("value"))
     if paths:
-        file = F.array_position(F.array(*map(F.lit, names)), _sample(F.col("_metadata.file_name"))).cast("int") - 1
+        file = F.array_position(F.array(*map(F.lit, names)), _sample(F.col("_metadata.file_path"))).cast("int") - 1
         runs = bedgraph(spark, *paths).select("*", file.alias("file")).where("end > start").join(F.broadcast(table), "contig")  # a row for each contig
-        axis = axis.unionByName(positions(runs, F.col("start"), F.col("end"), "contig_idx", "offset", "file", "value"))
-    cells = [F.coalesce(F.sum(F.when(F.col("file") == i, F.col("value"))), F.lit(0)).cast("int").alias(n) for i, n in enumerate(names)]
-    return axis.groupBy("contig_idx", "offset", "lpos").agg(*cells or [F.lit(0).alias("_none")]).select("contig_idx", "lpos", (F.col("offset") + F.col("lpos")).alias("pos"), *names)
+        beyond = F.raise_error(F.concat(F.lit("a run ends beyond its contig: "), F.concat_ws(" ", "contig", "start", "end")))
+        runs = runs.withColumn("end", F.when((F.col("end") <= F.col("n")) & (F.col("start") >= 0), F.col("end")).otherwise(beyond.cast("long")))
+        cut = runs.select("*", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("bin"))
+        rows = rows.unionByName(cut.select("contig_idx", "bin", F.greatest("start", F.col("bin") * size).alias("start"), F.least("end", (F.col("bin") + 1) * size).alias("end"), "file", F.coalesce("value", F.lit(0)).cast("long").alias("value")))
+
+    def swept(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        head = part[part["file"] < 0].iloc[0]
+        runs, start, n = part[part["file"] >= 0], int(head["start"]), int(head["end"] - head["start"])
+        steps = np.zeros((n + 1, len(names)), np.int64)
+        np.add.at(steps, (runs["start"].to_numpy() - start, runs["file"].to_numpy()), runs["value"].to_numpy())
+        np.add.at(steps, (runs["end"].to_numpy() - start, runs["file"].to_numpy()), -runs["value"].to_numpy())
+        lpos = np.arange(start, start + n)
+        cells = pd.DataFrame(steps.cumsum(axis=0)[:n].astype(np.int32), columns=names)
+        cells.insert(0, "pos", lpos + int(head["value"]))
+        cells.insert(0, "lpos", lpos)
+        cells.insert(0, "contig_idx", key[0])
+        return cells
+
+    fields = [T.StructField("contig_idx", T.IntegerType()), T.StructField("lpos", T.LongType()), T.StructField("pos", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in names]]
+    return rows.groupBy("contig_idx", "bin").applyInPandas(swept, T.StructType(fields))
 
 
 def sample_sets(spark: SparkSession, path: str, columns: Sequence[str]) -> Grouping:
@@ -100,18 +117,23 @@ def profile_from_yaml(text: str) -> tuple[dict[str, dict[str, int]], str]:
     return data["sample_sets"], data["dataset_id"]
 
 
-def default_profile(limits: DataFrame, grouping: Grouping, cutoff: int) -> dict[str, dict[str, int]]:
-    """From thresholds (a row for each set); half of a set's samples may be missing."""
-    rows = {r["sample_set"]: r for r in limits.collect()}
+def profile_of_state(limits: dict[str, tuple[int, int]], max_missing: dict[str, int], grouping: Grouping, cutoff: int) -> dict[str, dict[str, int]]:
+    """From the (lower, upper) and the missing samples that someone has set for each sample set; a set without them is a KeyError."""
     return {
-        n: {"lower_coverage": rows[n]["lower"], "upper_coverage": rows[n]["upper"], "missing_cutoff": cutoff, "max_missing_samples": len(c) // 2}
-        for n, c in grouping.members().items()
+        n: {"lower_coverage": int(limits[n][0]), "upper_coverage": int(limits[n][1]), "missing_cutoff": int(cutoff), "max_missing_samples": int(max_missing[n])}
+        for n in grouping.members()
     }
 
 
+def default_profile(limits: DataFrame, grouping: Grouping, cutoff: int) -> dict[str, dict[str, int]]:
+    """From thresholds (a row for each set); half of a set's samples may be missing."""
+    found = {r["sample_set"]: (r["lower"], r["upper"]) for r in limits.collect()}
+    return profile_of_state(found, {n: len(c) // 2 for n, c in grouping.members().items()}, grouping, cutoff)
+
+
 def bed(mask: DataFrame) -> DataFrame:
     """(value): lines of the runs of a mask, in genome order."""
-    runs = masks.runs(mask).orderBy("contig_idx", "start")
+    runs = masks.stored_runs(mask, {"": F.col("accessible")}).orderBy("contig_idx", "start")
     return runs.select(F.concat_ws("\t", "contig", "start", "end").alias("value"))
 
 
