@@ -27,8 +27,10 @@ brings together is verified by the exact Jaccard similarity of the whole sets
 of shingle hashes, long ones in pieces, before it is a link; all 512 bits only
 sort out what is far away.  A text is first compared with the smallest one that
 it meets anywhere, then, unless that has joined them, with the smallest of each
-of its buckets, and where a bucket still holds several components all texts
-outside of the largest are compared with those of the others.  A band meets with probability
+of its buckets.  Where buckets still hold several components (``strangers``) the texts
+outside of the largest of them are compared with all others there, in chunks of texts:
+a task indexes the hashes of a chunk and counts what each outsider shares
+with all of it at once, so no pair of texts is a row.  A band meets with probability
 0.12, 0.20, 0.34 and 0.59 at similarities of 0.8, 0.85, 0.9 and 0.95, one of 16
 with 0.87, 0.97, 0.999 and 1.  Beside them each text has 24 keys of six
 min-hashes that meet their equals: one of them with 0.9993, 0.99999 and more,
@@ -45,9 +47,10 @@ and takes no part in the choice of the smallest one.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -69,6 +72,8 @@ BITS = 32
 DEVIATIONS = 4
 # hashes of a set in a row, about
 PIECE = 1 << 16
+# hashes of a chunk of texts that are compared at once, about
+CHUNK = 1 << 18
 # keys of min-hashes beside the bands, and min-hashes of a key
 HASH_KEYS = 24
 HASH_ROWS = 6
@@ -252,7 +257,7 @@ def bits_apart(a: str, b: str) -> Column:
 
 
 def meetings(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """(key, node, center) of the nodes that share a value of a band, (upper, lower, center, star) of the values that meet in a ball.
+    """(key, node, center) of the nodes that share a value of a band, (slot, center, star) of the values that meet in a ball.
 
     ``nodes`` has columns node and bands, and may have keys, which only meet their equals; center is the smallest node with a
     value, star the smallest center in a ball.  The balls are made of distinct
@@ -276,8 +281,8 @@ def meetings(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     met = dealt.select(F.shiftright("spot", half + 1).alias("upper"), F.shiftright("spot", 1).alias("variant"), "center", F.explode(F.when(whole, flips(0, half)).otherwise(zero)).alias("mask"))
     met = met.select("upper", F.col("variant").bitwiseXOR(F.col("mask")).bitwiseAND(F.lit((1 << half) - 1)).alias("lower"), "center")
     ball = Window.partitionBy("upper", "lower")
-    met = met.select("upper", "lower", "center", F.min("center").over(ball).alias("star"), F.max("center").over(ball).alias("last"))
-    return equal, checkpointed(met.where("star != last").drop("last"))
+    met = met.select(F.shiftright("upper", bits - half).alias("slot"), "center", F.min("center").over(ball).alias("star"), F.max("center").over(ball).alias("last"))
+    return equal, checkpointed(met.where("star != last").select("slot", "center", "star").distinct())
 
 
 def stars(equal: DataFrame, met: DataFrame) -> DataFrame:
@@ -291,38 +296,96 @@ def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return stars(*meetings(nodes, bits))
 
 
-def strangers(nodes: DataFrame, equal: DataFrame, met: DataFrame, found: DataFrame, similarity: float, bits: int, n_bits: int) -> DataFrame:
-    """(a, b), a < b: all pairs that a bucket brings together and that ``found`` (node, component) has not joined.
+def strangers(nodes: DataFrame, equal: DataFrame, met: DataFrame, found: DataFrame, bits: int) -> DataFrame:
+    """(place, node, n, bands, keys, component, outside): the nodes of buckets that ``found`` (node, component) has left with several components.
 
     A star joins a bucket only as far as its center is similar to the rest.
-    Where that leaves several components in a bucket, each node outside of the
-    largest is compared with the nodes of the others; elsewhere nothing is left
-    to find, so a group of copies makes no pairs however many it has.  What
-    meets is told by a row for each value and component, and repeats over the
-    buckets of a ball are dropped, before any node is listed.
+    All balls around one star are taken together, and the largest component
+    there names the place; who is outside of it is to be compared with all
+    that are at the place.  Elsewhere nothing is left to find, so a group of
+    copies makes no row here however many it has.
     """
     # a value is named by its band, or by its key of min-hashes, and its smallest node
     slot = F.when(F.col("key") >= 0, F.shiftright("key", bits)).otherwise(F.col("key")).alias("slot")
     held = equal.select(slot, "center", "node")
-    balls = met.select("upper", "lower", F.shiftright("upper", bits - bits // 2).alias("slot"), "center")
-    single = balls.select("slot", "center").distinct().join(held.select("slot", "center").distinct(), ["slot", "center"], "left_anti")
+    single = met.select("slot", "center").distinct().join(held.select("slot", "center").distinct(), ["slot", "center"], "left_anti")
     members = held.unionByName(single.withColumn("node", F.col("center"))).join(found, "node", "left")
     members = checkpointed(members.select("slot", "center", F.coalesce("component", "node").alias("component"), "node"))
     shares = members.groupBy("slot", "center", "component").agg(F.count(F.lit(1)).alias("nodes"))
-    alike = equal.select(F.col("key").alias("upper"), F.lit(-1).cast("long").alias("lower"), slot, "center").distinct()
-    parts = checkpointed(balls.unionByName(alike).join(shares, ["slot", "center"]))
-    mixed = parts.groupBy("upper", "lower", "component").agg(F.sum("nodes").alias("nodes")).groupBy("upper", "lower")
-    mixed = mixed.agg(F.max(F.struct("nodes", "component")).component.alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    parts = checkpointed(parts.drop("nodes").join(mixed, ["upper", "lower"]))
-    sides = [parts.withColumnsRenamed({c: f"{x}_{c}" for c in ("center", "component")}) for x in "ab"]
-    meet = sides[0].where("a_component != largest").join(sides[1].drop("slot", "largest"), ["upper", "lower"])
-    meet = meet.where("b_component = largest OR a_component < b_component").select("slot", "a_center", "a_component", "b_center", "b_component").distinct()
-    listed = members.join(nodes.select("node", "n", "bands"), "node")
-    ends = [listed.withColumnsRenamed({c: f"{x}_{c}" for c in listed.columns if c != "slot"}) for x in "ab"]
-    close = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
-    near = bits_apart("a_bands", "b_bands") <= most_differing(similarity, n_bits, DEVIATIONS)
-    pairs = checkpointed(meet).join(ends[0], ["slot", "a_center", "a_component"]).join(ends[1], ["slot", "b_center", "b_component"]).where(close & near)
-    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    around = met.unionByName(held.select("slot", "center", F.col("center").alias("star")).distinct()).distinct()
+    parts = checkpointed(around.join(shares, ["slot", "center"]))
+    mixed = parts.groupBy("slot", "star", "component").agg(F.sum("nodes").alias("nodes")).groupBy("slot", "star")
+    mixed = mixed.agg(F.max(F.struct("nodes", "component")).component.alias("place"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    there = parts.join(mixed, ["slot", "star"]).select("place", "slot", "center", "component").distinct()
+    rows = there.join(members, ["slot", "center", "component"]).select("place", "node", "component").distinct().join(nodes.select("node", "n", "bands", "keys"), "node")
+    return rows.withColumn("outside", F.col("component") != F.col("place"))
+
+
+def shared_counts(hashes: list[np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """An index of sets of hashes: of another set it tells how many hashes it shares with each."""
+    every, owner = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+
+    def counts(own: np.ndarray) -> np.ndarray:
+        first, last = np.searchsorted(every, own), np.searchsorted(every, own, side="right")
+        size = last - first
+        at = np.arange(size.sum()) + np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size)
+        return np.bincount(owner[at], minlength=len(hashes))
+
+    return counts
+
+
+def links_outside(rows: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): of each outsider of ``rows`` (as from ``strangers``) a node of that Jaccard similarity in every other component of its place that has one, written.
+
+    As with stars, only those that some band or key brings together count, so
+    what is linked doesn't depend on who else is at the place.  A place is dealt into chunks of about CHUNK hashes and its outsiders too,
+    and a task compares one of these with one of those.
+    """
+    rows = checkpointed(rows)
+    chunks = lambda which: F.ceil(F.greatest(F.sum(which), F.lit(1)) / CHUNK).cast("long")
+    sizes = rows.groupBy("place").agg(chunks(F.col("n")).alias("chunks"), chunks(F.when(F.col("outside"), F.col("n"))).alias("parts"))
+    rows = rows.join(sent_if_few(sizes), "place")
+    sets = checkpointed(_sets(rows.select("node").distinct(), nodes, docs, shingle))
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = rows.select("place", "node", "component", "bands", "keys", spot("chunks").alias("chunk"), every("parts").alias("part")).join(sets, "node")
+    kept = kept.select(*[F.col(c).alias(f"kept_{c}") for c in kept.columns])
+    asking = rows.where("outside").select("place", "node", "component", "bands", "keys", spot("parts").alias("part"), every("chunks").alias("chunk")).join(sets, "node")
+
+    def compared(asking: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(asking) and len(kept):
+            counts, n = shared_counts([h.view(np.uint64) for h in kept["kept_hashes"]]), kept["kept_hashes"].map(len).to_numpy()
+            node, component, bands = kept["kept_node"].to_numpy(), kept["kept_component"].to_numpy(), np.stack(kept["kept_bands"])
+            for a, own, h, of_bands, of_keys in zip(*(asking[c] for c in ("node", "component", "hashes", "bands", "keys"))):
+                shared = counts(h.view(np.uint64))
+                hit = np.flatnonzero((shared >= similarity * (n + len(h) - shared) - 1e-9) & (component != own))
+                met = (np.bitwise_count(bands[hit] ^ of_bands) <= 2).any(axis=1) | np.array([bool(np.isin(of_keys, kept["kept_keys"].iloc[i]).any()) for i in hit], bool)
+                _, first = np.unique(component[hit[met]], return_index=True)
+                out += [(min(a, b), max(a, b)) for b in node[hit[met][first]].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    key = ["place", "part", "chunk"]
+    return written(asking.groupBy(*key).cogroup(kept.groupBy(*[f"kept_{c}" for c in key])).applyInPandas(compared, "a long, b long").distinct(), "links-outside")
+
+
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of ``asked`` (node): the whole set of a text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield pa.record_batch([pa.array([node], pa.int64()), pa.array([shingle_hashes(text.as_py(), shingle).view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return _texts(asked, nodes, docs).mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+
+
+def _texts(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of ``asked`` (node), once for each row that has the node's text."""
+    named = nodes.select("node", F.col("first").alias("doc_id"), "row_text").join(asked, "node", "left_semi")
+    return _rows(docs).join(sent_if_few(named), ["doc_id", "row_text"]).select("node", "text")
 
 
 def shingle_sets(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -352,9 +415,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     near = near.where(bits_apart("a_bands", "b_bands") <= most_differing(similarity, n_bits, DEVIATIONS))
     near = checkpointed(near.select("a", "b", "a_n", "b_n", F.greatest("a_level", "b_level").alias("level")))
     asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    asked = nodes.select("node", F.col("first").alias("doc_id"), "row_text").join(asked, "node", "left_semi")
-    texts = _rows(docs).join(sent_if_few(asked), ["doc_id", "row_text"]).select("node", "text")
-    sets = checkpointed(shingle_sets(texts, shingle, similarity).dropDuplicates(["node", "level", "piece"]))
+    sets = checkpointed(shingle_sets(_texts(asked, nodes, docs), shingle, similarity).dropDuplicates(["node", "level", "piece"]))
     left = near.join(sets.select(F.col("node").alias("a"), "level", "piece", F.col("hashes").alias("a_hashes")), ["a", "level"])
     both = left.join(sets.select(F.col("node").alias("b"), "level", "piece", F.col("hashes").alias("b_hashes")), ["b", "level", "piece"])
     shared = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_hashes", "b_hashes")).alias("shared"))
@@ -384,8 +445,8 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, bits:
     # one link may join a node to all others of its group, so each is first tried with its smallest center alone
     linked = check(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     found = connected_components(linked)
-    for rest in (lambda: joined_by(found, pairs), lambda: strangers(linkable, equal, met, found, similarity, bits, bands * bits)):
-        more = check(rest())
+    for rest in (lambda: check(joined_by(found, pairs)), lambda: links_outside(strangers(linkable, equal, met, found, bits), linkable, docs, shingle, similarity)):
+        more = rest()
         if not more.isEmpty():
             linked = linked.unionByName(more)
             found = connected_components(linked)
