@@ -7,9 +7,10 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__
-from .operators import histogram, pca
+from .operators import histogram, masks, pca
 from .operators import track as T
 from .plans import rewrite
 from .plans.selection import Coordinates, Genome
@@ -22,7 +23,7 @@ PCA_WINDOW = int(os.environ.get("BASETRACK_PCA_WINDOW_SIZE", 10_000))
 
 def _genome(path: str) -> Genome:
     with open(path) as f:
-        return Genome.of((a, int(b)) for a, b in (line.split()[:2] for line in f if line.strip()))
+        return Genome.of((a, int(b)) for a, b in (line.split("\t" if "\t" in line else None)[:2] for line in f if line.strip()))
 
 
 def _new(path: str, force: bool) -> None:
@@ -59,6 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("thresholds")
     a.add_argument("output")
     a.add_argument("--cutoff", type=int, action="append")
+    a.add_argument("--positions", action="store_true", help="a row for each position and set instead of runs")
     a.add_argument("--track-name", default="depth")
     a = sub.add_parser("export")
     a.add_argument("mask")
@@ -130,14 +132,17 @@ def _mask(spark, args) -> int:
         print("warning: the profile was made for another store or other sample sets", file=sys.stderr)
     for k in args.cutoff or sorted({q["missing_cutoff"] for q in profile.values()}):
         store.summary(args.track_name, "missing", k)
-    files.write_mask(rewrite.mask_layers(store, args.track_name, profile, args.cutoff), args.output, profile, dataset, args.cutoff)
+    made = rewrite.mask_layers if args.positions else rewrite.mask_runs
+    files.write_mask(made(store, args.track_name, profile, args.cutoff), args.output, profile, dataset, args.cutoff)
     return 0
 
 
 def _export(spark, args) -> int:
     mask = spark.read.parquet(args.mask)
-    cutoffs = sorted(r[0] for r in mask.select("missing_cutoff").distinct().collect())
-    sets = sorted(r[0] for r in mask.select("sample_set").distinct().collect())
+    of_runs = "start" in mask.columns
+    attributes = files.mask_attributes(spark, args.mask)
+    profile = attributes["thresholds"]["sample_sets"]
+    cutoffs, sets = masks.cutoffs_of(profile, attributes.get("missing_cutoffs")), sorted(profile)
     if args.sampleset_name not in sets:
         raise SystemExit(f"unknown sample set {args.sampleset_name}; there are {', '.join(sets)}")
     if args.layer == "excluded_coverage" and args.cutoff is not None:
@@ -147,7 +152,11 @@ def _export(spark, args) -> int:
     k = cutoffs[0] if args.cutoff is None else args.cutoff
     if k not in cutoffs:
         raise SystemExit(f"unknown cutoff {k}; there are {', '.join(map(str, cutoffs))}")
-    rows = mask.where((mask["sample_set"] == args.sampleset_name) & (mask["missing_cutoff"] == k)).withColumn("accessible", mask[args.layer])
+    rows = mask.where(mask["sample_set"] == args.sampleset_name)
+    if of_runs:
+        rows = rows.where((mask["layer"] == args.layer) & F.coalesce(mask["missing_cutoff"] == k, F.lit(True)))
+    else:
+        rows = rows.where(mask["missing_cutoff"] == k).withColumn("accessible", mask[args.layer])
     lines = files.bed(rows) if args.format == "BED" else files.fasta(rows, _genome(args.genome))
     if args.parts:
         lines.write.text(args.output)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.selection import Grouping
+from ..plans.selection import Genome, Grouping
 from .track import missing, total
 
 
@@ -28,11 +28,20 @@ def layers(track: DataFrame, grouping: Grouping, profile: dict[str, dict[str, in
     profile: of each set lower_coverage, upper_coverage, missing_cutoff,
     max_missing_samples.  Given cutoffs take the place of the profile's.
     """
+    known_sets(profile, grouping)
+    return layers_from(track, *sums_and_gaps(grouping, profile, cutoffs_of(profile, cutoffs)), profile, cutoffs)
+
+
+def known_sets(profile: dict[str, dict[str, int]], grouping: Grouping) -> None:
     sets = grouping.members()
     if unknown := [n for n in profile if n not in sets]:
         raise MissingSetError(f"the profile's set {unknown[0]} isn't in the grouping; it has {', '.join(sets)}")
-    gaps = {(n, k): missing(sets[n], k) for n in profile for k in cutoffs_of(profile, cutoffs)}
-    return layers_from(track, {n: total(sets[n]) for n in profile}, gaps, profile, cutoffs)
+
+
+def sums_and_gaps(grouping: Grouping, profile: dict[str, dict[str, int]], cutoffs: Sequence[int]) -> tuple[dict[str, Column], dict[tuple[str, int], Column]]:
+    """Of each set of the profile the sum of its columns, and how many of them are missing at each cutoff."""
+    sets = grouping.members()
+    return {n: total(sets[n]) for n in profile}, {(n, k): missing(sets[n], k) for n in profile for k in cutoffs}
 
 
 def layers_from(rows: DataFrame, sums: dict[str, Column], gaps: dict[tuple[str, int], Column], profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None) -> DataFrame:
@@ -46,6 +55,21 @@ def layers_from(rows: DataFrame, sums: dict[str, Column], gaps: dict[tuple[str,
     return rows.select("contig_idx", "contig", "lpos", "pos", F.inline(F.array(*cells)))
 
 
+def layer_counts(track: DataFrame, grouping: Grouping, profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None, *keys: str) -> DataFrame:
+    """(*keys, sample_set, missing_cutoff, accessible_bp, missing_bp): how many positions the layers have, counted side by side, so a position stays one row."""
+    known_sets(profile, grouping)
+    sums, gaps = sums_and_gaps(grouping, profile, cutoffs_of(profile, cutoffs))
+    counts, rows = [], []
+    for name, p in profile.items():
+        coverage = (sums[name] < p["lower_coverage"]) | (sums[name] > p["upper_coverage"])
+        for k in cutoffs_of({name: p}, cutoffs):
+            lost = gaps[name, k] > p["max_missing_samples"]
+            at = len(rows)
+            counts += [F.count_if(~(coverage | lost)).alias(f"_a{at}"), F.count_if(lost).alias(f"_m{at}")]
+            rows.append(F.struct(F.lit(name).alias("sample_set"), F.lit(k).alias("missing_cutoff"), F.col(f"_a{at}").alias("accessible_bp"), F.col(f"_m{at}").alias("missing_bp")))
+    return track.groupBy(*keys).agg(*counts).select(*keys, F.inline(F.array(*rows)))
+
+
 def runs(mask: DataFrame, *keys: str, span: int = 1 << 20) -> DataFrame:
     """(contig_idx, contig, *keys, start, end): maximal runs of accessible positions within a contig, half-open.
 
@@ -151,6 +175,66 @@ def stored_runs(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return joined.select("contig_idx", "contig", F.get(F.array(*map(F.lit, names)), F.col("flag")).alias("name"), "start", "end")
 
 
+def union(runs: DataFrame, *keys: str) -> DataFrame:
+    """(contig_idx, contig, *keys, start, end): what any of the runs covers, as runs that neither touch nor overlap."""
+    own = ["contig_idx", "contig", *keys]
+    order = Window.partitionBy(*own).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = (reached.isNull() | (F.col("start") > reached)).cast("int")
+    rows = runs.where("start < end").withColumn("_first", first).withColumn("_run", F.sum("_first").over(order))
+    return rows.groupBy(*own, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
+def complement(runs: DataFrame, genome: Genome, key: str, names: Sequence[str]) -> DataFrame:
+    """(contig_idx, contig, key, start, end): the rest of each contig, for each of the ``names`` that ``key`` has, also where it has no runs; ``runs`` neither touch nor overlap."""
+    own = ["contig_idx", "contig", key]
+    edges = [(i, c, k, x, x) for i, (c, n) in enumerate(genome.lengths().items()) for k in names for x in {0, n}]
+    edges = runs.sparkSession.createDataFrame(edges, f"contig_idx int, contig string, `{key}` string, start long, end long")
+    rows = edges.unionByName(runs.select(*own, "start", "end"))
+    gaps = rows.withColumn("_next", F.lead("start").over(Window.partitionBy(*own).orderBy("start", "end")))
+    return gaps.where("_next > end").select(*own, F.col("end").alias("start"), F.col("_next").alias("end"))
+
+
+LAYERS = ("accessible", "excluded_coverage", "excluded_missing")
+
+
+def layer_runs(rows: DataFrame, sums: dict[str, Column], gaps: dict[tuple[str, int], Column], profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None) -> DataFrame:
+    """(contig_idx, contig, sample_set, missing_cutoff, layer, start, end): all layers of stored positions as runs, in one pass; what is excluded for its coverage has no cutoff."""
+    flags, of = {}, []
+
+    def add(name: str, cutoff: int | None, layer: str, flag: Column) -> None:
+        flags[str(len(of))] = flag
+        of.append(F.struct(F.lit(name).alias("sample_set"), F.lit(cutoff).cast("int").alias("missing_cutoff"), F.lit(layer).alias("layer")))
+
+    for name, p in profile.items():
+        coverage = (sums[name] < p["lower_coverage"]) | (sums[name] > p["upper_coverage"])
+        add(name, None, "excluded_coverage", coverage)
+        for k in cutoffs_of({name: p}, cutoffs):
+            lost = gaps[name, k] > p["max_missing_samples"]
+            add(name, k, "excluded_missing", lost)
+            add(name, k, "accessible", ~(coverage | lost))
+    runs = stored_runs(rows, flags)
+    return runs.select("contig_idx", "contig", F.get(F.array(*of), F.col("name").cast("int")).alias("_of"), "start", "end").select("contig_idx", "contig", "_of.*", "start", "end")
+
+
+def lines_of_runs(runs: DataFrame, genome: Genome, width: int = 70) -> DataFrame:
+    """(contig_idx, contig, line, bits): FASTA lines of 0 and 1, of the runs of one layer; as many rows as there are lines."""
+    contigs = [(i, c, n) for i, (c, n) in enumerate(genome.lengths().items()) if n]
+    table = runs.sparkSession.createDataFrame(contigs, "contig_idx int, contig string, n long")
+    step = 1 << 16
+    spread = lambda rows, first, last: rows.select("*", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("_at")).select("*", F.explode(F.sequence("_at", F.least(F.col("_at") + step - 1, last))).alias("line"))
+    last = F.floor((F.col("n") - 1) / width)
+    axis = spread(table.repartition("contig_idx"), F.lit(0).cast("long"), last).select("contig_idx", "contig", "line", F.least(F.lit(width).cast("long"), F.col("n") - F.col("line") * width).alias("size"))
+    cut = spread(runs, F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
+    start = F.col("line") * width
+    parts = cut.select("contig_idx", "line", F.struct((F.greatest("start", start) - start).cast("int").alias("a"), (F.least("end", start + width) - start).cast("int").alias("b")).alias("part"))
+    parts = parts.groupBy("contig_idx", "line").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    drawn = lambda s, p: F.struct(p["b"].alias("at"), F.concat(s["bits"], F.repeat(F.lit("0"), p["a"] - s["at"]), F.repeat(F.lit("1"), p["b"] - p["a"])).alias("bits"))
+    bits = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.lit("").alias("bits")), drawn)["bits"]
+    rows = axis.join(parts.withColumn("bits", bits), ["contig_idx", "line"], "left")
+    return rows.select("contig_idx", "contig", "line", F.rpad(F.coalesce("bits", F.lit("")), F.col("size").cast("int"), F.lit("0")).alias("bits"))
+
+
 def lines(mask: DataFrame, width: int = 70) -> DataFrame:
     """(contig_idx, contig, line, bits): FASTA lines of 0 and 1."""
     digit = F.when(F.col("accessible"), "1").otherwise("0")

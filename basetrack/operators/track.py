@@ -6,8 +6,10 @@ and cutoffs is one scan without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,25 @@ def summaries(track: DataFrame, grouping: Grouping, cutoffs: Sequence[int] = (),
     return track.select("pos", *keep, *sums, *gaps)
 
 
+def array_summaries(rows: DataFrame, grouping: Grouping, metrics: Sequence[int | None]) -> DataFrame:
+    """pos, contig_idx, lpos and columns c0, c1, ... of ``rows`` (pos, contig_idx, lpos, array of all columns): for each metric (None: the sum; a cutoff: columns at it or below) one of each set.
+
+    A batch of arrays is a matrix, multiplied by the sets' membership; sums of
+    integers below 2 ** 53 are exact.
+    """
+    member = np.array([[c in m for _, m in grouping.sets] for c in grouping.columns], np.float64)
+    names = [f"c{i}" for i in range(len(metrics) * len(grouping.sets))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            out = [(cells if k is None else cells <= k).astype(np.float64) @ member for k in metrics]
+            columns = np.concatenate(out, axis=1).astype(np.int64) if len(batch) else np.zeros((0, len(names)), np.int64)
+            yield pa.record_batch([*batch.columns[:3], *map(pa.array, columns.T)], names=["pos", "contig_idx", "lpos", *names])
+
+    return rows.mapInArrow(run, "pos long, contig_idx int, lpos long, " + ", ".join(f"{n} long" for n in names))
+
+
 def by_set(track: DataFrame, values: dict[str, Column], name: str = "value", *keep: str) -> DataFrame:
     """(sample_set, value): one row for each position and set, made behind one scan."""
     pairs = F.array(*[F.struct(F.lit(n).alias("sample_set"), v.cast("long").alias(name)) for n, v in values.items()])

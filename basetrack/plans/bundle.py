@@ -144,7 +144,7 @@ class Pages:
             by_folder.setdefault(self._folder(r, m), []).append((T.at(r), cell if where is None else F.when(where, cell)))
         rows = None
         for folder, cells in by_folder.items():
-            one = self.store.spark.read.parquet(f"{self.store.path}/{folder}")
+            one = self.store.read(self.name) if folder == self.store.entries[self.name].data else self.store.spark.read.parquet(f"{self.store.path}/{folder}")
             if all(where is not None for where, _ in cells):  # nothing outside of all of them is read
                 inside = cells[0][0]
                 for where, _ in cells[1:]:
@@ -163,11 +163,9 @@ class Pages:
         return self.store.entries[source_of(self.store, self.name, r, metric)[0]].data
 
     def _number(self, r: Resolved, metric: int | None):
-        """The table to read and the number in it, in its stored columns."""
+        """The table to read and the number in it: of the track's labels, or of a summary's stored columns."""
         name, _ = source_of(self.store, self.name, r, metric)
+        if name == self.name:
+            return name, T.total(r.columns) if metric is None else T.missing(r.columns, metric)
         e = self.store.entries[name]
-        at = dict(zip(e.labels, e.stored()))
-        if name != self.name:
-            return name, F.col(at[self.store.entries[self.name].grouping().matching(r.columns)])
-        columns = [at[c] for c in r.columns]
-        return name, T.total(columns) if metric is None else T.missing(columns, metric)
+        return name, F.col(dict(zip(e.labels, e.stored()))[self.store.entries[self.name].grouping().matching(r.columns)])

@@ -102,12 +102,21 @@ def sum_hists(store: Store, name: str, max_positions: int = 0) -> DataFrame:
 
 def mask_layers(store: Store, name: str, profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None) -> DataFrame:
     """As ``masks.layers``, from the columns of the sets in the summaries if these have all that is asked for in one table; else from the track."""
-    grouping, fresh = store.entries[name].grouping(), store.summaries(name)
-    used = [fresh.get(k) for k in (None, *M.cutoffs_of(profile, cutoffs))]
-    if None in used or len({e.data for e in used}) > 1 or not set(profile) <= set(grouping.members()):
-        return M.layers(store.read(name), grouping, profile, cutoffs)
+    return M.layers_from(*_sums_and_gaps(store, name, profile, cutoffs), profile, cutoffs)
+
+
+def mask_runs(store: Store, name: str, profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None = None) -> DataFrame:
+    """As ``masks.layer_runs``, from where ``mask_layers`` reads."""
+    return M.layer_runs(*_sums_and_gaps(store, name, profile, cutoffs), profile, cutoffs)
+
+
+def _sums_and_gaps(store: Store, name: str, profile: dict[str, dict[str, int]], cutoffs: Sequence[int] | None) -> tuple[DataFrame, dict[str, Column], dict[tuple[str, int], Column]]:
+    """Rows with the sum of each set of the profile, and its missing columns at each cutoff."""
+    grouping, fresh, every = store.entries[name].grouping(), store.summaries(name), M.cutoffs_of(profile, cutoffs)
+    M.known_sets(profile, grouping)
+    used = [fresh.get(k) for k in (None, *every)]
+    if None in used or len({e.data for e in used}) > 1:
+        return store.read(name), *M.sums_and_gaps(grouping, profile, every)
     at = {e.attributes["missing_cutoff"]: dict(zip(e.labels, e.stored())) for e in used}
-    sums = {n: F.col(at[None][n]) for n in profile}
-    gaps = {(n, k): F.col(at[k][n]) for n in profile for k in at if k is not None}
     rows = store.stored_rows(used[0].name).select(*store.axis(), *{c for of in at.values() for n, c in of.items() if n in profile})
-    return M.layers_from(rows, sums, gaps, profile, cutoffs)
+    return rows, {n: F.col(at[None][n]) for n in profile}, {(n, k): F.col(at[k][n]) for n in profile for k in every}

@@ -198,7 +198,7 @@ def thresholds(s, d):
 
 
 def threshold_table(s, d):
-    hist = _sums(s, d)
+    hist = R.sum_hists(store(s, d), "depth").withColumnRenamed("selection", "sample_set")
     return H.threshold_table(hist, H.thresholds(hist), GROUPING, genome(s, d).size)
 
 
@@ -300,6 +300,25 @@ def summary_masks(s, d):
     return rows.groupBy("contig", "sample_set", "missing_cutoff").agg(F.count_if("accessible").alias("accessible_bp"))
 
 
+def _mask_store(s, d):
+    """A mask of runs, written and read again."""
+    at = folder(s)
+    files.write_mask(R.mask_runs(store(s, d), "depth", LIMITS, [12, 3]), f"{at}/mask", LIMITS, "", [12, 3])
+    return s.read.parquet(f"{at}/mask")
+
+
+def mask_store_bp(s, d):
+    """Accessible positions of each contig, set and cutoff as sums of stored runs."""
+    rows = _mask_store(s, d).where("layer = 'accessible'").groupBy("contig", "sample_set", "missing_cutoff").agg(F.sum(F.col("end") - F.col("start")).alias("accessible_bp"))
+    return rows
+
+
+def mask_store_layers(s, d):
+    """What is accessible as the rest of what is excluded for coverage or for missing samples, all from stored runs."""
+    runs = _mask_store(s, d).where("layer != 'accessible' AND coalesce(missing_cutoff, 3) = 3").drop("missing_cutoff")
+    return M.complement(M.union(runs, "sample_set"), genome(s, d), "sample_set", list(LIMITS)).select("contig", "sample_set", "start", "end")
+
+
 def mask_runs(s, d):
     """Runs of every layer of every set in one pass over the stored track."""
     sums = {n: (T.total(c) < LIMITS[n]["lower_coverage"]) | (T.total(c) > LIMITS[n]["upper_coverage"]) for n, c in SETS.items()}
@@ -344,8 +363,7 @@ def mask_layers(s, d):
 
 
 def mask_multi_cutoff(s, d):
-    rows = M.layers(depth(s, d), GROUPING, LIMITS, [12, 3])
-    return rows.groupBy("sample_set", "missing_cutoff").agg(F.count_if("accessible").alias("accessible_bp"), F.count_if("excluded_missing").alias("missing_bp"))
+    return M.layer_counts(depth(s, d), GROUPING, LIMITS, [12, 3]).select("sample_set", "missing_cutoff", "accessible_bp", "missing_bp")
 
 
 def mask_bed(s, d):
@@ -353,11 +371,10 @@ def mask_bed(s, d):
 
 
 def mask_bp(s, d):
-    rows = M.layers(depth(s, d), GROUPING, LIMITS)
-    return rows.groupBy("contig", "sample_set").agg(F.count_if("accessible").alias("accessible_bp"))
+    return M.layer_counts(depth(s, d), GROUPING, LIMITS, None, "contig").select("contig", "sample_set", "accessible_bp")
 
 
-_ALL = [track_sum, track_missingness, preprocess_multi_cutoff, sel_track, sel_columns, sel_merge_adjacent, sel_stride, hist_coverage, hist_sum_sets, hist_missing_sets, hist_coverage_contigs, hist_missing_adhoc, hist_bundle, hist_summary_rewrite, hist_many, hist_beyond_cap, hist_pages, hist_stale_summary, hist_scaled, hist_fold, hist_stats, hist_boxplot, hist_quantile, thresholds, threshold_table, contig_means, group_counts, group_membership, selection_overview, active_genome, sel_intervals, coverage_table, coverage_indicators, contigs_filtered, missingness_table, contig_scatter, window_starts, window_starts_intervals, window_means, window_cov, window_moments, pca_variance, pca_scores, pca_invariants, mask_layers, mask_multi_cutoff, mask_bed, mask_bp, mask_runs, summary_masks, import_runs]
+_ALL = [track_sum, track_missingness, preprocess_multi_cutoff, sel_track, sel_columns, sel_merge_adjacent, sel_stride, hist_coverage, hist_sum_sets, hist_missing_sets, hist_coverage_contigs, hist_missing_adhoc, hist_bundle, hist_summary_rewrite, hist_many, hist_beyond_cap, hist_pages, hist_stale_summary, hist_scaled, hist_fold, hist_stats, hist_boxplot, hist_quantile, thresholds, threshold_table, contig_means, group_counts, group_membership, selection_overview, active_genome, sel_intervals, coverage_table, coverage_indicators, contigs_filtered, missingness_table, contig_scatter, window_starts, window_starts_intervals, window_means, window_cov, window_moments, pca_variance, pca_scores, pca_invariants, mask_layers, mask_multi_cutoff, mask_bed, mask_bp, mask_runs, mask_store_bp, mask_store_layers, summary_masks, import_runs]
 
 
 def queries():
@@ -475,6 +492,8 @@ def oracle_sql():
     q["window_cov"] = (_WINDOWS, _union(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 8) AS covariance FROM wm" for i, a in enumerate(SAMPLES) for b in SAMPLES[i:]))
     q["window_moments"] = (_WINDOWS, _union(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(avg({a}), 8) AS mean_a, round(covar_samp({a}, {b}), 8) AS covariance FROM wm" for i, a in enumerate(SAMPLES) for b in SAMPLES[i:]))
     q["summary_masks"] = (_layers([3, 12]), "SELECT contig, sample_set, missing_cutoff, count(*) FILTER (accessible) AS accessible_bp FROM m GROUP BY ALL")
+    q["mask_store_bp"] = (_layers([3, 12]), "SELECT contig, sample_set, missing_cutoff, count(*) AS accessible_bp FROM m WHERE accessible GROUP BY ALL")
+    q["mask_store_layers"] = (_layers([3]), "SELECT contig, sample_set, min(lpos) AS start, max(lpos) + 1 AS \"end\" FROM (SELECT contig, sample_set, lpos, lpos - row_number() OVER (PARTITION BY contig, sample_set ORDER BY lpos) AS g FROM m WHERE accessible) GROUP BY contig, sample_set, g")
     q["mask_runs"] = (_layers([3]), "SELECT contig, sample_set, min(lpos) AS start, max(lpos) + 1 AS \"end\" FROM (SELECT contig, sample_set, lpos, lpos - row_number() OVER (PARTITION BY contig, sample_set ORDER BY lpos) AS g FROM m WHERE NOT excluded_coverage) GROUP BY contig, sample_set, g")
     q["import_runs"] = "SELECT contig, lpos, pos, s1, s6 FROM d"
     q["mask_layers"] = (_layers([3]), "SELECT pos, sample_set, excluded_coverage, excluded_missing, accessible FROM m")

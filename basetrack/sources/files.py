@@ -132,9 +132,9 @@ def default_profile(limits: DataFrame, grouping: Grouping, cutoff: int) -> dict[
 
 
 def bed(mask: DataFrame) -> DataFrame:
-    """(value): lines of the runs of a mask, in genome order."""
-    runs = masks.stored_runs(mask, {"": F.col("accessible")}).orderBy("contig_idx", "start")
-    return runs.select(F.concat_ws("\t", "contig", "start", "end").alias("value"))
+    """(value): lines of the runs of a mask, in genome order; a mask may be of positions or of runs."""
+    runs = mask if "start" in mask.columns else masks.stored_runs(mask, {"": F.col("accessible")})
+    return runs.orderBy("contig_idx", "start").select(F.concat_ws("\t", "contig", "start", "end").alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -154,7 +154,7 @@ MASK_ATTRIBUTES = "_attributes"
 
 
 def write_mask(mask: DataFrame, path: str, profile: dict[str, dict[str, int]], dataset_id: str, cutoffs: Sequence[int] | None = None) -> None:
-    """A new mask with what it was made of: the thresholds, and the cutoffs that took the place of theirs."""
+    """A new mask, of positions or of runs, with what it was made of: the thresholds, and the cutoffs that took the place of theirs."""
     mask.write.mode("errorifexists").parquet(path)
     given = {"schema_version": PROFILE_VERSION, "thresholds": {"schema_version": PROFILE_VERSION, "dataset_id": dataset_id, "sample_sets": profile}}
     if cutoffs is not None:
@@ -171,7 +171,8 @@ def fasta(mask: DataFrame, genome: Genome, width: int = 70) -> DataFrame:
     """(value): FASTA lines in order; every contig has a header, one without positions an empty line."""
     heads = mask.sparkSession.createDataFrame([(i, -1, f">{c}") for i, c in enumerate(genome.contigs)], "contig_idx int, line long, value string")
     none = [(i, 0, "") for i, n in enumerate(genome.lengths().values()) if not n]
-    rows = heads.unionByName(masks.lines(mask, width).select("contig_idx", "line", F.col("bits").alias("value")))
+    bits = masks.lines_of_runs(mask, genome, width) if "start" in mask.columns else masks.lines(mask, width)
+    rows = heads.unionByName(bits.select("contig_idx", "line", F.col("bits").alias("value")))
     if none:
         rows = rows.unionByName(mask.sparkSession.createDataFrame(none, "contig_idx int, line long, value string"))
     return rows.orderBy("contig_idx", "line").select("value")

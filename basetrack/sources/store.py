@@ -1,6 +1,8 @@
 """Stores: a folder of Parquet tracks under a catalog of versions.
 
 A track is wide: pos, contig_idx, lpos and a column c0, c1, ... for each label.
+Of more than ARRAY_FROM labels it has one array column instead, which code made
+for columns couldn't handle; sets are then summed in numpy, a batch at a time.
 Data are never overwritten: what is written goes to a folder of its own.  A
 commit publishes the next version of the catalog, one JSON text of all entries
 (labels, genome, groupings, folders and, for summaries, which version of which
@@ -37,6 +39,9 @@ MIN_POSITIONS = int(os.environ.get("BASETRACK_MIN_POSITIONS", 100_000))
 FORMAT = 2
 INHERITED = ("version", "coordinates", "genome_checksum")
 ATTEMPTS = 20
+# labels beyond which a track is stored as arrays
+ARRAY_FROM = 1000
+ARRAY = "cells"
 
 
 class StoreNotFoundError(FileNotFoundError):
@@ -100,6 +105,12 @@ class Entry:
     def stored(self) -> list[str]:
         return self.columns or [f"c{i}" for i in range(len(self.labels))]
 
+    def cells(self) -> list[Column]:
+        """Of stored rows: a column for each label."""
+        if self.columns == [ARRAY]:
+            return [F.get(ARRAY, F.lit(i)).alias(c) for i, c in enumerate(self.labels)]
+        return [F.col(k).alias(c) for k, c in zip(self.stored(), self.labels)]
+
 
 class Store:
     """A version of a store; ``entries`` are those of that version."""
@@ -191,12 +202,14 @@ class Store:
         n = max(1, -(-entry.genome.size // size))
         checksum = hashlib.md5("|".join(map(str, [*entry.contigs, *entry.offsets])).encode()).hexdigest()
         version = uuid.uuid4().hex
-        cells = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(entry.labels)]
+        cells = [F.col(f"`{c}`") for c in entry.labels]
+        as_array = len(cells) > ARRAY_FROM
+        cells = [F.array(*cells).cast("array<int>").alias(ARRAY)] if as_array else [c.alias(f"c{i}") for i, c in enumerate(cells)]
         sorted_rows = rows.select("pos", "contig_idx", "lpos", *cells).repartitionByRange(n, "pos").sortWithinPartitions("pos")
         data = f"{entry.name}-{version}"
         sorted_rows.write.mode("errorifexists").parquet(f"{self.path}/{data}")
         attributes = {"version": FORMAT, "coordinates": "0-based half-open", "genome_checksum": checksum} | entry.attributes | {"written_ns": time.time_ns()}
-        self.commit(replace(entry, attributes=attributes, data=data, columns=None, version=version))
+        self.commit(replace(entry, attributes=attributes, data=data, columns=[ARRAY] if as_array else None, version=version))
 
     def stored_rows(self, name: str) -> DataFrame:
         """The table that a track is columns of, as it is stored."""
@@ -205,7 +218,7 @@ class Store:
     def read(self, name: str) -> DataFrame:
         """contig, contig_idx, len, lpos, pos and a column for each label."""
         e = self.entries[name]
-        return self.stored_rows(name).select(*self.axis(), *[F.col(k).alias(c) for k, c in zip(e.stored(), e.labels)])
+        return self.stored_rows(name).select(*self.axis(), *e.cells())
 
     def axis(self) -> list[Column]:
         """contig, contig_idx, len, lpos and pos of stored rows."""
@@ -243,17 +256,20 @@ class Store:
         if grouping is None and len(e.groupings) > 1:
             raise ValueError(f"{name} has several groupings; name one")
         g = e.grouping()
-        sets, cells, entries = g.members(), [], []
+        sets, cells, metrics, entries = g.members(), [], [], []
         kept = {k: e.attributes[k] for k in INHERITED if k in e.attributes}
         jobs = [("sum", None, f"{name}_sum")] * sums + [("missing", k, f"{name}_missing_cutoff={k}") for k in sorted(set(cutoffs))]
         version = uuid.uuid4().hex
         data = f"_summaries/{name}-{version}"
         for kind, k, summary in jobs:
             columns = [f"c{len(cells) + i}" for i in range(len(sets))]
-            cells += [(T.total(c) if kind == "sum" else T.missing(c, k)).alias(x) for x, c in zip(columns, sets.values())]
+            metrics.append(k)
+            cells += [(T.total(c) if kind == "sum" else T.missing(c, k)).alias(x) for x, c in zip(columns, sets.values())] if e.columns != [ARRAY] else columns
             attributes = kept | {"source_track": name, "source_version": e.version, "kind": kind, "missing_cutoff": k, "grouping_hash": g.digest(), "written_ns": time.time_ns()}
             entries.append(Entry(summary, list(sets), e.contigs, e.offsets, SAMPLE_SET, {}, attributes, data, columns, version))
-        self.read(name).select("pos", "contig_idx", "lpos", *cells).write.parquet(f"{self.path}/{data}")
+        axis = ("pos", "contig_idx", "lpos")
+        rows = T.array_summaries(self.stored_rows(name).select(*axis, ARRAY), g, metrics) if e.columns == [ARRAY] else self.read(name).select(*axis, *cells)
+        rows.write.parquet(f"{self.path}/{data}")
         self.commit(e, *entries, of=[before])
         return [entry.name for entry in entries]
 

@@ -6,9 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basetrack.__main__ import main
 from basetrack.operators import masks, pca
-from basetrack.plans.selection import Genome, Intervals
+from basetrack.plans import rewrite
+from basetrack.plans.bundle import Pages
+from basetrack.plans.selection import Coordinates, Genome, Grouping, Intervals
 from basetrack.sources import derived, files
+from basetrack.sources.store import Entry, Store
 
 SF = "/root/testdata/sf0.001"
 
@@ -145,3 +149,63 @@ def test_profile_of_state():
     assert got["pop1"] == {"lower_coverage": 1, "upper_coverage": 10, "missing_cutoff": 5, "max_missing_samples": 2} and list(got) == list(limits)
     with pytest.raises(KeyError):
         files.profile_of_state({}, {}, grouping, 5)
+
+
+def test_many_samples_are_arrays(spark, tmp_path):
+    """2,000 samples: sets summed and counted as by numpy, without an expression for each sample; single columns as from a wide track."""
+    n, names = 120, [f"n{i}" for i in range(2000)]
+    data = np.random.default_rng(4).integers(0, 60, (n, 2000))
+    rows = [(i, 0, i, *map(int, r)) for i, r in enumerate(data)]
+    table = spark.createDataFrame(rows, "pos long, contig_idx int, lpos long, " + ", ".join(f"{c} int" for c in names))
+    store = Store.create(spark, str(tmp_path / "s"))
+    store.write(Entry("depth", names, ["c"], [0, n]), table)
+    assert store.stored_rows("depth").columns == ["pos", "contig_idx", "lpos", "cells"]
+    sets = Grouping.of(names, [(c, "odd") for c in names[1::2]] + [(c, "few") for c in names[:3]])
+    store.preprocess("depth", sets, [3, 9])
+    for name, cells in (("depth_sum", data), ("depth_missing_cutoff=3", data <= 3), ("depth_missing_cutoff=9", data <= 9)):
+        got = store.read(name).orderBy("pos").select("ALL", "few", "odd").collect()
+        expected = np.stack([cells.sum(axis=1), cells[:, :3].sum(axis=1), cells[:, 1::2].sum(axis=1)], axis=1)
+        assert np.array_equal(np.array(got), expected)
+    assert [r[1] for r in store.column("depth", "n7").orderBy("pos").collect()] == data[:, 7].tolist()
+    pages = Pages(store, "depth")
+    got = pages.coverage({"two": Coordinates(None, ("n5", "n6")), "odd": Coordinates().with_sample_sets(["odd"])})
+    assert got["two"] == dict(zip(*(x.tolist() for x in np.unique(data[:, 5] + data[:, 6], return_counts=True)))) and sum(got["odd"].values()) == n
+
+
+def test_masks_of_runs(spark, tmp_path, capsys):
+    """What a mask of runs says is what one of positions says; unions and complements of runs; files from both."""
+    g = derived.genome(spark, SF)
+    store = derived.store(spark, SF)
+    profile = {n: {"lower_coverage": 20, "upper_coverage": 200, "missing_cutoff": 3, "max_missing_samples": 1} for n in ("ALL", "pop1")}
+    runs, rows = rewrite.mask_runs(store, "depth", profile, [3, 12]), masks.layers(store.read("depth"), derived.GROUPING, profile, [3, 12])
+    found = runs.collect()
+    for layer in masks.LAYERS:
+        for name in profile:
+            for k in (3, 12):
+                own = {(r["contig_idx"], p) for r in found if r["layer"] == layer and r["sample_set"] == name and r["missing_cutoff"] in (None, k) for p in range(r["start"], r["end"])}
+                assert own == {(r[0], r[1]) for r in rows.where(F.col(layer) & (F.col("sample_set") == name) & (F.col("missing_cutoff") == k)).select("contig_idx", "lpos").collect()}
+    files.write_mask(runs, str(tmp_path / "runs"), profile, "", [3, 12])
+    files.write_mask(rows, str(tmp_path / "rows"), profile, "", [3, 12])
+    (tmp_path / "genome").write_text("".join(f"{c}\t{n}\n" for c, n in g.lengths().items()))
+    for layer, k in (("accessible", "12"), ("excluded_missing", "3"), ("excluded_coverage", None)):
+        for form in ("BED", "FASTA"):
+            texts = []
+            for kind in ("runs", "rows"):
+                out = str(tmp_path / f"{kind}-{layer}.{form}")
+                assert main(["export", str(tmp_path / kind), out, "-O", form, "--layer", layer, "--genome", str(tmp_path / "genome"), *(["--cutoff", k] if k else [])]) == 0
+                texts.append(open(out).read())
+            assert texts[0] == texts[1] and len(texts[0]) > 20
+    with pytest.raises(SystemExit, match="unknown cutoff"):
+        main(["export", str(tmp_path / "runs"), str(tmp_path / "x"), "--cutoff", "4"])
+
+
+def test_unions_and_complements_of_runs(spark):
+    rng = random.Random(6)
+    g = Genome.of([("a", 50), ("b", 0), ("c", 9)])
+    rows = [(i, "abc"[i], k, a, min(a + rng.randint(0, 8), n)) for i, n in ((0, 50), (2, 9)) for k in ("x", "y") for a in rng.sample(range(n), 6) if (i, k) != (2, "y")]
+    table = spark.createDataFrame(rows, "contig_idx int, contig string, k string, start long, end long")
+    at = lambda found: {(r["contig_idx"], r["k"], p) for r in found for p in range(r["start"], r["end"])}
+    joint = masks.union(table, "k").collect()
+    assert at(joint) == {(i, k, p) for i, _, k, a, b in rows for p in range(a, b)} and sum(r["end"] - r["start"] for r in joint) == len(at(joint))
+    rest = masks.complement(masks.union(table, "k"), g, "k", ["x", "y", "z"]).collect()
+    assert at(rest) == {(i, k, p) for i, n in ((0, 50), (2, 9)) for k in "xyz" for p in range(n)} - at(joint)
