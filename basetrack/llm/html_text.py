@@ -15,7 +15,11 @@ Within the container menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out by tag, role, class or
 id, also where the class names the article as well (``post-footer``,
 ``main-menu``): of a name's words the last one says what it is, and some say it
-anywhere in it.  A <header>, that of the article itself included, is a header
+anywhere in it.  Words that articles use too (``related``, ``share``) say it
+only of elements that hold others, and only if nothing but words for lists and
+boxes stands beside them: ``related-posts`` goes, ``related-work`` stays.  Of these the ones that
+a section of an article may have for its whole name (``discussion``) go only
+if over half of their text is links or if they hold a form or comments.  A <header>, that of the article itself included, is a header
 and left out; a heading outside of one stays.  Character references are
 decoded, white space inside a block becomes one space, and blocks are joined by
 a line feed.
@@ -57,12 +61,22 @@ CLOSES_P = BLOCK - {"html", "body"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words of class names and ids of what isn't the article, anywhere in a name.
 OUT = frozenset(
-    """ad ads advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion promotions promotional banner banners
+    """ad ads advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion promotions promotional
     navbar breadcrumb breadcrumbs pagination pager masthead topbar bottombar copyright colophon
-    sidebar sidebars widget widgets related recommended recommendations trending popular teaser teasers
-    cookie cookies consent gdpr popup modal overlay paywall toast newsletter subscribe subscription signup login
-    comment comments commentlist respond disqus discussion share sharing social socials searchbox""".split()
+    sidebar sidebars widget widgets cookie cookies consent gdpr popup modal overlay paywall toast newsletter subscribe subscription signup login
+    comment comments commentlist respond disqus searchbox""".split()
 )
+# Words that say so if all other words of the name are of LISTS.
+OFTEN_OUT = frozenset("related recommended recommendations trending popular discussion discussions share sharing social socials banner banners teaser teasers".split())
+# Those of them that may be all of the name of an article's section.
+MAY_BE_OWN = frozenset("related recommended recommendations trending popular discussion discussions".split())
+# Words of names that say what kind of box or list an element is.
+LISTS = frozenset(
+    """article articles post posts story stories entry entries news item items list lists link links button buttons bar box block icon icons media page pages product products topic topics
+    read reads section container wrapper wrap area group row column panel module more most this on us tool tools content site top main hero image images""".split()
+)
+# Elements that hold others.
+HOLDERS = frozenset("div section ul ol dl table article main center figure td".split())
 # Words that say the same unless the last word of the name is one of the article's.
 OUT_LAST = frozenset("nav navigation navi menu menus toc header footer foot aside rail notice notices alert alerts disclaimer reply replies follow tags meta byline form search hidden".split())
 # Words of class names and ids of what is the article.
@@ -70,8 +84,9 @@ IN = frozenset("article main content post entry story body text page".split())
 # Words of names that say what is beside an element, not what it is.
 BESIDE = frozenset("with has no without show".split())
 # What makes even an <article> no part of the article.
-NOT_OWN = frozenset("comment comments related teaser teasers".split())
-tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+NOT_OWN = frozenset("comment comments teaser teasers".split())
+# a tag whose quotes don't close ends at its first >
+tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 attribute = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 word = re.compile(r"[A-Za-z]+")
 humps = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -121,29 +136,52 @@ def names_of(attributes: str) -> tuple[list[list[str]], str, bool]:
     return [n for n in own if n], general, hidden
 
 
+def often_out(names: list[list[str]]) -> tuple[bool, bool]:
+    """Whether a name says by words that articles use too that an element is none of theirs, and whether that is certain."""
+    said, certain = False, False
+    for n in names:
+        own = [w for w in n if w not in LISTS]
+        if own and OFTEN_OUT.issuperset(own):
+            said = True
+            certain = certain or len(own) < len(n) or not MAY_BE_OWN.issuperset(own)
+    return said, certain
+
+
 def is_out(name: str, names: list[list[str]], hidden: bool) -> bool:
     """Whether an element can't be part of the article."""
     if name in HEAD or hidden:
         return True
     names = [n for n in names if not BESIDE.intersection(n)]
     if name in ("article", "main", "body", "html"):
-        return any(NOT_OWN.intersection(n) for n in names) and name == "article"
-    if any(OUT.intersection(n) for n in names):
+        return name == "article" and (any(NOT_OWN.intersection(n) for n in names) or often_out(names)[0])
+    if any(OUT.intersection(n) for n in names) or name in HOLDERS and often_out(names)[1]:
         return True
     own = name in ("div", "section") and any(IN.intersection(n) and not OUT_LAST.intersection(n) for n in names)
     return any(OUT_LAST.intersection(n) and (n[-1] in OUT_LAST if IN.intersection(n) else not own) for n in names)
 
 
+def may_be_out(name: str, names: list[list[str]]) -> bool:
+    """Whether what an element holds decides."""
+    return name in HOLDERS and name != "article" and often_out([n for n in names if not BESIDE.intersection(n)])[0]
+
+
+# What shows that readers write or choose there.
+READERS_TAGS = frozenset("form textarea input button select".split())
+READERS_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+
+
 # the path of a whole page
 WHOLE = 0
 
 
 class Node:
-    __slots__ = ("name", "path", "out", "weight", "text", "links")
+    __slots__ = ("name", "path", "out", "weight", "text", "links", "start", "readers")
 
     def __init__(self, name, path, out, weight):
         self.name, self.path, self.out, self.weight = name, path, out, weight
         self.text = self.links = 0
+        self.start: int | None = None  # of what is taken from it, if what it holds decides whether it is out
+        self.readers = False
 
 
 def containers(page: str | None, wanted: int | None = None) -> tuple[list[Node], list[str]]:
@@ -175,6 +213,10 @@ def containers(page: str | None, wanted: int | None = None) -> tuple[list[Node],
                 depth_link -= 1
             if not node.out and node.path == wanted and node.name in CONTAINER:
                 inside -= 1
+            if node.start is not None and (node.readers or 2 * node.links > node.text):
+                del taken[node.start :]
+                node.out = True
+            up.readers = up.readers or node.readers
             if not node.out:
                 up.text += node.text
                 up.links += node.links
@@ -220,6 +262,10 @@ def containers(page: str | None, wanted: int | None = None) -> tuple[list[Node],
             if name in CONTAINER:
                 weight = 3 * (name in ("article", "main")) + any(IN.intersection(n) for n in names)
             node = Node(name, xxhash.xxh64_intdigest(f"{name}.{general}".encode("utf-8", "replace"), up.path) >> 1, out, weight)
+            if not out and may_be_out(name, names):
+                flush()
+                node.start = len(taken)
+            node.readers = name in READERS_TAGS or any(READERS_WORDS.intersection(n) for n in names)
             stack.append(node)
             open_names[name] += 1
             if name == "a":

@@ -120,3 +120,50 @@ def test_more_hosts_than_are_broadcast(spark, monkeypatch):
     first = sorted(map(tuple, html_text.query(table).collect()))
     monkeypatch.setattr(html_text, "MOST_SENT", 0)
     assert sorted(map(tuple, html_text.query(table).collect())) == first
+
+
+def test_sections_of_an_article_keep_ordinary_words():
+    own = '<section id="discussion"><h2>Discussion</h2><p>We discuss.</p></section><section class="related-work"><p>Others.</p></section><p class="popular">A popular one.</p><div><span class="social-science">Science.</span></div><div class="banner-year">A year.</div>'
+    page = f"<article><p>{LONG}</p>{own}<p>End.</p></article>"
+    assert html_text.text_at(page, None).split("\n")[1:] == ["Discussion", "We discuss.", "Others.", "A popular one.", "Science.", "A year.", "End."]
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        '<div class="related"><a href=x>One</a> <a href=y>Two</a></div>',
+        '<section id="discussion"><p>Nice.</p><div class="comment">I agree with all of this.</div></section>',
+        '<div id="discussion">Say something <form><input></form></div>',
+        '<ul class="popular"><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>',
+        '<div class="popular-stories">One. Two.</div><div class="social">Tell others</div><div class="share-buttons">x</div>',
+        '<article class="related">Another article.</article><div class="banner">Buy</div>',
+    ],
+)
+def test_lists_and_readers_go_whatever_word_names_them(block):
+    page = f"<article><p>{LONG}</p>{block}<p>End.</p></article>"
+    assert html_text.text_at(page, None) == f"{LONG.strip()}\nEnd."
+
+
+def test_a_quote_that_is_not_closed():
+    assert html_text.text_at(f'<article><p>{LONG}</p><p title="a>lost</p><p>End.</p></article>', None) == f"{LONG.strip()}\nlost\nEnd."
+    assert html_text.text_at(f"<article><p title='b'>{LONG}</p><p title='a", None) == LONG.strip()
+
+
+def test_hosts_with_tied_votes_and_pages_without_the_path(spark):
+    """Ties go to the larger score, then the larger path; a page without the host's path is read by itself; all by counting the votes in Python."""
+    page = '<body><div class="{}"><p>{}</p></div><div class="{}"><p>{}</p></div></body>'
+    rows = [(i, "http://a.org/x", page.format("one", LONG * (1 + i % 2), "two", LONG * (2 - i % 2))) for i in range(4)]
+    rows += [(10 + i, "http://b.org/x", page.format("c", LONG, "d", "short")) for i in range(3)] + [(20, "http://b.org/y", page.format("e", LONG, "d", "short"))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {}
+    for host in ("a", "b"):
+        own = [(i, h) for i, u, h in rows if f"//{host}." in u]
+        votes = {}
+        for _, h in own:
+            path, score = html_text.best(h)
+            n, total = votes.get(path, (0, 0))
+            votes[path] = n + 1, total + round(score)
+        winner = max((*v, p) for p, v in votes.items())[2]
+        expected |= {i: html_text.text_at(h, winner) for i, h in own}
+    got = {r["page_id"]: r["text"] for r in html_text.query(table).collect()}
+    assert got == expected and got[20] == LONG.strip() and len({got[i] for i in range(4)}) == 2
