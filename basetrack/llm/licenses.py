@@ -6,6 +6,10 @@ found; every run of half a block's words stands in one of them.  Words are lower
 case, ASCII punctuation apart.  A licence template is found where its window, a
 ``SPREAD`` of its own length in consecutive words, holds at least ``threshold``
 of its distinct words; words further apart than that don't count together.
+Templates of different labels may have nearly the same words (``need`` and
+``window``): more words must be there than a template shares with any of another
+label, and one whose words all stand in such a one must stand there whole, with
+no word between, so a notice isn't named after a licence it only resembles.
 
 Blocks and templates are joined as sets.  Template words are in one order, by
 how many blocks of the whole corpus have them, rarest first.  A block that meets
@@ -67,6 +71,8 @@ TEMPLATES = [
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
 
@@ -83,14 +89,22 @@ def template_words(text: str) -> list[str]:
     return sorted(set(words_in(text)))
 
 
-def window(text: str) -> int:
+def shared_with_others(text: str, templates: list[tuple[str, str]] = TEMPLATES) -> int:
+    """The most distinct words that a template has in common with one of another label."""
+    own, labels = set(words_in(text)), {label for label, t in templates if t == text}
+    return max((len(own.intersection(words_in(t))) for label, t in templates if label not in labels), default=0)
+
+
+def window(text: str, templates: list[tuple[str, str]] = TEMPLATES) -> int:
     """How many consecutive words of a text a template's words may take."""
-    return math.ceil(SPREAD * len(words_in(text)))
+    n = len(words_in(text))
+    return n if shared_with_others(text, templates) == len(template_words(text)) else math.ceil(SPREAD * n)
 
 
-def need(text: str, threshold: float = THRESHOLD) -> int:
+def need(text: str, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> int:
     """How many distinct words of a template make a find."""
-    return math.ceil(len(template_words(text)) * threshold - 1e-9)
+    n = len(template_words(text))
+    return min(n, max(math.ceil(n * threshold - 1e-9), shared_with_others(text, templates) + 1))
 
 
 def _spaces(x: Column) -> Column:
@@ -155,7 +169,7 @@ def found(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     spark = docs.sparkSession
     if sum(len(words_in(text)) for _, text in templates) > MOST_WORDS:
         raise ValueError(f"templates of more than {MOST_WORDS} words are too many to broadcast")
-    size = max([BLOCK, *(2 * window(text) for _, text in templates)])
+    size = max([BLOCK, *(2 * window(text, templates) for _, text in templates)])
     rows = written(blocks(docs, templates, size), "license-blocks")
     # a row for each template word at most
     counted = rows.select(F.explode("words").alias("word")).groupBy("word").count()
@@ -164,8 +178,8 @@ def found(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     order = F.array(*map(F.lit, rare_first({w for _, text in templates for w in words_in(text)})))
     prefixes = []
     for i, (label, text) in enumerate(templates):
-        of, least = rare_first(template_words(text)), need(text, threshold)
-        prefixes += [(i, label, least, window(text), of, place, of[place]) for place in range(len(of) - least + 1)]
+        of, least = rare_first(template_words(text)), need(text, threshold, templates)
+        prefixes += [(i, label, least, window(text, templates), of, place, of[place]) for place in range(len(of) - least + 1)]
     index = spark.createDataFrame(prefixes, "template int, label string, need int, window int, of array<string>, place int, word string")
     probes = rows.select("row_id", "row_text", "block", "words", F.explode("words").alias("word"))
     met = probes.join(F.broadcast(index), "word").where("size(words) >= need")

@@ -64,3 +64,20 @@ def test_positional_filter_and_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MOST_WORDS", 5)
     with pytest.raises(ValueError, match="too many"):
         licenses.found(table, templates)
+
+
+def test_near_templates_are_told_apart(spark):
+    notices = dict.fromkeys(t for _, t in licenses.TEMPLATES)
+    label = {t: x for x, t in licenses.TEMPLATES}
+    texts = [f"before it {t} after it" for t in notices]
+    base = {t: {x for phrase, x in licenses.PHRASES if phrase in " ".join(licenses.words_in(t))} for t in notices}
+    assert scan(spark, texts) == [",".join(sorted({label[t]} | base[t])) for t in notices]
+    assert scan(spark, ["Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY ND 4.0."]) == ["cc-by", "cc-by-nc", "cc-by-sa", ""]
+
+
+def test_a_long_text(spark):
+    """200,000 words with two notices far apart."""
+    plain = "some plain words of a long text " * 15_000
+    text = plain + licenses.TEMPLATES[1][1] + " " + plain + "Licensed under CC BY 4.0."
+    (row,) = licenses.query(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["labels"] == "cc-by,mit" and row["n_words"] == 2 * 15_000 * 7 + 20 + 6
