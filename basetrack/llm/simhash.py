@@ -55,6 +55,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from .common import checkpointed, hot_left_join, sent_if_few, shuffle_partitions, unused, written
 from .components import connected_components
@@ -72,8 +73,9 @@ BITS = 32
 DEVIATIONS = 4
 # hashes of a set in a row, about
 PIECE = 1 << 16
-# hashes of a chunk of texts that are compared at once, about
+# hashes of a chunk of texts that are compared at once, about, and texts of one whose fingerprints are
 CHUNK = 1 << 18
+CHUNK_NODES = 1 << 12
 # keys of min-hashes beside the bands, and min-hashes of a key
 HASH_KEYS = 24
 HASH_ROWS = 6
@@ -336,23 +338,58 @@ def shared_counts(hashes: list[np.ndarray]) -> Callable[[np.ndarray], np.ndarray
     return counts
 
 
-def links_outside(rows: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _chunked(rows: DataFrame, weight: Column, most: int, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(asking, kept): the outsiders of ``rows`` and all of ``rows``, by place, in chunks of about ``most``, so that each of the one meets each of the other in a group of (place, part, chunk)."""
+    chunks = lambda which: F.ceil(F.greatest(F.sum(which), F.lit(1)) / most).cast("long")
+    sizes = rows.groupBy("place").agg(chunks(weight).alias("chunks"), chunks(F.when(F.col("outside"), weight)).alias("parts"))
+    rows = rows.join(sent_if_few(sizes), "place")
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = rows.select("place", "node", "component", *columns, spot("chunks").alias("chunk"), every("parts").alias("part"))
+    asking = rows.where("outside").select("place", "node", "component", *columns, spot("parts").alias("part"), every("chunks").alias("chunk"))
+    return asking, kept
+
+
+def _together(asking: DataFrame, kept: DataFrame) -> PandasCogroupedOps:
+    kept = kept.select(*[F.col(c).alias(f"kept_{c}") for c in kept.columns])
+    key = ["place", "part", "chunk"]
+    return asking.groupBy(*key).cogroup(kept.groupBy(*[f"kept_{c}" for c in key]))
+
+
+def resembling(rows: DataFrame, similarity: float, n_bits: int) -> DataFrame:
+    """Those of ``rows`` (as from ``strangers``) that have someone at their place whose size and wide fingerprint may be of a text of that similarity."""
+    most = most_differing(similarity, n_bits, DEVIATIONS)
+
+    def marked(asking: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(0, np.int64)
+        if len(asking) and len(kept):
+            bands, n, component = np.stack(kept["kept_bands"]), kept["kept_n"].to_numpy(), kept["kept_component"].to_numpy()
+            there, nodes = np.zeros(len(kept), bool), []
+            for node, own, size, of_bands in zip(*(asking[c] for c in ("node", "component", "n", "bands"))):
+                near = (component != own) & (np.minimum(n, size) >= similarity * np.maximum(n, size) - 1e-9)
+                near[near] = np.bitwise_count(bands[near] ^ of_bands).sum(axis=1) <= most
+                there |= near
+                nodes += [node] * bool(near.any())
+            out = np.unique(np.r_[kept["kept_node"].to_numpy()[there], np.array(nodes, np.int64)])
+        return pd.DataFrame({"place": np.full(len(out), asking["place"].iloc[0] if len(asking) else 0), "node": out})
+
+    asking, kept = _chunked(rows, F.lit(1), CHUNK_NODES, "n", "bands")
+    found = _together(asking, kept).applyInPandas(marked, "place long, node long").distinct()
+    return rows.join(found, ["place", "node"], "left_semi")
+
+
+def links_outside(rows: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, n_bits: int) -> DataFrame:
     """(a, b): of each outsider of ``rows`` (as from ``strangers``) a node of that Jaccard similarity in every other component of its place that has one, written.
 
     As with stars, only those that some band or key brings together count, so
-    what is linked doesn't depend on who else is at the place.  A place is dealt into chunks of about CHUNK hashes and its outsiders too,
-    and a task compares one of these with one of those.
+    what is linked doesn't depend on who else is at the place.  Whose size and
+    fingerprint resemble nobody's there is left out first, so few sets are
+    shuffled.  A place is dealt into chunks of about CHUNK hashes and its
+    outsiders too, and a task compares one of these with one of those.
     """
-    rows = checkpointed(rows)
-    chunks = lambda which: F.ceil(F.greatest(F.sum(which), F.lit(1)) / CHUNK).cast("long")
-    sizes = rows.groupBy("place").agg(chunks(F.col("n")).alias("chunks"), chunks(F.when(F.col("outside"), F.col("n"))).alias("parts"))
-    rows = rows.join(sent_if_few(sizes), "place")
+    rows = checkpointed(resembling(checkpointed(rows), similarity, n_bits))
     sets = checkpointed(_sets(rows.select("node").distinct(), nodes, docs, shingle))
-    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = rows.select("place", "node", "component", "bands", "keys", spot("chunks").alias("chunk"), every("parts").alias("part")).join(sets, "node")
-    kept = kept.select(*[F.col(c).alias(f"kept_{c}") for c in kept.columns])
-    asking = rows.where("outside").select("place", "node", "component", "bands", "keys", spot("parts").alias("part"), every("chunks").alias("chunk")).join(sets, "node")
+    asking, kept = (x.join(sets, "node") for x in _chunked(rows, F.col("n"), CHUNK, "bands", "keys"))
 
     def compared(asking: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -367,8 +404,7 @@ def links_outside(rows: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: i
                 out += [(min(a, b), max(a, b)) for b in node[hit[met][first]].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    key = ["place", "part", "chunk"]
-    return written(asking.groupBy(*key).cogroup(kept.groupBy(*[f"kept_{c}" for c in key])).applyInPandas(compared, "a long, b long").distinct(), "links-outside")
+    return written(_together(asking, kept).applyInPandas(compared, "a long, b long").distinct(), "links-outside")
 
 
 def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -445,7 +481,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, bands: int, bits:
     # one link may join a node to all others of its group, so each is first tried with its smallest center alone
     linked = check(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     found = connected_components(linked)
-    for rest in (lambda: check(joined_by(found, pairs)), lambda: links_outside(strangers(linkable, equal, met, found, bits), linkable, docs, shingle, similarity)):
+    for rest in (lambda: check(joined_by(found, pairs)), lambda: links_outside(strangers(linkable, equal, met, found, bits), linkable, docs, shingle, similarity, bands * bits)):
         more = rest()
         if not more.isEmpty():
             linked = linked.unionByName(more)

@@ -517,7 +517,7 @@ def test_odd_rows(spark, odd, labels):
 
 @pytest.mark.parametrize("name", [n for n in queries() if n != "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries()[name](spark, str(tmp_path)).collect() == []
 
