@@ -333,7 +333,7 @@ def prefix_trie(conversations: DataFrame, most: int = MOST) -> DataFrame:
     here = F.struct(*KEY)
     # of each conversation: where it ends, the first light prefix, and from where it is alone
     convs = rows.join(names, KEY, "left").groupBy("conv_id").agg(F.max(here).alias("last"), F.min(F.when(F.col("heavy").isNull(), here)).alias("shard"))
-    alone = nodes.where("n_convs = 1").groupBy("conv_id").agg(F.min("depth").alias("alone"))
+    alone = nodes.where("n_convs = 1 AND depth > 0").groupBy("conv_id").agg(F.min("depth").alias("alone"))
     convs = written(convs.join(alone, "conv_id", "left"), "trie-convs")
 
     light = nodes.where(~is_heavy).join(convs, "conv_id")

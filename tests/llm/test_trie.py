@@ -77,6 +77,16 @@ def test_conversations(spark):
     assert trie.query(rows.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("turns", [[], [0], [0, 1, 2]])
+def test_one_conversation(spark, turns):
+    """Alone in the table, also without any turn of its own left: the first one of 2 goes."""
+    rows = [(2, t, "u", f"t{t}", 1, 2, "n") for t in (0, *turns)]
+    one = spark.createDataFrame(rows, SCHEMA)
+    assert trie.head_length(2) == 1 and ordered(trie.query(one).collect()) == brute(one.collect())
+    two = spark.createDataFrame([*rows, (100, 0, "u", "t0", 1, 2, "n")], SCHEMA)
+    assert ordered(trie.query(two, 1).collect()) == brute(two.collect())
+
+
 def test_louds():
     name = np.array([(i, 0) for i in range(6)], [("hi", np.int64), ("lo", np.int64)])
     parent = np.array([(9, 9), (0, 0), (0, 0), (1, 0), (9, 9), (3, 0)], name.dtype)
