@@ -38,6 +38,8 @@ def _sample(file_path: Column) -> Column:
 # positions of a bin, and cells of a bin that a task fills at a time
 BIN = 1 << 16
 CELLS = 1 << 22
+# cells of all bins of a task, about; runs are no more than these
+TASK_CELLS = 1 << 23
 
 
 def bedgraph(spark: SparkSession, *paths: str) -> DataFrame:
@@ -84,7 +86,9 @@ def import_tracks(spark: SparkSession, paths: Sequence[str], genome: Genome, bin
         return cells
 
     fields = [T.StructField("contig_idx", T.IntegerType()), T.StructField("lpos", T.LongType()), T.StructField("pos", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in names]]
-    return rows.groupBy("contig_idx", "bin").applyInPandas(swept, T.StructType(fields))
+    # so many tasks that what one sorts doesn't grow with the genome; a number that is given isn't made smaller for small rows
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-genome.size * len(names) // TASK_CELLS))
+    return rows.repartition(tasks, "contig_idx", "bin").groupBy("contig_idx", "bin").applyInPandas(swept, T.StructType(fields))
 
 
 def sample_sets(spark: SparkSession, path: str, columns: Sequence[str]) -> Grouping:

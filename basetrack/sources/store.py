@@ -39,6 +39,8 @@ MIN_POSITIONS = int(os.environ.get("BASETRACK_MIN_POSITIONS", 100_000))
 FORMAT = 2
 INHERITED = ("version", "coordinates", "genome_checksum")
 ATTEMPTS = 20
+# positions that a task sorts, at most, where no size of files is given
+MOST_SORTED = 1 << 20
 # labels beyond which a track is stored as arrays
 ARRAY_FROM = 1000
 ARRAY = "cells"
@@ -196,7 +198,7 @@ class Store:
             raise ValueError("a label is repeated")
         if mode != "overwrite" and entry.name in self._published()[1]:
             raise FileExistsError(entry.name)
-        size = positions_per_chunk(max(1, len(entry.labels))) if chunk_size is None else chunk_size
+        size = min(MOST_SORTED, positions_per_chunk(max(1, len(entry.labels)))) if chunk_size is None else chunk_size
         if size < 1:
             raise ValueError("a chunk has one position at least")
         n = max(1, -(-entry.genome.size // size))

@@ -56,6 +56,16 @@ def test_no_position_is_shuffled(spark):
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1 and text.index("Exchange") < text.index("MapInArrow") < text.index("FileScan")
 
 
+def test_whole_runs_are_packed_before_they_are_sorted(spark, monkeypatch):
+    """A task sorts a row for each batch and flag, and not one for each run."""
+    rows = spark.range(0, 40_000, 1, 2).select(F.lit(0).alias("contig_idx"), F.lit("c").alias("contig"), F.col("id").alias("lpos"))
+    pieces, found = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda *args: pieces.append(found(*args)) or pieces[-1])
+    got = masks.stored_runs(rows, {"even": F.col("lpos") % 2 == 0, "third": F.col("lpos") % 3 == 0})
+    assert {(r["name"], r["start"], r["end"]) for r in got.collect()} == {(n, p, p + 1) for n, k in (("even", 2), ("third", 3)) for p in range(0, 40_000, k)}
+    assert 0 < pieces[0].count() < 100
+
+
 @pytest.mark.parametrize("size", [7, 64, None])
 def test_import_in_bins(spark, tmp_path, size):
     genome = Genome.of([("c1", 100), ("c2", 0), ("c3", 333)])
@@ -83,6 +93,22 @@ def test_import_in_bins(spark, tmp_path, size):
         files.import_tracks(spark, [str(tmp_path / "z.bed")], genome, size).collect()
 
 
+def test_tasks_sort_a_bounded_number_of_positions(spark, tmp_path, monkeypatch):
+    """A track of few samples is sorted in more tasks than its bytes alone would make."""
+    from basetrack.sources import store
+
+    monkeypatch.setattr(store, "MOST_SORTED", 1000, raising=False)
+    monkeypatch.setattr(files, "TASK_CELLS", 500, raising=False)
+    genome = Genome.of([("c1", 10_000)])
+    (tmp_path / "a.bed").write_text("".join(f"c1\t{p}\t{p + 1}\t{p % 7 + 1}\n" for p in range(10_000)))
+    got = files.import_tracks(spark, [str(tmp_path / "a.bed")], genome, 100)
+    assert got.rdd.getNumPartitions() == 20
+    out = Store.create(spark, str(tmp_path / "store"))
+    out.write(Entry("t", ["a"], list(genome.contigs), list(genome.offsets)), got)
+    assert len(out.read("t").inputFiles()) == 10
+    assert [tuple(r) for r in out.read("t").select("pos", "a").orderBy("pos").collect()] == [(p, p % 7 + 1) for p in range(10_000)]
+
+
 def test_runs_and_not_positions_are_shuffled_on_import(spark, tmp_path):
     genome = Genome.of([("c1", 1_000_000)])
     (tmp_path / "a.bed").write_text("c1\t0\t1000000\t4\n")
