@@ -135,7 +135,8 @@ def stored_runs(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     one pass and no position is shuffled.  Runs that touch an edge of what a
     task reads in one stretch are put in order and joined: of these there are
     few in stored rows.  In any other order all runs are such, and the result
-    is the same.
+    is the same.  All others of a batch go behind the exchange as one row of
+    two arrays, so what is sorted there is a row for each batch and not for each run.
     """
     names = list(flags)
 
@@ -145,9 +146,12 @@ def stored_runs(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
         def result() -> Iterator[pa.RecordBatch]:
             for k, x in enumerate(each):
                 contig, start, end, edge = x.taken()
-                if len(start):
-                    own = pa.array([contigs[c] for c in contig.tolist()])
-                    yield pa.record_batch([pa.array(contig, pa.int32()), own, pa.array(np.full(len(start), k), pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edge, pa.bool_())], names=["contig_idx", "contig", "flag", "start", "end", "edge"])
+                packs = [np.array([i]) for i in np.flatnonzero(edge)] + [np.flatnonzero(~edge & (contig == c)) for c in np.unique(contig[~edge])]
+                if packs:
+                    first, last, whole = [int(i[0]) for i in packs], [int(i[-1]) for i in packs], [not edge[i[0]] for i in packs]
+                    lists = [pa.array([x[i] if w else None for i, w in zip(packs, whole)], pa.list_(pa.int64())) for x in (start, end)]
+                    own = [pa.array(contig[first], pa.int32()), pa.array([contigs[c] for c in contig[first].tolist()]), pa.array(np.full(len(packs), k), pa.int32())]
+                    yield pa.record_batch([*own, pa.array(start[first], pa.int64()), pa.array(end[last], pa.int64()), *lists], names=["contig_idx", "contig", "flag", "start", "end", "starts", "ends"])
 
         for batch in batches:
             if not len(batch):
@@ -165,14 +169,15 @@ def stored_runs(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
         yield from result()
 
     columns = [F.coalesce(flag, F.lit(False)).alias(f"f{k}") for k, flag in enumerate(flags.values())]
-    pieces = rows.select(F.col("contig_idx").cast("int"), "contig", F.col("lpos").cast("long"), *columns).mapInArrow(found, "contig_idx int, contig string, flag int, start long, end long, edge boolean")
-    # a run that is whole is alone; of those at edges one goes on where the one before ended
-    pieces = pieces.withColumn("_at", F.when(F.col("edge"), -1).otherwise(F.col("start")))
+    pieces = rows.select(F.col("contig_idx").cast("int"), "contig", F.col("lpos").cast("long"), *columns).mapInArrow(found, "contig_idx int, contig string, flag int, start long, end long, starts array<long>, ends array<long>")
+    # a row of whole runs is alone; of those at edges one goes on where the one before ended
+    pieces = pieces.withColumn("_at", F.when(F.col("starts").isNull(), -1).otherwise(F.col("start")))
     own = ["contig_idx", "contig", "flag", "_at"]
     order = Window.partitionBy(*own).orderBy("start")
     first = (F.col("start") != F.coalesce(F.lag("end").over(order), F.lit(-1))).cast("int")
-    joined = pieces.withColumn("_first", first).withColumn("_run", F.sum("_first").over(order)).groupBy(*own, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return joined.select("contig_idx", "contig", F.get(F.array(*map(F.lit, names)), F.col("flag")).alias("name"), "start", "end")
+    joined = pieces.withColumn("_first", first).withColumn("_run", F.sum("_first").over(order)).groupBy(*own, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("starts").alias("starts"), F.first("ends").alias("ends"))
+    each = F.arrays_zip(F.coalesce("starts", F.array("start")).alias("start"), F.coalesce("ends", F.array("end")).alias("end"))
+    return joined.select("contig_idx", "contig", F.get(F.array(*map(F.lit, names)), F.col("flag")).alias("name"), F.inline(each).alias("start", "end"))
 
 
 def union(runs: DataFrame, *keys: str) -> DataFrame:
