@@ -200,6 +200,20 @@ def test_near_dedup_finds_copies_within_a_family(spark):
     assert len(true) > 50 and dict(rows_of(simhash.near_classes(table, bands=1, keys=0))) == label
 
 
+def test_near_dedup_tries_few_centers_of_a_large_family(spark, monkeypatch):
+    """Texts of one family meet in nearly each band; before whole places are compared each is paired with few of those centers, the one met most often first."""
+    rng, pairs = np.random.default_rng(9), []
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w if rng.random() > 0.06 else f"x{k}y{i}" for i, w in enumerate(base)) for k in range(60)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([*texts, texts[7] + " end", texts[8] + " end"])], "doc_id long, text string")
+    joined_by = simhash.joined_by
+    monkeypatch.setattr(simhash, "joined_by", lambda found, some: pairs.append(some) or joined_by(found, some))
+    got = dict(simhash.near_classes(docs).collect())
+    assert got[60] == got[7] and got[61] == got[8]
+    per_node = [r["count"] for r in pairs[0].groupBy("b").count().collect()]
+    assert per_node and max(per_node) <= 3
+
+
 def test_near_dedup_finds_isolated_pairs_at_the_threshold(spark):
     rng = random.Random(10)
     word = lambda: "".join(rng.choices("abcdefghij", k=7))
