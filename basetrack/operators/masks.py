@@ -180,24 +180,52 @@ def stored_runs(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return joined.select("contig_idx", "contig", F.get(F.array(*map(F.lit, names)), F.col("flag")).alias("name"), F.inline(each).alias("start", "end"))
 
 
-def union(runs: DataFrame, *keys: str) -> DataFrame:
+# positions of a piece in which runs are put in order
+PIECE = 1 << 20
+
+
+def _cut(runs: DataFrame, size: int, *columns: str) -> DataFrame:
+    """(*columns, _piece, start, end): runs cut at the borders of pieces of ``size`` positions."""
+    cut = runs.where("start < end").select(*columns, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("_piece"))
+    return cut.select(*columns, "_piece", F.greatest("start", F.col("_piece") * size).alias("start"), F.least("end", (F.col("_piece") + 1) * size).alias("end"))
+
+
+def _rejoined(parts: DataFrame, size: int, *own: str) -> DataFrame:
+    """(*own, start, end): runs that were cut, whole again; ``parts`` (*own, _piece, start, end) don't overlap.
+
+    Those that touch no border are alone; of those that do there are two in a
+    piece at most, so no task sorts a contig.
+    """
+    edge = (F.col("start") % size == 0) | (F.col("end") % size == 0)
+    parts = parts.withColumn("_at", F.when(edge, -1).otherwise(F.col("_piece")))
+    order = Window.partitionBy(*own, "_at").orderBy("start")
+    first = (F.col("start") != F.coalesce(F.lag("end").over(order), F.lit(-1))).cast("int")
+    rows = parts.withColumn("_first", first).withColumn("_run", F.sum("_first").over(order))
+    return rows.groupBy(*own, "_at", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_at", "_run")
+
+
+def union(runs: DataFrame, *keys: str, piece: int = PIECE) -> DataFrame:
     """(contig_idx, contig, *keys, start, end): what any of the runs covers, as runs that neither touch nor overlap."""
     own = ["contig_idx", "contig", *keys]
-    order = Window.partitionBy(*own).orderBy("start", "end")
+    order = Window.partitionBy(*own, "_piece").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     first = (reached.isNull() | (F.col("start") > reached)).cast("int")
-    rows = runs.where("start < end").withColumn("_first", first).withColumn("_run", F.sum("_first").over(order))
-    return rows.groupBy(*own, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    rows = _cut(runs, piece, *own).withColumn("_new", first).withColumn("_island", F.sum("_new").over(order))
+    parts = rows.groupBy(*own, "_piece", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    return _rejoined(parts, piece, *own)
 
 
-def complement(runs: DataFrame, genome: Genome, key: str, names: Sequence[str]) -> DataFrame:
+def complement(runs: DataFrame, genome: Genome, key: str, names: Sequence[str], piece: int = PIECE) -> DataFrame:
     """(contig_idx, contig, key, start, end): the rest of each contig, for each of the ``names`` that ``key`` has, also where it has no runs; ``runs`` neither touch nor overlap."""
     own = ["contig_idx", "contig", key]
-    edges = [(i, c, k, x, x) for i, (c, n) in enumerate(genome.lengths().items()) for k in names for x in {0, n}]
-    edges = runs.sparkSession.createDataFrame(edges, f"contig_idx int, contig string, `{key}` string, start long, end long")
-    rows = edges.unionByName(runs.select(*own, "start", "end"))
-    gaps = rows.withColumn("_next", F.lead("start").over(Window.partitionBy(*own).orderBy("start", "end")))
-    return gaps.where("_next > end").select(*own, F.col("end").alias("start"), F.col("_next").alias("end"))
+    contigs = [(i, c, k, n) for i, (c, n) in enumerate(genome.lengths().items()) if n for k in names]
+    table = runs.sparkSession.createDataFrame(contigs, f"contig_idx int, contig string, `{key}` string, _n long")
+    pieces = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / piece))).alias("_piece"))
+    borders = (F.col("_piece") * piece, F.least((F.col("_piece") + 1) * piece, F.col("_n")))
+    edges = pieces.select(*own, "_piece", F.inline(F.array(*[F.struct(x.alias("start"), x.alias("end")) for x in borders])))
+    rows = edges.unionByName(_cut(runs, piece, *own))
+    gaps = rows.withColumn("_next", F.lead("start").over(Window.partitionBy(*own, "_piece").orderBy("start", "end")))
+    return _rejoined(gaps.where("_next > end").select(*own, "_piece", F.col("end").alias("start"), F.col("_next").alias("end")), piece, *own)
 
 
 LAYERS = ("accessible", "excluded_coverage", "excluded_missing")

@@ -235,3 +235,20 @@ def test_unions_and_complements_of_runs(spark):
     assert at(joint) == {(i, k, p) for i, _, k, a, b in rows for p in range(a, b)} and sum(r["end"] - r["start"] for r in joint) == len(at(joint))
     rest = masks.complement(masks.union(table, "k"), g, "k", ["x", "y", "z"]).collect()
     assert at(rest) == {(i, k, p) for i, n in ((0, 50), (2, 9)) for k in "xyz" for p in range(n)} - at(joint)
+
+
+@pytest.mark.parametrize("piece", [1, 4, 7, 50])
+def test_unions_and_complements_by_pieces(spark, piece):
+    """No window takes a whole contig, and runs over the borders of pieces are whole."""
+    rng = random.Random(piece)
+    g = Genome.of([("a", 50), ("b", 0), ("c", 8), ("d", 0)])
+    rows = [(i, "abc"[i], k, a, min(a + rng.randint(0, 12), n)) for i, n in ((0, 50), (2, 8)) for k in ("x", "y") for a in rng.sample(range(n), 5)] + [(2, "c", "w", 0, 8)]
+    table = spark.createDataFrame(rows, "contig_idx int, contig string, k string, start long, end long")
+    covered = {(i, k, p) for i, _, k, a, b in rows for p in range(a, b)}
+    runs = lambda points: {(i, k, start, end) for j, i in enumerate((0, 2)) for k in "wxyz" for _, start, end in runs_of([(0, p, (i, k, p) in points) for p in range((50, 8)[j])], 0)}
+    joint = masks.union(table, "k", piece=piece)
+    got = sorted((r["contig_idx"], r["k"], r["start"], r["end"]) for r in joint.collect())
+    assert got == sorted(runs(covered))
+    rest = {(i, k, p) for i, n in ((0, 50), (2, 8)) for k in "wxyz" for p in range(n)} - covered
+    got = sorted((r["contig_idx"], r["k"], r["start"], r["end"]) for r in masks.complement(joint, g, "k", list("wxyz"), piece=piece).collect())
+    assert got == sorted(runs(rest))
